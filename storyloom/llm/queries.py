@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from storyloom.llm import binary_ids, packing, sharding
+from storyloom.llm import binary_ids, fingerprints, packing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_sharding": sharding.op6_sharding,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_binary_ids": binary_ids.op9_binary_ids,
     "op10_packing": packing.op10_packing,
 }
