@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from storyloom.llm import binary_ids, fingerprints, packing, sharding, simhash, token_counts
+from storyloom.llm import binary_ids, decontamination, fingerprints, language, packing, sharding, simhash, token_counts, toxicity, urls
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash": simhash.op2_simhash,
+    "op3_language": language.op3_language,
+    "op4_urls": urls.op4_urls,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_sharding": sharding.op6_sharding,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_binary_ids": binary_ids.op9_binary_ids,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
+    "op4_urls": urls.OP4_SQL,
     "op6_sharding": sharding.OP6_SQL,
 }
