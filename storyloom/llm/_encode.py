@@ -10,19 +10,52 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from array import array
+from collections.abc import Callable, Sequence
+from typing import Any
 
 import numpy as np
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]")
-_BYTE_LEVEL_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s")
-_WORD_PIECES = re.compile(r"\S+")
-#: Pieces that a worker remembers at most; it then starts anew. Memory only: results do not depend on it.
-CACHE_PIECES = 300_000
+#: A Latin word before white space or a closing mark, closing marks before white space, or any other run. Both kinds of
+#: vocabulary cut between a letter and a mark; byte-level ones keep a blank with the word after it.
+_WORD = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[\\s.,;:!?]|$)"
+_MARKS = r"[.,;:!?]+(?=\s|$)"
+_BYTE_LEVEL_PIECES = re.compile(rf" ?{_WORD}|{_MARKS}| ?\S+|\s+(?!\S)|\s")
+_WORD_PIECES = re.compile(rf"{_WORD}|{_MARKS}|\S+")
+#: Pieces that a worker remembers from its current generation, and as many from its last one. Memory only: results do not
+#: depend on it.
+GENERATION = 600_000
 
 _LOADED: dict[str, PieceEncoder] = {}
 
 
+class _Memory(dict):
+    """What the pieces met so far encode to, in two generations: what is used again moves on, the rest is forgotten."""
+
+    def __init__(self, learn: Callable[[str], Any], lower: bool, marks: Callable[[str], Any] | None = None):
+        super().__init__()
+        self.learn, self.lower, self.marks, self.last = learn, lower, marks, {}
+
+    def turn(self) -> None:
+        if len(self) > GENERATION:
+            self.last = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> Any:
+        found = self.last.get(piece)
+        if found is None:
+            stem = piece.rstrip(".,;:!?") if self.marks else piece
+            if len(stem) < len(piece) and stem and stem[-1].lower().isalpha():
+                found = self[stem] + self.marks(piece[len(stem) :])
+            elif self.lower and "A" <= piece[0] <= "Z":
+                found = self[piece[0].lower() + piece[1:]]
+            else:
+                found = self.learn(piece)
+        self[piece] = found
+        return found
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,45 +66,55 @@ class PieceEncoder:
         drops_space = "Removed" in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
         self.pieces = _WORD_PIECES if drops_space else _BYTE_LEVEL_PIECES
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32
-        self.ids: dict[str, bytes] = {}
-        self.spans: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        lower = drops_space and "Lowercase" in self.tokenizer.to_str()
+        self.ids = _Memory(self._ids, lower, self._ids)
+        self.spaced = _Memory(lambda piece: self._ids(" " + piece), False, self._ids)
+        self.line_feed = self._ids("\n")
+        self.spans = _Memory(self._spans, lower)
 
     def cut(self, text: str) -> list[str]:
-        return [text] if _ODD_SPACE.search(text) else self.pieces.findall(text)
-
-    def _learn(self, pieces: set[str], spans: bool) -> None:
-        known = self.spans if spans else self.ids
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = [p for p in pieces if p not in known]
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                if spans:
-                    at = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)
-                    known[piece] = (at[:, 0], at[:, 1])
-                else:
-                    known[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
+        if _ODD_SPACE.search(text):
+            return [text]
+        return self.pieces.findall(text)
+
+    def _ids(self, piece: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+    def _spans(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, dtype=np.int32).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
+    def _joined(self, text: str) -> bytes:
+        words = text.split()
+        if self.pieces is _WORD_PIECES:
+            if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                return b"".join(map(self.ids.__getitem__, words))
+        else:
+            lines = [line.split(" ") for line in text.split("\n")]
+            if [w for line in lines for w in line] == words:  # single blanks and line feeds between words, nothing else
+                first, spaced = self.ids.__getitem__, self.spaced.__getitem__
+                return self.line_feed.join([first(line[0]) + b"".join(map(spaced, line[1:])) for line in lines])
+        return b"".join(map(self.ids.__getitem__, self.cut(text)))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; a null text is an empty one."""
-        cut = [self.cut(t or "") for t in texts]
-        self._learn(set().union(*cut), spans=False)
-        ids = self.ids
-        return [np.frombuffer(b"".join([ids[p] for p in pieces]), dtype=self.dtype) for pieces in cut]
+        self.ids.turn()
+        self.spaced.turn()
+        return [np.frombuffer(self._joined(t) if t else b"", dtype=self.dtype) for t in texts]
 
     def offsets(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and past-the-last code point of each token of each whole text."""
-        out = []
-        texts = [t or "" for t in texts]
-        cut = [self.cut(t) for t in texts]
-        self._learn(set().union(*cut), spans=True)
-        for text, pieces in zip(texts, cut, strict=True):
+        self.spans.turn()
+        known, out = self.spans.__getitem__, []
+        for text in texts:
+            text = text or ""
+            pieces = self.cut(text)
             if not pieces:
                 out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 continue
-            found = [self.spans[p] for p in pieces]
-            if self.pieces is _BYTE_LEVEL_PIECES or len(pieces) == 1 and pieces[0] == text:
+            found = list(map(known, pieces))
+            if self.pieces is _BYTE_LEVEL_PIECES or pieces == [text]:
                 base = np.cumsum([0, *map(len, pieces[:-1])])
             else:
                 base = np.array([m.start() for m in self.pieces.finditer(text)])

@@ -147,8 +147,8 @@ def write_id_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, key
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["payload"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                piece = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 1024):
+                piece = batch.slice(start, 1024)
                 if piece.num_rows:
                     part = piece.column("part")[0].as_py()
                 for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text").to_pylist()), strict=True):

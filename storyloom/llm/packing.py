@@ -165,8 +165,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
                     wide = np.concatenate([ids.astype("<u4"), end])

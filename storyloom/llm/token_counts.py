@@ -64,8 +64,8 @@ def _count(docs: DataFrame, tokenizer: str, rule: str, lines: bool) -> DataFrame
         enc = encoder(tokenizer)
         names = ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 given = [None] * len(texts) if lines else part.column("starts").to_pylist()
                 columns: list[list[np.ndarray]] = [[] for _ in names]
