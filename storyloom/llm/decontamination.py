@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import read
+from storyloom.llm._common import read, stage
 
 WINDOW = 8
 SHORTEST = 4
@@ -36,68 +36,60 @@ UNITS = (
     "s sec seconds min minutes h hr hours day days week weeks month months year years percent usd eur gbp dollars euros cents pence "
     "mph kmh hz khz mhz ghz w kw v a j kj n pa k c f b kb mb gb tb"
 )
-#: Marks of slots: they stand before the value inside a token, so one token holds both its type and its filling.
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+#: Marks of slots: they stand before the value inside a token, so one token holds both its type and its filling. POINT stands
+#: for the separators inside a number.
+NUMBER, NAME, UNIT, POINT = "\u0001", "\u0002", "\u0003", "\u0004"
+_SLOT_END = "\u0005"
 
 
 def marked_tokens(text: Column) -> Column:
     """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units."""
-    clean = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
+    controls = NUMBER + NAME + UNIT + POINT
+    clean = F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, "    ")).otherwise(text)
     named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:]\s)(\p{Lu}\p{L}+)", NAME + "$1")
-    numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)(?!\p{L}{4})", " " + NUMBER + "$1 ")
-    units = F.regexp_replace(numbered, rf"(?i)(?<={NUMBER}[\d.,]{{1,12}} {{1,3}})({'|'.join(UNITS.split())}|[%$€£])(?![\p{{L}}\p{{N}}])", UNIT + "$1 ")
-    pieces = F.split(F.lower(units), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}.,%$€£]+|[.,](?!\d)|(?<!\d)[.,]|(?<!{UNIT})[%$€£]")
-    return F.filter(pieces, lambda t: t != "")
+    whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
+    numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
+    units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
+    marked = F.when(named.rlike("[0-9]"), units).otherwise(named)
+    return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{controls}]+"), "")
 
 
 def template(tokens: Column) -> Column:
-    """Tokens with the fillings of slots left out."""
-    return F.transform(tokens, lambda t: F.when(t < "\u0004", F.substring(t, 1, 1)).otherwise(t))
-
-
-def _windows(tokens: Column, length: int) -> Column:
-    """Hashes of all windows of the template, by place."""
-    shape = template(tokens)
-    last = F.size(tokens) - length
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(shape, i + 1, F.lit(length)))))
-
-
-def _fillings(tokens: Column, length: int | Column) -> Column:
-    return F.slice(tokens, F.col("pos") + 1, length if isinstance(length, Column) else F.lit(length))
+    """Tokens joined by blanks, with the fillings of slots left out. No lambda: it stays inside generated code."""
+    return F.regexp_replace(F.array_join(tokens, " "), rf"([{NUMBER}{NAME}{UNIT}])[^ ]*", "$1")
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, length, item_pos, hash, item_tokens, n_windows): the windows of each item by which it can be matched."""
-    tokens = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.col(text)).alias("tokens"))
-    sized = tokens.where(F.size("tokens") >= SHORTEST).withColumn("length", F.least(F.size("tokens"), F.lit(window)))
-    shape = template(F.col("tokens"))
-    places = F.sequence(F.lit(0), F.size("tokens") - F.col("length"))
-    hashes = F.transform(places, lambda i: F.struct(i.alias("item_pos"), F.xxhash64(F.slice(shape, i + 1, F.col("length"))).alias("hash"), F.slice("tokens", i + 1, F.col("length")).alias("item_tokens")))
-    told = F.filter(hashes, lambda w: F.size(F.filter(w["item_tokens"], lambda t: t >= "\u0004")) >= F.least(F.lit(LEAST_WORDS), F.col("length")))
-    return sized.select("item_id", "length", F.size(told).alias("n_windows"), F.explode(told).alias("w")).select("item_id", "length", "n_windows", "w.*")
+    """(item_id, n_windows, item_pos, item_tokens, shape, anchor, anchor_at): the windows by which each item can be matched.
+
+    The anchor of a window is its longest word (the first of equals in the alphabet): the one likely to be rarest.
+    """
+    tokens = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    sized = stage(tokens.where(F.size("tokens") >= SHORTEST), "benchmark-tokens")
+    places = sized.select("item_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - window, F.lit(0)))).alias("item_pos"))
+    cut = places.select("item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, window).alias("item_tokens"))
+    words = F.filter("item_tokens", lambda t: t >= _SLOT_END)
+    told = cut.where(F.size(words) >= LEAST_WORDS).select("*", F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"].alias("anchor"))
+    counts = told.groupBy("item_id").agg(F.count("*").cast("int").alias("n_windows"))
+    return told.join(counts, "item_id").select("item_id", "n_windows", "item_pos", "item_tokens", template(F.col("item_tokens")).alias("shape"), "anchor", (F.array_position("item_tokens", F.col("anchor")) - 1).cast("int").alias("anchor_at"))
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have."""
-    sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
+    """(doc_id, item_id, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
+
+    Tokens are joined with the anchors of the benchmark's windows; only where an anchor stands is a window cut and its template compared.
+    """
+    windows = stage(windows, "benchmark-windows")
     tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), marked_tokens(F.col(text)).alias("tokens"))
-    parts = []
-    for length, n in sorted(sizes.items()):
-        side = windows.where(F.col("length") == length).drop("length")
-        placed = tokens.select("doc_id", "tokens", F.posexplode(_windows(F.col("tokens"), length)).alias("pos", "hash"))
-        if n <= broadcast_windows:
-            side = F.broadcast(side)
-            parts.append(placed.join(side, "hash").select("doc_id", "item_id", "n_windows", "pos", "item_pos", _fillings(F.col("tokens"), length).alias("doc_tokens"), "item_tokens"))
-        else:  # only hashes cross the shuffle; the few matches fetch their tokens afterwards
-            hits = placed.select("doc_id", "pos", "hash").join(side.select("hash").distinct(), "hash", "left_semi").join(side, "hash")
-            rows = hits.join(tokens, "doc_id")
-            parts.append(rows.select("doc_id", "item_id", "n_windows", "pos", "item_pos", _fillings(F.col("tokens"), length).alias("doc_tokens"), "item_tokens"))
-    found = parts[0] if parts else None
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows int, pos int, item_pos int, doc_tokens array<string>, item_tokens array<string>")
-    return found
+    placed = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("at", "anchor"))
+    start = F.col("at") - F.col("anchor_at")
+    if windows.count() <= broadcast_windows:
+        met = placed.join(F.broadcast(windows), "anchor")
+    else:  # only places cross the shuffle; those with an anchor fetch their document's tokens
+        met = placed.select("doc_id", "at", "anchor").join(windows, "anchor").join(tokens, "doc_id")
+    inside = met.where((start >= 0) & (start + F.size("item_tokens") <= F.size("tokens")))
+    cut = inside.select("doc_id", "item_id", "n_windows", start.alias("pos"), "item_pos", "shape", F.slice("tokens", start + 1, F.size("item_tokens")).alias("doc_tokens"), "item_tokens")
+    return cut.where(template(F.col("doc_tokens")) == F.col("shape")).drop("shape")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, long_run: int = LONG_RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -106,7 +98,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     kind is `verbatim` or `reparameterised`; position is the first token of the best diagonal.
     """
     found = matched_windows(docs, item_windows(items, item_key, item_text, window), key, text, broadcast_windows)
-    filled = F.filter(F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] < "\u0004")
+    filled = F.filter(F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] < _SLOT_END)
     # A diagonal has at most one window for each of the item's places, whatever the length of the document.
     by_diagonal = (
         found.select("doc_id", "item_id", "n_windows", "pos", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), filled.alias("slots"))
