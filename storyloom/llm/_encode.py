@@ -81,9 +81,10 @@ class PieceEncoder:
     def _ids(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
-    def _spans(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, dtype=np.int32).reshape(-1, 2)
-        return at[:, 0], at[:, 1]
+    def _spans(self, piece: str) -> tuple[int, bytes, bytes]:
+        """How many tokens, and where they begin and end in the piece."""
+        at = self.tokenizer.encode(piece, add_special_tokens=False).offsets
+        return len(at), array("i", [a for a, _ in at]).tobytes(), array("i", [b for _, b in at]).tobytes()
 
     def _joined(self, text: str) -> bytes:
         words = text.split()
@@ -115,11 +116,12 @@ class PieceEncoder:
                 continue
             found = list(map(known, pieces))
             if self.pieces is _BYTE_LEVEL_PIECES or pieces == [text]:
-                base = np.cumsum([0, *map(len, pieces[:-1])])
+                base = np.concatenate([[0], np.cumsum(list(map(len, pieces[:-1])), dtype=np.int64)])
             else:
                 base = np.array([m.start() for m in self.pieces.finditer(text)])
-            shift = np.repeat(base, [len(s) for s, _ in found])
-            out.append((np.concatenate([s for s, _ in found]) + shift, np.concatenate([e for _, e in found]) + shift))
+            n, first, past = zip(*found, strict=True)
+            shift = np.repeat(base, n)
+            out.append((np.frombuffer(b"".join(first), np.int32) + shift, np.frombuffer(b"".join(past), np.int32) + shift))
         return out
 
 

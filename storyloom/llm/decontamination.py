@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no benchmark item; documents with a null key are kept."""
-    leaked = leaks(docs, items, key, text).select(F.col("doc_id").alias("_leaked")).distinct()
+    leaked = stage(leaks(docs, items, key, text).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked-keys")
     return docs.join(leaked, docs[key] == leaked["_leaked"], "left_anti")
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.llm._common import held_out, read
 
@@ -156,8 +157,8 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays(columns, [*passed, "lang_pred", "score", "mixture"])
 
     passed = list(dict.fromkeys([key, *keep]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    return docs.select(*dict.fromkeys([*passed, text])).mapInArrow(predict, f"{fields}, lang_pred string, score double, mixture map<string,double>")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))]
+    return docs.select(*dict.fromkeys([*passed, text])).mapInArrow(predict, T.StructType([docs.schema[c] for c in passed] + made))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

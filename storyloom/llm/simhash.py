@@ -350,11 +350,13 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, key: str =
 
     Documents with a null key are kept: nothing tells them apart from one another.
     """
-    columns = docs.columns
-    unkeyed = docs.where(F.col(key).isNull())
-    kept = similar_classes(docs, similarity, key=key, text=text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
-    return chosen.select(*columns).unionByName(unkeyed.select(*columns))
+    known = docs.where(F.col(key).isNotNull())
+    classes = similar_classes(docs, similarity, key=key, text=text)
+    kept = stage(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
+    chosen = known.join(kept.select("_kept"), docs[key] == kept["_kept"], "left_semi")
+    if not kept.where("_rows > 1").isEmpty():  # else every key has one row, and texts need not meet by key again
+        chosen = chosen.dropDuplicates([key])
+    return chosen.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.llm._common import held_out, read
 
@@ -240,8 +241,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id",
             spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in s] for _, s in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], [*passed, "score", "spans"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
-    return docs.select(*dict.fromkeys([*passed, text])).mapInArrow(tag, f"{fields}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
+    made = [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
+    return docs.select(*dict.fromkeys([*passed, text])).mapInArrow(tag, T.StructType([docs.schema[c] for c in passed] + made))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
