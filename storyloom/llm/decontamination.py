@@ -46,10 +46,10 @@ def marked_tokens(text: Column) -> Column:
     """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units."""
     controls = NUMBER + NAME + UNIT + POINT
     clean = F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, "    ")).otherwise(text)
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:]\s)(\p{Lu}\p{L}+)", NAME + "$1")
+    named = F.regexp_replace(clean, r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{L})", NAME + "$1")
     whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
     numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
-    units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
+    units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
     marked = F.when(named.rlike("[0-9]"), units).otherwise(named)
     return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{controls}]+"), "")
 
@@ -81,7 +81,8 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     """
     windows = stage(windows, "benchmark-windows")
     tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), marked_tokens(F.col(text)).alias("tokens"))
-    placed = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("at", "anchor"))
+    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the tokens twice.
+    placed = tokens.select("doc_id", "tokens", F.posexplode_outer("tokens").alias("at", "anchor"))
     start = F.col("at") - F.col("anchor_at")
     if windows.count() <= broadcast_windows:
         met = placed.join(F.broadcast(windows), "anchor")
