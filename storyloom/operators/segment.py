@@ -15,39 +15,49 @@ def _pieces(text: Column, profile: str) -> Column:
     return F.split(marked, X.SENTINEL, -1)
 
 
-def spans(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language") -> DataFrame:
-    """(key, index, text, is_dialogue, incise_character): ordered spans from 1 whose texts join to the chapter's text.
+def span_array(text: Column, language: Column) -> Column:
+    """array<struct(index, text, is_dialogue, incise_character)>: ordered spans from 1 whose texts join to the text.
 
     Dash lines of French are parted from their speech tag, which narration reads. An empty text is one empty narration span.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    fr = X.language_profile(F.col(language)) == "fr"
-    cut = chapters.select(F.col(key), fr.alias("fr"), F.posexplode(F.when(fr, _pieces(body, "fr")).otherwise(_pieces(body, "en"))).alias("n", "piece"), (body == "").alias("empty"))
-    kept = cut.where((F.col("piece") != "") | F.col("empty")).select(key, "n", "piece", (F.col("n") % 2 == 1).alias("said"), "fr")
-    head, tail, name = X.incise(F.col("piece"))
-    parted = kept.select("*", (F.col("said") & F.col("fr") & X.is_dash_line(F.col("piece"))).alias("dash"), head.alias("head"), tail.alias("tail"), name.alias("name"))
-    split = F.col("dash") & (X.strip(F.col("head")) != "") & (X.strip(F.col("tail")) != "")
-    part = lambda t, d, c: F.struct(t.alias("text"), d.alias("is_dialogue"), c.cast("string").alias("incise_character"))
-    parts = F.when(split, F.array(part(F.col("head"), F.lit(True), F.col("name")), part(F.col("tail"), F.lit(False), F.lit(None)))).otherwise(
-        F.array(part(F.col("piece"), F.col("said"), F.lit(None)))
-    )
-    flat = parted.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", parts.alias("parts")))), lambda s: s["parts"])).alias("all"))
-    return flat.select(key, F.posexplode("all").alias("i", "s")).select(key, (F.col("i") + 1).alias("index"), "s.text", "s.is_dialogue", "s.incise_character")
-
-
-def segments(of: DataFrame, key: str = "chapter_id") -> DataFrame:
+    body = F.coalesce(text, F.lit(""))
+    part = lambda t, said, name: F.struct(t.alias("text"), said.alias("is_dialogue"), name.cast("string").alias("incise_character"))
+    nobody = F.lit(None)
+
+    def french(piece: Column, n: Column) -> Column:
+        said = n % 2 == 1
+        head, tail, name = X.incise(piece)
+        tagged = said & X.is_dash_line(piece) & (X.strip(head) != "") & (X.strip(tail) != "")
+        return F.when(tagged, F.array(part(head, F.lit(True), name), part(tail, F.lit(False), nobody))).otherwise(F.array(part(piece, said, nobody)))
+
+    def english(piece: Column, n: Column) -> Column:
+        return F.array(part(piece, n % 2 == 1, nobody))
+
+    parts = F.when(X.language_profile(language) == "fr", F.transform(_pieces(body, "fr"), french)).otherwise(F.transform(_pieces(body, "en"), english))
+    kept = F.filter(F.flatten(parts), lambda s: s["text"] != "")
+    whole = F.when(body == "", F.array(part(body, F.lit(False), nobody))).otherwise(kept)
+    return F.transform(whole, lambda s, i: F.struct((i + 1).alias("index"), s["text"].alias("text"), s["is_dialogue"].alias("is_dialogue"), s["incise_character"].alias("incise_character")))
+
+
+def spans(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language") -> DataFrame:
+    """(key, index, text, is_dialogue, incise_character): the spans of each chapter, without a shuffle."""
+    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the array twice.
+    return chapters.select(key, F.explode_outer(span_array(F.col(text), F.col(language))).alias("s")).select(key, "s.*")
+
+
+def segments(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language") -> DataFrame:
     """(key, position, index, text, segment_type): spans that have something to read, numbered anew; index is the span's own."""
-    spoken = of.select(key, "index", X.spoken_text(F.col("text"), F.col("is_dialogue")).alias("text"), F.when(F.col("is_dialogue"), "DIALOGUE").otherwise("NARRATION").alias("segment_type"))
-    ordered = spoken.where("text <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "text", "segment_type"))).alias("all"))
-    return ordered.select(key, F.posexplode("all").alias("i", "s")).select(key, (F.col("i") + 1).alias("position"), "s.index", "s.text", "s.segment_type")
+    kind = lambda s: F.when(s["is_dialogue"], "DIALOGUE").otherwise("NARRATION")
+    spoken = F.transform(span_array(F.col(text), F.col(language)), lambda s: F.struct(s["index"].alias("index"), X.spoken_text(s["text"], s["is_dialogue"]).alias("text"), kind(s).alias("segment_type")))
+    placed = chapters.select(key, F.posexplode_outer(F.filter(spoken, lambda s: s["text"] != "")).alias("i", "s")).where("i is not null")
+    return placed.select(key, (F.col("i") + 1).alias("position"), "s.index", "s.text", "s.segment_type")
 
 
-def prompt(of: DataFrame, key: str = "chapter_id") -> DataFrame:
+def prompts(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language") -> DataFrame:
     """(key, prompt): one line for each span that is not blank, with the span's own index."""
-    shown = of.select(key, "index", "is_dialogue", X.collapse(F.col("text")).alias("shown")).where("shown <> ''")
-    line = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("]["), F.when(F.col("is_dialogue"), "DIALOGUE").otherwise("NARRATION"), F.lit("] "), F.col("shown"))
-    lines = shown.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", line.alias("line")))).alias("l"))
-    return lines.select(key, F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("prompt"))
+    shown = F.transform(span_array(F.col(text), F.col(language)), lambda s: F.struct(s["index"].alias("index"), s["is_dialogue"].alias("said"), X.collapse(s["text"]).alias("shown")))
+    line = lambda s: F.concat(F.lit("["), s["index"].cast("string"), F.lit("]["), F.when(s["said"], "DIALOGUE").otherwise("NARRATION"), F.lit("] "), s["shown"])
+    return chapters.select(key, F.array_join(F.transform(F.filter(shown, lambda s: s["shown"] != ""), line), "\n").alias("prompt"))
 
 
 def _packed(parts: Column, sep: str, budget: int, refine) -> Column:
@@ -74,7 +84,7 @@ def chunks(chapters: DataFrame, budget: int, key: str = "chapter_id", text: str
     by_line = lambda part: _packed(parts(part, "\n"), "\n", budget, lambda line: F.array(line))
     packed = _packed(parts(lit, "\n\n"), "\n\n", budget, by_line)
     whole = F.when(X.estimate_tokens(lit) <= budget, F.array(lit)).when(F.size(packed) == 0, F.array(lit)).otherwise(packed)
-    return chapters.select(key, F.posexplode(whole).alias("i", "text")).select(key, (F.col("i") + 1).alias("chunk"), "text")
+    return chapters.select(key, F.posexplode_outer(whole).alias("i", "text")).where("i is not null").select(key, (F.col("i") + 1).alias("chunk"), "text")
 
 
 def merge_casts(cast: DataFrame, key: str = "chapter_id") -> DataFrame:

@@ -67,20 +67,20 @@ def seg_spans(spark, d):
 @query("seg_counts", "dialogue_text", f""", {SPAN_SQL.strip()} SELECT chapter_id, CASE WHEN is_dialogue THEN 'DIALOGUE' ELSE 'NARRATION' END AS segment_type, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS characters
 FROM spoken WHERE text <> '' GROUP BY ALL""")
 def seg_counts(spark, d):
-    made = segment.segments(segment.spans(view(spark, d, "dialogue_text")))
+    made = segment.segments(view(spark, d, "dialogue_text"))
     return made.groupBy("chapter_id", "segment_type").agg(F.count("*").alias("segments"), F.sum(F.char_length("text")).alias("characters"))
 
 
 @query("seg_segments", "dialogue_text", f""", {SPAN_SQL.strip()} SELECT chapter_id, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY index) AS INTEGER) AS position, index, text,
 CASE WHEN is_dialogue THEN 'DIALOGUE' ELSE 'NARRATION' END AS segment_type FROM spoken WHERE text <> ''""")
 def seg_segments(spark, d):
-    return segment.segments(segment.spans(view(spark, d, "dialogue_text")))
+    return segment.segments(view(spark, d, "dialogue_text"))
 
 
 @query("prompt_lines", "dialogue_text", f""", {SPAN_SQL.strip()}, shown AS (SELECT chapter_id, index, is_dialogue, {_STRIP(f"regexp_replace(text, '{_WS}+', ' ', 'g')")} AS t FROM span)
 SELECT chapter_id, string_agg('[' || index || '][' || CASE WHEN is_dialogue THEN 'DIALOGUE' ELSE 'NARRATION' END || '] ' || t, chr(10) ORDER BY index) AS prompt FROM shown WHERE t <> '' GROUP BY chapter_id""")
 def prompt_lines(spark, d):
-    return segment.prompt(segment.spans(view(spark, d, "dialogue_text")))
+    return segment.prompts(view(spark, d, "dialogue_text"))
 
 
 CHUNK_BUDGET = 120
@@ -313,15 +313,14 @@ def library_filter(spark, d):
     return library.filter_library(view(spark, d, "book"), status="FAILED", provider="default", search=" 1 ").select("book_id", "title")
 
 
-_PAGE = 50
 _MODES = {"published_desc": "published_at DESC NULLS LAST", "published_asc": "published_at ASC NULLS LAST", "author": "lower(coalesce(author, ''))", "title": "lower(title)", "recent": "created_at DESC"}
 
 
-@query("library_sort", "book", " UNION ALL ".join(f"SELECT '{m}' AS mode, book_id FROM (SELECT book_id FROM book WHERE language = 'fr' ORDER BY {o}, book_id LIMIT {_PAGE})" for m, o in _MODES.items()))
+@query("library_sort", "book", " UNION ALL ".join(f"SELECT '{m}' AS mode, book_id FROM (SELECT book_id FROM book WHERE language = 'fr' ORDER BY {o}, book_id)" for m, o in _MODES.items()))
 def library_sort(spark, d):
-    """The first page of the list in each of its orders."""
+    """The list in each of its orders."""
     books = view(spark, d, "book").where("language = 'fr'")
-    pages = [books.orderBy(*library.library_order(m)).limit(_PAGE).select(F.lit(m).alias("mode"), "book_id") for m in _MODES]
+    pages = [books.orderBy(*library.library_order(m)).select(F.lit(m).alias("mode"), "book_id") for m in _MODES]
     out = pages[0]
     for page in pages[1:]:
         out = out.unionByName(page)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from storyloom.operators.segment import segments, spans
+from storyloom.operators.segment import segments
 
 SCHEMA = "chapter_id long, language string, raw_text string"
 
@@ -18,6 +18,6 @@ def segment_stream(chapters: DataFrame, out: str, checkpoint: str) -> StreamingQ
     """Write the segments of arriving chapters; a batch that is repeated after a failure replaces its own output."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        segments(spans(batch)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        segments(batch).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     return chapters.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -54,7 +54,7 @@ def test_speech_tags(spark, line, head, tail, name):
 
 
 def test_stripped_text(spark):
-    rows = segment.segments(segment.spans(chapters(spark, ("fr", "— Je n'y crois pas, dit-elle doucement.\n« Oui » “Non” \"Si\"")))).orderBy("position").collect()
+    rows = segment.segments(chapters(spark, ("fr", "— Je n'y crois pas, dit-elle doucement.\n« Oui » “Non” \"Si\""))).orderBy("position").collect()
     assert [r.text for r in rows] == ["Je n'y crois pas", "dit-elle doucement.", "Oui", "Non", "Si"]
 
 
@@ -150,6 +150,12 @@ def test_casting(spark):
     assert voices(people(spark, ("a", "UNKNOWN", "UNKNOWN", None, None, None))) == ["neutral_0"]
 
 
+def test_library_orders(spark):
+    books = spark.createDataFrame([(1, "b", "X", 1950, 5), (2, "A", None, None, 9), (3, "c", "y", 1900, 7)], "book_id long, title string, author string, published_at int, created_at long")
+    order = lambda mode: [r.book_id for r in books.orderBy(*library.library_order(mode)).collect()]
+    assert [order(m) for m in ("recent", "title", "author", "published_desc", "published_asc")] == [[2, 3, 1], [2, 1, 3], [2, 1, 3], [1, 3, 2], [3, 1, 2]]
+
+
 def test_transcript_and_offsets(spark):
     segments = spark.createDataFrame([(1, 1, 1, "NARRATION", None), (2, 1, 2, "DIALOGUE", 7), (3, 1, 3, "DIALOGUE", 8), (4, 1, 4, "DIALOGUE", None)], "segment_id long, chapter_id long, position int, segment_type string, character_id long")
     cast_ = spark.createDataFrame([(7, "A", "male_0"), (8, "B", None)], "character_id long, name string, voice_id string")
