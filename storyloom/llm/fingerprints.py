@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import range_bounds, range_bucket, read, shuffle_partitions
+from storyloom.llm._common import range_bounds, range_bucket, read, shuffle_partitions, slices
 
 K = 256
 SHINGLE = 5
@@ -112,7 +112,7 @@ def sketch_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     """(key, fingerprint, n_shingles): one sketch for each document, and its estimate of distinct shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [BottomK.of(t or "", k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.encode() for m in made], pa.string()), pa.array([m.distinct() for m in made], pa.float64())], [key, "fingerprint", "n_shingles"])
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm._common import held_out, read
+from storyloom.llm._common import held_out, read, slices
 
 BUCKETS = 1 << 15
 #: About this many labelled rows of each language are counted.
@@ -130,7 +130,7 @@ def train(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 buckets, n = trigrams(body)
                 sums.setdefault(lang, np.zeros(BUCKETS))[buckets] += n
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = handle.value
         kind = pa.map_(pa.string(), pa.float64())
-        for batch in batches:
+        for batch in slices(batches):
             found = [fitted.predict(t) for t in batch.column(text).to_pylist()]
             mixtures = [[] if m is None else [(lang, float(v)) for lang, v in zip(languages, m, strict=True) if v > 0] for _, _, m in found]
             columns = [*(batch.column(c) for c in passed), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(mixtures, kind)]

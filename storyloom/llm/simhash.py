@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import read, shuffle_partitions, stage
+from storyloom.llm._common import read, shuffle_partitions, slices, stage
 from storyloom.llm.components import connected_components
 from storyloom.llm.fingerprints import mixed, shingle_hashes, word_hashes
 
@@ -101,7 +101,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """(doc_id, fp): the shingle fingerprint of each whole text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = (t or "" for t in batch.column("text").to_pylist())
             found = [shingle_fingerprint(t, shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "fp"])
@@ -291,7 +291,7 @@ def _vocabulary_prints(docs: DataFrame, lanes: int) -> DataFrame:
     """(doc_id, fp, same): same is equal for equal sequences of words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             same = [hashlib.md5(" ".join(t.lower().split()).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
             prints = [vocabulary_fingerprint(t, lanes) for t in texts]
@@ -304,7 +304,7 @@ def _shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, shingles): the distinct shingle hashes of each text, ascending, as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -315,7 +315,7 @@ def _likeness(pairs: DataFrame) -> DataFrame:
     """(a, b, similarity) from (a, b, left, right)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

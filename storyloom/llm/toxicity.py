@@ -2,10 +2,10 @@
 
 Labels mark documents, so tokens are labelled first: in a bounded sample of labelled documents, a token of a toxic document is
 toxic if its form, or its stem (first letters), is at least `LIFT` times as frequent, by documents, in toxic ones as in clean
-ones, by at least `SURE` standard deviations; all other tokens are not. The CRF (two states; features: hashed form, stems and endings) is trained on these sequences
+ones, by some standard deviations (`surety`); all other tokens are not. The CRF (two states; features: hashed form and stems) is trained on these sequences
 by gradient ascent with forward-backward expectations. Scoring tags whole texts: the marginal odds of a token come from one
 forward and one backward pass, and a document's score is a logistic function of its largest marginal log-odds and of its
-expected number of toxic tokens, fitted on the sample.
+expected number of toxic tokens, fitted on every third document of the sample, from which the CRF does not learn.
 
 Defined results: null and empty texts have no tokens and get the score of a document without any toxic token; rows with a null
 key are not held out and labels without a document, null labels and labels of null texts teach nothing; of repeated labels
@@ -27,21 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm._common import held_out, read
+from storyloom.llm._common import held_out, read, slices
 
 FEATURES = 1 << 16
 #: Labelled documents of each kind in the sample, and the code points up to which a document may be in it.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
-LIFT, SURE = 8.0, 3.0
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 1800, 8_000
+LIFT = 8.0
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: the form, stems of 3 to 6 letters and endings of 3 and 4."""
-    names = ["w" + word, *(f"s{word[:n]}" for n in (3, 4, 5, 6) if len(word) >= n), *(f"e{word[-n:]}" for n in (3, 4) if len(word) >= n)]
+    """Hashed features of a lower-cased word: the form and its stems of 4 to 6 letters."""
+    names = ["w" + word, *(f"s{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
     return [xxhash.xxh32_intdigest(n) & (FEATURES - 1) for n in names]
 
 
@@ -101,6 +101,11 @@ def chain(emissions: list[np.ndarray], moves: tuple[float, float, float]) -> tup
     return out
 
 
+def surety(toxic_documents: int) -> float:
+    """Standard deviations that a mark needs: more where a larger sample offers more forms that could stand out by chance."""
+    return 2.5 + min(1.5, toxic_documents / 600)
+
+
 def label_tokens(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
     """1 for each token of a toxic document whose form or stem marks toxic documents, else 0."""
     seen = {0: Counter(), 1: Counter()}
@@ -108,11 +113,11 @@ def label_tokens(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
     for words, y in zip(docs, toxic, strict=True):
         seen[y].update(set().union(*map(forms, set(words))) if words else ())
     sizes = {y: max(1, toxic.count(y)) for y in (0, 1)}
-    ratio = sizes[1] / sizes[0]
+    ratio, sure = sizes[1] / sizes[0], surety(sizes[1])
 
     def marks_toxic(n: int, clean: int) -> bool:
         expected = clean * ratio
-        return n >= LIFT * (clean + 0.5) * ratio and n - expected >= SURE * (n + expected * ratio) ** 0.5
+        return n >= LIFT * (clean + 0.5) * ratio and n - expected >= sure * (n + expected * ratio) ** 0.5
 
     marks = {f for f, n in seen[1].items() if marks_toxic(n, seen[0][f])}
     return [np.array([bool(y) and not marks.isdisjoint(forms(w)) for w in words], dtype=np.float64) for words, y in zip(docs, toxic, strict=True)]
@@ -121,6 +126,11 @@ def label_tokens(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
 def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds: int = 60) -> ToxicityModel:
     """Train on a bounded sample that has documents of both kinds; share is that of toxic ones where the sample came from."""
     model = ToxicityModel()
+    every = {y: [i for i, t in enumerate(toxic) if t == y] for y in (0, 1)}
+    apart = {i for rows in every.values() for i in (rows[2::3] if len(rows) >= 6 else rows)}
+    held = [(texts[i], toxic[i]) for i in sorted(apart)]
+    learnt = [i for i in range(len(texts)) if i not in apart or len(every[toxic[i]]) < 6]
+    texts, toxic = [texts[i] for i in learnt], [toxic[i] for i in learnt]
     docs = [[w.lower() for w in _WORD.findall(t)] for t in texts]
     if not (0 in toxic and 1 in toxic):
         return model
@@ -132,7 +142,8 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds:
     table = np.full((len(forms), width), FEATURES, dtype=np.int64)
     for i, f in enumerate(listed):
         table[i, : len(f)] = f
-    tokens = [np.array([number[w] for w in words], dtype=np.int64) for words in docs]
+    tokens = [np.array([number[w] for w in words], dtype=np.int32) for words in docs]
+    del docs, listed, number
     flat, truth = np.concatenate(tokens), np.concatenate(gold)
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *map(len, tokens)])[:-1].clip(max=max(len(flat) - 1, 0))] = True
@@ -151,10 +162,12 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds:
         g = np.bincount(table.ravel(), weights=np.repeat(by_form, width), minlength=FEATURES + 1) - 1e-3 * w
         # Expected moves of neighbouring tokens, from the forward odds of the first and the backward odds of the second.
         a, b = np.clip(fwd + emit, -40, 40)[:-1][after], np.clip(emit + bwd, -40, 40)[1:][after]
-        log_moves = np.stack([a + b + params[1], b + params[2], a + params[3], np.zeros_like(a)])
-        both = np.exp(log_moves - log_moves.max(axis=0))
-        both /= both.sum(axis=0)
-        gp = np.array([gap.sum(), *(true_moves[i] - both[i].sum() - 1e-2 * params[i + 1] for i in range(3))])
+        moved = [a + b + params[1], b + params[2], a + params[3]]
+        most = np.maximum(np.maximum(moved[0], moved[1]), np.maximum(moved[2], 0))
+        moved = [np.exp(m - most) for m in moved]
+        whole = moved[0] + moved[1] + moved[2] + np.exp(-most)
+        gp = np.array([gap.sum(), *(true_moves[i] - (moved[i] / whole).sum() - 1e-2 * params[i + 1] for i in range(3))])
+        del a, b, moved, most, whole, fwd, bwd, p
         for value, grad, fast in ((w, g, speed[0]), (params, gp, speed[1])):
             fast += grad * grad
             value += 0.5 * grad / (np.sqrt(fast) + 1e-8) * (1.0 if step else 0.5)
@@ -162,9 +175,10 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds:
         if np.abs(gap).sum() < 1e-4 * size / 100:
             break
     model = ToxicityModel(w[:FEATURES].astype(np.float32), float(params[0]), tuple(map(float, params[1:])))
-    emit = params[0] + w[table].sum(axis=1)[flat]
-    emissions = np.split(emit, np.cumsum([len(t) for t in tokens])[:-1])
-    x = np.array([[1.0, *summary(f + e + b)] for e, f, b in zip(emissions, *chain(emissions, model.moves), strict=True)])
+    del table, flat, truth, emissions, emit, tokens
+    scorer = Scorer(model)
+    x = np.array([[1.0, *summary(odds)] for start in range(0, len(held), 256) for odds, _ in scorer.log_odds([t for t, _ in held[start : start + 256]])])
+    toxic = [y for _, y in held]
     y, beta = np.array(toxic, dtype=float), np.zeros(3)
     share = y.mean() if share is None else share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -188,15 +202,18 @@ class Scorer:
             got = self.known[word] = self.model.emission(word.lower())
         return got
 
-    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        """A document score and the toxic spans (first and past-the-last code point, marginal) of each whole text."""
+    def log_odds(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """The marginal log-odds of each word of each whole text."""
         emissions = []
         for text in texts:
             words = _WORD.findall(text)
             emissions.append(np.fromiter(map(self._emission, words), np.float64, len(words)))
+        return [(e + f + b, text) for text, e, f, b in zip(texts, emissions, *chain(emissions, self.model.moves), strict=True)]
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """A document score and the toxic spans (first and past-the-last code point, marginal) of each whole text."""
         out = []
-        for text, e, f, b in zip(texts, emissions, *chain(emissions, self.model.moves), strict=True):
-            log_odds = e + f + b
+        for log_odds, text in self.log_odds(texts):
             spans: list[tuple[int, int, float]] = []
             if len(log_odds) and log_odds.max() >= 0:
                 p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
@@ -236,7 +253,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id",
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(handle.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = scorer.score([t or "" for t in batch.column(text).to_pylist()])
             spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in s] for _, s in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], [*passed, "score", "spans"])
