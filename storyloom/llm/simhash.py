@@ -337,7 +337,8 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, scheme: Sch
     found = links(distinct, scheme)
     pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stage(_shingle_sets(keyed.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "simhash-shingles")
+    # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
+    sets = stage(_shingle_sets(keyed.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "simhash-shingles")
     sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     near = _likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity)
     roots = connected_components(near)
@@ -353,7 +354,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     known = docs.where(F.col(key).isNotNull())
     classes = similar_classes(docs, similarity, key=key, text=text)
     kept = stage(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
-    chosen = known.join(kept.select("_kept"), docs[key] == kept["_kept"], "left_semi")
+    chosen = known.join(kept.select("_kept").hint("merge"), docs[key] == kept["_kept"], "left_semi")
     if not kept.where("_rows > 1").isEmpty():  # else every key has one row, and texts need not meet by key again
         chosen = chosen.dropDuplicates([key])
     return chosen.unionByName(docs.where(F.col(key).isNull()))
