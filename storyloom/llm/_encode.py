@@ -25,7 +25,7 @@ _BYTE_LEVEL_PIECES = re.compile(rf" ?{_WORD}|{_MARKS}| ?\S+|\s+(?!\S)|\s")
 _WORD_PIECES = re.compile(rf"{_WORD}|{_MARKS}|\S+")
 #: Pieces that a worker remembers from its current generation, and as many from its last one. Memory only: results do not
 #: depend on it.
-GENERATION = 150_000
+GENERATION = 600_000
 
 #: One Latin word, with or without the blank before it: one unit to the tokenizer, which needs no pattern to find it. The dotted
 #: capital I is left out, for it becomes two characters in lower case.
@@ -48,9 +48,10 @@ class _Memory(dict):
     def __init__(self, learn: Callable[[str], Any], lower: bool, marks: Callable[[str], Any] | None = None):
         super().__init__()
         self.learn, self.lower, self.marks, self.last = learn, lower, marks, {}
+        self.most = GENERATION
 
     def turn(self) -> None:
-        if len(self) > GENERATION:
+        if len(self) > self.most:
             self.last = dict(self)
             self.clear()
 
@@ -141,10 +142,12 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary file."""
+def encoder(path: str, generation: int = GENERATION) -> PieceEncoder:
+    """One encoder for each worker process and vocabulary file; it remembers about twice `generation` pieces."""
     if path not in _LOADED:
         _LOADED[path] = PieceEncoder(path)
+    for memory in (_LOADED[path].ids, _LOADED[path].spaced, _LOADED[path].spans):
+        memory.most = generation
     return _LOADED[path]
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm._common import global_positions, read, running_offsets, stage
-from storyloom.llm._encode import encoder, vocabulary
+from storyloom.llm._encode import GENERATION, encoder, vocabulary
 
 CAPACITY = 1024
 
@@ -158,11 +158,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return made
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", remembered: int = GENERATION) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than capacity are cut, the first piece takes the remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -204,8 +204,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stage(pieces(docs, tokenizer, end_id, capacity), "pack-pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, remembered: int = GENERATION) -> DataFrame:
+    """remembered bounds a worker's memory of encoded words; results do not depend on it."""
+    return pack(stage(pieces(docs, tokenizer, end_id, capacity, remembered=remembered), "pack-pieces"), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
