@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm._common import read, shuffle_partitions, slices, stage
 from storyloom.llm.components import connected_components
-from storyloom.llm.fingerprints import mixed, shingle_hashes, word_hashes
+from storyloom.llm.fingerprints import shingle_hashes
 
 #: Members of a bucket that one task holds at once; larger buckets are dealt over several blocks.
 BLOCK = 4096
@@ -83,20 +83,6 @@ def shingle_fingerprint(text: str, width: int = 3) -> bytes:
     return majority_bits(np.fromiter((h(join(r), 42) for r in runs), np.uint64, len(words) - width + 1))
 
 
-def vocabulary_fingerprint(text: str, lanes: int) -> bytes:
-    """64 * lanes bits from the sets of a text's words and pairs of neighbouring words.
-
-    A changed word touches one word and two pairs, but five five-word shingles: texts that share most of those shingles
-    differ in few bits here.
-    """
-    words = word_hashes(text)
-    if not len(words):
-        return bytes(8 * lanes)
-    pairs = mixed(words[:-1] * np.uint64(3) + mixed(words[1:]))
-    features = np.concatenate([np.unique(words), np.unique(pairs)])
-    return b"".join(majority_bits(mixed(features + np.uint64((lane * 0x9E3779B97F4A7C15) % 2**64))) for lane in range(1, lanes + 1))
-
-
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the shingle fingerprint of each whole text."""
 
@@ -281,23 +267,129 @@ def near_classes(docs: DataFrame, scheme: Scheme = CONTRACT, key: str = "doc_id"
 
 # ---- near-duplicate classes by shared five-word shingles --------------------------------------------------------------
 
-#: 256 bits of words and word pairs. Candidates share a segment of 32 bits but for one bit and keep the budgets of 40 bits;
-#: their likeness is then measured on the five-word shingles themselves.
-VERIFIED = Scheme(bits=256, segments=8, distance=40, exact=0, loose=1)
 SIMILARITY = 0.8
+#: Bits of the parity map of a shingle set: two maps differ in no more bits than the sets in members.
+PARITY = 1024
+#: Documents whose shingles tell which are common, and the most of those that are told. They only order shingles: any one
+#: order gives the same classes.
+SAMPLE_DOCS, COMMON = 4000, 100_000
+#: Rounds that link each document to one other of each shingle, before all that are still apart are compared.
+HUB_ROUNDS = 2
+
+
+def _common_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingle hashes that several sampled documents share, and in how many they are."""
+    scale = 1 << 20
+    rate = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * scale)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(scale)) < rate)
+    rows = _shingle_sets(drawn, width)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), pa.int64())], ["shingle"])
+
+    counts = rows.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    told = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, n = told.column("shingle").to_numpy().view(np.uint64), told.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
 
 
-def _vocabulary_prints(docs: DataFrame, lanes: int) -> DataFrame:
-    """(doc_id, fp, same): same is equal for equal sequences of words."""
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the ascending distinct shingles in the order rare before common, then by hash: so many that two sets of that
+    similarity have one in both prefixes."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    seen = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.searchsorted(common[0], shingles).clip(max=len(common[0]) - 1)
+        seen = np.where(common[0][at] == shingles, common[1][at], 0)
+    return shingles[np.lexsort((shingles, seen))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """(doc_id, same, n, prefix, bits): same is equal for equal sequences of words; n distinct shingles, their prefix and parities."""
+    handle = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))  # COMMON at most
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = handle.value
+        for batch in slices(batches):
+            same, sizes, prefixes, bits = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                t = t or ""
+                same.append(hashlib.md5(" ".join(t.lower().split()).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+                found = np.unique(shingle_hashes(t, width))
+                sizes.append(len(found))
+                prefixes.append(prefix(found, common, similarity).tobytes())
+                bits.append(np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "same", "n", "prefix", "bits"])
+
+    return docs.mapInArrow(make, "doc_id long, same binary, n long, prefix binary, bits binary")
+
+
+def _prefix_rows(distinct: DataFrame) -> DataFrame:
+    """(key, rep) for each shingle of a prefix."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            same = [hashlib.md5(" ".join(t.lower().split()).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
-            prints = [vocabulary_fingerprint(t, lanes) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
+            found = batch.column("prefix").to_pylist()
+            keys = np.frombuffer(b"".join(found), np.int64)
+            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(f) // 8 for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], ["key", "rep"])
+
+    return distinct.select("rep", "prefix").mapInArrow(expand, "key long, rep long")
+
+
+def _may_be_near(n: np.ndarray, bits: np.ndarray, one_n: np.ndarray, one_bits: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where sizes or parities rule the similarity out."""
+    apart = (n + one_n) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (np.abs(n - one_n) <= apart) & (np.bitwise_count(bits ^ one_bits).sum(axis=1, dtype=np.int64) <= apart)
+
+
+def _partners(rows: DataFrame, similarity: float, every: bool, block: int = BLOCK) -> DataFrame:
+    """(a, b) of rows (key, rep, root, n, bits) that share a key but no root and may be near: every pair, or one for each row.
 
-    return docs.mapInArrow(make, "doc_id long, fp binary, same binary")
+    A key with over `block` rows is dealt over several tasks, each holding a part and streaming all rows past.
+    """
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = rows.join(counts.select("key", "blocks"), "key").select(*rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = dealt.select(*rows.columns, "block", (F.col("own") == F.col("block")).alias("held"))
+    ordered = dealt.repartition(shuffle_partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("held"), "rep")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, table, told = None, [], None, set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block_no, rep, root, n, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "held"))
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (block_no[1:] != block_no[:-1]) | (held[1:] != held[:-1])) + 1
+            found = []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                name = (key[lo], block_no[lo])
+                if name != current:
+                    current, parts, table = name, [], None
+                mine = (rep[lo:hi], root[lo:hi], n[lo:hi], bits[lo:hi])
+                if held[lo]:  # against those held before it, and one another
+                    parts.append(mine)
+                    table = parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+                    parts = [table]
+                if table is None:
+                    continue
+                for r, c, size, b in zip(*mine, strict=True):
+                    apart = np.flatnonzero(table[1] != c)
+                    if len(apart):
+                        apart = apart[_may_be_near(table[2][apart], table[3][apart], size, b, similarity)]
+                    found += [(r, o) for o in table[0][apart if every else apart[:1]]]
+            fresh = {(min(p), max(p)) for p in found} - told
+            if len(told) < 1_000_000:
+                told |= fresh
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -326,22 +418,45 @@ def _likeness(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(measure, "a long, b long, similarity double")
 
 
-def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, scheme: Scheme = VERIFIED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id): classes of documents linked by a Jaccard similarity of five-word shingles of at least 0.8.
 
-    Candidates come from the vocabulary fingerprints; each one is measured exactly before it counts as a link.
+    Exact: two such documents share a shingle of their prefixes, and of those that share one, each pair is measured on its
+    shingles, ruled out by sizes or parities, or in one class already by links that were measured.
     """
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = stage(_vocabulary_prints(keyed, scheme.lanes), "simhash-prints")
-    distinct = stage(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "simhash-distinct")
-    found = links(distinct, scheme)
-    pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
+    told = F.first(F.struct("n", "prefix", "bits")).alias("first")
+    distinct = stage(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), told).select("same", "rep", "first.*"), "simhash-distinct")
+    rows = stage(_prefix_rows(distinct), "simhash-prefixes")
+    shared = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    known = distinct.select("rep", "n", "bits")
+    live = stage(rows.join(shared, "key").join(known, "rep").select("key", "rep", F.col("rep").alias("root"), "n", "bits"), "simhash-live")
+    # Most rows have no partner that sizes and parities allow: only the others' texts are read again.
+    first = stage(_partners(live, similarity, False, block), "simhash-partners")
+    ends = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
     # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
     sets = stage(_shingle_sets(keyed.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "simhash-shingles")
-    sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    near = _likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity)
-    roots = connected_components(near)
+    live = stage(live.join(sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select(*live.columns), "simhash-compared")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+        return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
+
+    def joined(links: DataFrame) -> DataFrame:
+        return stage(connected_components(links), "simhash-roots")
+
+    found = near(first)
+    roots = joined(found)
+    for turn in range(HUB_ROUNDS + 1):
+        rooted = live.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "n", "bits")
+        if turn < HUB_ROUNDS:
+            hubs = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+            pairs = rooted.join(hubs.select("key", "hub"), "key").where(F.col("root") != F.col("hub.root")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        else:
+            pairs = _partners(rooted, similarity, True, block)
+        found = found.unionByName(near(stage(pairs, "simhash-candidates")))
+        roots = joined(found)
     classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return prints.select("doc_id", "same").join(stage(classes, "simhash-classes"), "same").select("doc_id", "component_id")
 

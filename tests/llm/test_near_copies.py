@@ -108,6 +108,53 @@ def test_one_of_each_near_class_stays(spark):
     assert sh.drop_near_copies(cases.none(spark)).count() == 0
 
 
+def variants(base, rng, g):
+    """Copies of similarity 0.75 to 0.95, by kind of edit."""
+    n = len(base)
+    for share in (0.06, 0.1, 0.14):
+        cut = max(1, int(n * share))
+        fresh = cases.words(2 * cut, rng.random()).split()
+        yield f"tail {share}", base[: n - cut // 2 - 1] + fresh[: cut // 2 + 1]
+        yield f"appended {share}", base + fresh[:cut]
+        yield f"cut off {share}", base[: n - cut]
+        yield f"removed inside {share}", base[: n // 3] + base[n // 3 + cut :]
+        at = rng.sample(range(n), max(1, int(cut / 5)))
+        yield f"scattered {share}", [fresh[i % len(fresh)] if i in at else w for i, w in enumerate(base)]
+
+
+def test_near_copies_of_each_kind_of_edit_are_found(spark):
+    rng, rows, kinds = random.Random(9), [], {}
+    for g, size in enumerate((80, 150, 400, 900)):
+        base = cases.words(size, 700 + g).split()
+        for kind, other in variants(base, rng, g):
+            rows += [(len(rows), " ".join([w + str(len(rows)) for w in base])), (len(rows) + 1, " ".join([w + str(len(rows)) if w in base else w for w in other]))]
+            kinds[len(rows) - 1] = (size, kind)
+    texts = dict(rows)
+    near = {d for d in kinds if likeness(texts[d], texts[d - 1]) >= 0.8}
+    assert len(near) > 40
+    kept = {r.doc_id for r in sh.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {kinds[d] for d in near & kept} == set() and kept == set(texts) - near
+
+
+def test_classes_equal_brute_force_where_the_nearest_is_not_near_enough(spark):
+    rng, rows = random.Random(3), []
+    for g in range(6):
+        family = [cases.words(120, 800 + g).split()]
+        for k in range(30):  # each is an edit of some earlier one, so families are chains and stars about 0.8
+            other = list(rng.choice(family))
+            for _ in range(rng.randint(1, 4)):
+                other[rng.randrange(len(other))] = cases.words(1, rng.random()) + "x"
+            family.append(other)
+        rows += [(g * 100 + i, " ".join(f)) for i, f in enumerate(family)]
+    texts = [t for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] // 100 == rows[j][0] // 100 and likeness(texts[i], texts[j]) >= 0.8]
+    want = {rows[i][0]: rows[r][0] for i, r in enumerate(roots(len(rows), pairs))}
+    assert len(set(want.values())) > 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 3):
+        assert {r.doc_id: r.component_id for r in sh.similar_classes(df, block=block).collect()} == want
+
+
 def test_near_copies_in_awkward_documents(spark):
     df = cases.awkward(cases.docs(spark))
     kept = sh.drop_near_copies(df)
