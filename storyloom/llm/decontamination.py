@@ -1,12 +1,14 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Texts and benchmark items are canonicalised to templates: numbers, names (capitalised words inside a sentence) and units
-after a number become typed slots; words are lower-cased and punctuation is dropped. Every window of `WINDOW` template tokens
-of a document is hash-joined with the windows of the items. Windows that match on one diagonal (the same shift between
-document and item) are put together, and their slots compared: a leak must fill the item's slots by a one-to-one map. Equal
-fillings are a verbatim copy; other consistent fillings a re-parameterised question; inconsistent ones are no leak.
+after a number become typed slots; words are lower-cased and punctuation is dropped. A capitalised word that opens a sentence
+matches as a word or as a name, and equal words match whatever their case. Every window of an item (`WINDOW` tokens, fewer in
+items under 32 tokens) is met in the documents by its anchor word. Windows that touch on one diagonal (the same shift between
+document and item) make a run, and a run's slots must be filled by a function of the item's fillings: equal fillings are a
+verbatim copy; other consistent fillings a re-parameterised question; an inconsistent run counts for nothing.
 
-A pair is reported if one diagonal matches at least half of an item's windows, or `LONG_RUN` of them.
+Runs on neighbouring diagonals (words put in or left out between them) are put together. A pair is reported if one of its runs
+has `RUN` tokens, or its runs cover at least half of the item's tokens and `WINDOW` of them.
 
 Defined results: null, empty and slot-only texts match nothing; items shorter than a window are matched as a whole, if they
 have at least `SHORTEST` words; items with equal templates are each reported; of repeated keys the rows are taken as one
@@ -16,7 +18,7 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm._common import read, stage
@@ -26,7 +28,10 @@ SHORTEST = 4
 #: Words that a window must have beside its slots.
 LEAST_WORDS = 3
 SHARE = 0.5
-LONG_RUN = 16
+#: Tokens of a run that is reported whatever the item's length.
+RUN = 13
+#: Places by which neighbouring diagonals may differ.
+DRIFT = 8
 #: Benchmark windows up to which their side of the join is broadcast; a larger benchmark is joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -40,13 +45,20 @@ UNITS = (
 #: for the separators inside a number.
 NUMBER, NAME, UNIT, POINT = "\u0001", "\u0002", "\u0003", "\u0004"
 _SLOT_END = "\u0005"
+#: Stands before a capitalised word that may be a name or just open a sentence; such a token is a word and can fill a name's slot.
+OPENING = "\u0006"
 
 
-def marked_tokens(text: Column) -> Column:
-    """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units."""
-    controls = NUMBER + NAME + UNIT + POINT
-    clean = F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, "    ")).otherwise(text)
+def marked_tokens(text: Column, openings: bool = False) -> Column:
+    """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units.
+
+    With openings, the other capitalised words have a mark, too.
+    """
+    controls = NUMBER + NAME + UNIT + POINT + OPENING
+    clean = F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, " " * len(controls))).otherwise(text)
     named = F.regexp_replace(clean, r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{L})", NAME + "$1")
+    if openings:
+        named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})(?=\p{{L}})", OPENING + "$1")
     whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
     numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
     units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
@@ -54,63 +66,105 @@ def marked_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{controls}]+"), "")
 
 
-def template(tokens: Column) -> Column:
-    """Tokens joined by blanks, with the fillings of slots left out. No lambda: it stays inside generated code."""
-    return F.regexp_replace(F.array_join(tokens, " "), rf"([{NUMBER}{NAME}{UNIT}])[^ ]*", "$1")
+def plain(token: Column) -> Column:
+    """The token without the mark of a name or an opening."""
+    return F.translate(token, NAME + OPENING, "")
+
+
+def _kind(token: Column) -> Column:
+    return F.substring(token, 1, 1)
+
+
+def _pattern(item: Column) -> Column:
+    """Expression for the tokens that match an item's token: the equal word, or a slot of its type. Tokens have no special marks."""
+    word, kind = plain(item), _kind(item)
+    slot = F.when(kind.isin(NAME, OPENING), F.concat(F.lit(f"(?:[{NAME}{OPENING}][^ ]*|"), word, F.lit(")"))).when(kind.isin(NUMBER, UNIT), F.concat(kind, F.lit("[^ ]*")))
+    return F.coalesce(slot, F.concat(F.lit(f"[{NAME}{OPENING}]?"), word))
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, n_windows, item_pos, item_tokens, shape, anchor, anchor_at): the windows by which each item can be matched.
+    """(item_id, n_tokens, n_windows, item_pos, item_tokens, pattern, anchor, anchor_at): the windows by which each item can be matched.
 
-    The anchor of a window is its longest word (the first of equals in the alphabet): the one likely to be rarest.
+    A window has a quarter of the item's tokens, from 4 to `window`, so that one changed word leaves windows on both sides; an
+    item with fewer tokens than `window` is one window. The anchor of a window is its longest word (the first of equals in the
+    alphabet), one that opens no sentence if there is any: the one likely to be rarest.
     """
-    tokens = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    sized = stage(tokens.where(F.size("tokens") >= SHORTEST), "benchmark-tokens")
-    places = sized.select("item_id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.size("tokens") - window, F.lit(0)))).alias("item_pos"))
-    cut = places.select("item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, window).alias("item_tokens"))
+    tokens = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit("")), True).alias("tokens"))
+    size = F.size("tokens")
+    width = F.when(size < window, size).otherwise(F.least(F.lit(window), F.greatest(F.lit(SHORTEST), F.floor(size / 4).cast("int"))))
+    sized = stage(tokens.where(size >= SHORTEST).withColumn("width", width), "benchmark-tokens")
+    # A window that has too few words goes on to the next words, or back from the item's end, so that slots there are checked, too.
+    told = sized.withColumn("at", F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.element_at("tokens", k + 1) >= _SLOT_END)).where(F.size("at") >= LEAST_WORDS)
+    starts = told.select("*", F.explode(F.sequence(F.lit(0), size - F.col("width"))).alias("start"))
+    after = F.filter("at", lambda k: k >= F.col("start"))
+    whole = F.size(after) >= LEAST_WORDS
+    first = F.when(whole, F.col("start")).otherwise(F.element_at("at", -LEAST_WORDS))
+    end = F.when(whole, F.greatest(F.col("start") + F.col("width"), F.get(after, F.lit(LEAST_WORDS - 1)) + 1)).otherwise(size)
+    spans = starts.select("item_id", "tokens", first.alias("item_pos"), end.alias("end")).distinct()
+    cut = spans.select("item_id", size.alias("n_tokens"), "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("end") - F.col("item_pos")).alias("item_tokens"))
     words = F.filter("item_tokens", lambda t: t >= _SLOT_END)
-    told = cut.where(F.size(words) >= LEAST_WORDS).select("*", F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))["w"].alias("anchor"))
-    counts = told.groupBy("item_id").agg(F.count("*").cast("int").alias("n_windows"))
-    return told.join(counts, "item_id").select("item_id", "n_windows", "item_pos", "item_tokens", template(F.col("item_tokens")).alias("shape"), "anchor", (F.array_position("item_tokens", F.col("anchor")) - 1).cast("int").alias("anchor_at"))
+    rarest = F.array_min(F.transform(words, lambda w: F.struct((_kind(w) == OPENING).alias("o"), (-F.length(w)).alias("n"), w.alias("w"))))["w"]
+    anchored = cut.select("*", rarest.alias("anchor"))
+    counts = anchored.groupBy("item_id").agg(F.countDistinct("item_pos").cast("int").alias("n_windows"))
+    return anchored.join(counts, "item_id").select("item_id", "n_tokens", "n_windows", "item_pos", "item_tokens", F.concat(F.lit("^"), F.array_join(F.transform("item_tokens", _pattern), " "), F.lit("$")).alias("pattern"), plain(F.col("anchor")).alias("anchor"), (F.array_position("item_tokens", F.col("anchor")) - 1).cast("int").alias("anchor_at"))
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
+    """(doc_id, item_id, n_tokens, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
 
-    Tokens are joined with the anchors of the benchmark's windows; only where an anchor stands is a window cut and its template compared.
+    Tokens are joined with the anchors of the benchmark's windows; only where an anchor stands is a window compared.
     """
     windows = stage(windows, "benchmark-windows")
-    tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), marked_tokens(F.col(text)).alias("tokens"))
+    tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), marked_tokens(F.col(text), True).alias("tokens"))
     # The outer form: for the inner one Spark infers a filter on the array's size, and computes the tokens twice.
-    placed = tokens.select("doc_id", "tokens", F.posexplode_outer("tokens").alias("at", "anchor"))
+    words = F.split(plain(F.array_join("tokens", " ")), " ")
+    placed = tokens.select("doc_id", "tokens", words.alias("words")).select("doc_id", "tokens", F.posexplode_outer("words").alias("at", "anchor"))
     start = F.col("at") - F.col("anchor_at")
     if windows.count() <= broadcast_windows:
         met = placed.join(F.broadcast(windows), "anchor")
     else:  # only places cross the shuffle; those with an anchor fetch their document's tokens
         met = placed.select("doc_id", "at", "anchor").join(windows, "anchor").join(tokens, "doc_id")
     inside = met.where((start >= 0) & (start + F.size("item_tokens") <= F.size("tokens")))
-    cut = inside.select("doc_id", "item_id", "n_windows", start.alias("pos"), "item_pos", "shape", F.slice("tokens", start + 1, F.size("item_tokens")).alias("doc_tokens"), "item_tokens")
-    return cut.where(template(F.col("doc_tokens")) == F.col("shape")).drop("shape")
+    cut = inside.select("doc_id", "item_id", "n_tokens", "n_windows", start.alias("pos"), "item_pos", "pattern", F.slice("tokens", start + 1, F.size("item_tokens")).alias("doc_tokens"), "item_tokens")
+    # No lambda here: it would take the join, and with it each place's whole document, out of generated code.
+    return cut.where(F.rlike(F.array_join("doc_tokens", " "), F.col("pattern"))).drop("pattern")
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, long_run: int = LONG_RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, kind, matched, n_windows, n_slots, position) for each leaked item of each document.
 
-    kind is `verbatim` or `reparameterised`; position is the first token of the best diagonal.
+    kind is `verbatim` or `reparameterised`; position is the first token of the best place.
     """
     found = matched_windows(docs, item_windows(items, item_key, item_text, window), key, text, broadcast_windows)
-    filled = F.filter(F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(i.alias("i"), d.alias("d"))), lambda p: p["i"] < _SLOT_END)
+    paired = F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(_kind(i).alias("k"), plain(i).alias("i"), plain(d).alias("d")))
+    filled = F.filter(paired, lambda p: p["k"].isin(NUMBER, NAME, UNIT) | ((p["k"] == OPENING) & (p["i"] != p["d"])))
+    places = found.select("doc_id", "item_id", "n_tokens", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.size("item_tokens").alias("width"), filled.alias("slots"))
     # A diagonal has at most one window for each of the item's places, whatever the length of the document.
-    by_diagonal = (
-        found.select("doc_id", "item_id", "n_windows", "pos", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), filled.alias("slots"))
-        .groupBy("doc_id", "item_id", "n_windows", "shift")
-        .agg(F.countDistinct("item_pos").alias("matched"), F.min("pos").alias("position"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    diagonal = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos", "width")
+    reached = F.max(F.col("item_pos") + F.col("width")).over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("item_pos") > reached, F.lit(False)).cast("int")
+    numbered = places.withColumn("apart", apart).withColumn("run", F.sum("apart").over(diagonal))
+    runs = numbered.groupBy("doc_id", "item_id", "n_tokens", "n_windows", "shift", "run").agg(
+        F.collect_set("item_pos").alias("starts"), F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("width")).alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    )
+    # An opening that differs is held against the names only if it is one of them.
+    names = F.transform(F.filter("slots", lambda p: p["k"] == NAME), lambda p: p["i"])
+    checked = F.transform(F.filter("slots", lambda p: (p["k"] != OPENING) | F.array_contains(F.col("names"), p["i"])), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
+    of = runs.withColumn("names", names).withColumn("checked", F.array_distinct(checked))
+    consistent = of.where(F.size(F.array_distinct(F.transform("checked", lambda p: p["i"]))) == F.size("checked")).drop("names", "checked", "run")
+    near = Window.partitionBy("doc_id", "item_id").orderBy("shift", "lo")
+    jump = F.coalesce(F.col("shift") - F.lag("shift").over(near) > DRIFT, F.lit(False)).cast("int")
+    placed = consistent.withColumn("jump", jump).withColumn("place", F.sum("jump").over(near))
+    together = placed.groupBy("doc_id", "item_id", "n_tokens", "n_windows", "place").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("lo"), F.col("hi") - 1))))).alias("covered"),
+        F.max(F.col("hi") - F.col("lo")).alias("longest"),
+        F.min(F.col("lo") + F.col("shift")).alias("position"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    size = lambda of: F.size(F.array_distinct(F.transform("slots", of)))
-    consistent = (size(lambda p: p["i"]) == F.size("slots")) & (size(lambda p: p["d"]) == F.size("slots"))
-    verbatim = F.forall("slots", lambda p: p["i"] == p["d"])
-    enough = (F.col("matched") >= F.col("n_windows") * share) | (F.col("matched") >= long_run)
-    kept = by_diagonal.where(enough).select("*", F.when(verbatim, "verbatim").when(consistent, "reparameterised").alias("kind")).where("kind is not null")
+    enough = (F.col("longest") >= run) | (F.col("covered") >= F.greatest(F.col("n_tokens") * share, F.least(F.col("n_tokens"), F.lit(window)).cast("double")))
+    kind = F.when(F.forall("slots", lambda p: p["i"] == p["d"]), "verbatim").otherwise("reparameterised")
+    kept = together.where(enough).withColumn("kind", kind)
     best = F.max_by(F.struct("kind", "matched", F.size("slots").alias("n_slots"), "position"), F.struct("matched", F.col("kind") == "verbatim", -F.col("position")))
     return kept.groupBy("doc_id", "item_id", "n_windows").agg(best.alias("b")).select("doc_id", "item_id", "b.kind", "b.matched", "n_windows", "b.n_slots", "b.position")
 

@@ -39,6 +39,20 @@ def test_leaks(spark):
     assert found(spark, texts, []) == {} and found(spark, {}, items) == {}
 
 
+LONG = cases.words(40, 31).split()
+SHORT = cases.words(15, 32).split()
+
+
+def test_edited_and_partly_quoted_items(spark):
+    items = [" ".join(LONG), " ".join(SHORT)]
+    around = lambda *w: " ".join([cases.words(30, 33), *w, cases.words(30, 34)])
+    texts = {
+        1: around(*LONG[:20], "inserted", *LONG[20:]), 2: around(*LONG[:20], *LONG[21:]), 3: around(*LONG[:13], "xx", *LONG[14:26], "yy", *LONG[27:]), 4: around(*LONG[10:30]),
+        5: around(*SHORT[:7], "xx", *SHORT[8:]), 6: around(*SHORT[:7], "two", "words", *SHORT[7:]), 7: around(*LONG[:8]), 8: around(*LONG[:9], *cases.words(60, 35).split(), *LONG[15:24]), 9: around(*SHORT[:6]),
+    }
+    assert found(spark, texts, items) == {(d, 0): "verbatim" for d in (1, 2, 3, 4)} | {(d, 1): "verbatim" for d in (5, 6)}
+
+
 def test_dropped_documents(spark):
     docs = cases.docs(spark).unionByName(spark.createDataFrame([(500, "x. " + ITEM, "en", "a", 1)], cases.SCHEMA))
     bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
