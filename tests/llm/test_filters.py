@@ -53,6 +53,22 @@ def test_edited_and_partly_quoted_items(spark):
     assert found(spark, texts, items) == {(d, 0): "verbatim" for d in (1, 2, 3, 4)} | {(d, 1): "verbatim" for d in (5, 6)}
 
 
+FRIENDS = "Natalia sold 5 clips to her friends in April. Natalia then sold 7 clips fewer in May. How many clips did she sell?"
+
+
+def test_reparameterised_openings_and_equal_fillings(spark):
+    other = FRIENDS.replace("Natalia", "Weng")
+    texts = {
+        1: "First. " + other, 2: "First. " + FRIENDS.replace("5", "6").replace("7", "6"), 3: "First. " + other.replace("5", "9").replace("7", "9"),
+        4: "Here Weng" + other[4:], 5: FRIENDS.upper(), 6: FRIENDS.lower(),
+    }
+    got = found(spark, texts, [FRIENDS])
+    assert got == {(d, 0): "reparameterised" for d in (1, 2, 3, 4)} | {(5, 0): "verbatim", (6, 0): "verbatim"}
+    # Different fillings of one number or name remain no leak where one run has them.
+    ann = "Later Ann paid 5 coins and then after lunch Ann got 5 coins back again."
+    assert found(spark, {1: ann.replace("5 coins back", "6 coins back"), 2: ann.replace("Ann got", "Eve got")}, [ann]) == {}
+
+
 def test_dropped_documents(spark):
     docs = cases.docs(spark).unionByName(spark.createDataFrame([(500, "x. " + ITEM, "en", "a", 1)], cases.SCHEMA))
     bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
