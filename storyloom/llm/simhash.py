@@ -269,7 +269,7 @@ def near_classes(docs: DataFrame, scheme: Scheme = CONTRACT, key: str = "doc_id"
 
 SIMILARITY = 0.8
 #: Bits of the parity map of a shingle set: two maps differ in no more bits than the sets in members.
-PARITY = 1024
+PARITY = 512
 #: Documents whose shingles tell which are common, and the most of those that are told. They only order shingles: any one
 #: order gives the same classes.
 SAMPLE_DOCS, COMMON = 4000, 100_000
@@ -384,7 +384,7 @@ def _partners(rows: DataFrame, similarity: float, every: bool, block: int = BLOC
                         apart = apart[_may_be_near(table[2][apart], table[3][apart], size, b, similarity)]
                     found += [(r, o) for o in table[0][apart if every else apart[:1]]]
             fresh = {(min(p), max(p)) for p in found} - told
-            if len(told) < 1_000_000:
+            if len(told) < 10_000:
                 told |= fresh
             if fresh:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
