@@ -8,7 +8,7 @@ The counts behind the distributions come from a bounded sample of labelled rows
 the key), so the model has a fixed size; it is at most one table of `BUCKETS` columns for each language.
 
 Defined results: a null text and a text without a letter give `und` with score 0, an empty mixture and no row is lost; rows
-with a null language teach nothing; rows with a null key are not held out; ties go to the language first in the alphabet;
+with a null language teach nothing; very long texts are read whole; rows with a null key are not held out; ties go to the language first in the alphabet;
 an empty table gives no rows, and without any labelled text all are `und`; extra columns are ignored.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,16 @@ ROUNDS = 12
 UNDETERMINED = "und"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter; one table for each worker."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's letter trigrams and their counts; runs of other characters count as one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letters = np.fromiter(map(str.isalpha, text.lower()), bool, len(points))
+    letters = _letters()[points]
     points = np.where(letters, points, 32)
     keep = letters.copy()
     keep[1:] |= letters[:-1]
@@ -46,9 +53,8 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0)
     mixed = (points[:-2] * 2654435761 + points[1:-1] * 40503 * 65537 + points[2:] * 97) & 0xFFFFFFFFFF
     buckets = (mixed ^ (mixed >> 17)) & (BUCKETS - 1)
-    counts = np.bincount(buckets, minlength=BUCKETS)
-    found = np.flatnonzero(counts)
-    return found, counts[found].astype(np.float64)
+    found, counts = np.unique(buckets.astype(np.uint16), return_counts=True)
+    return found.astype(np.int64), counts.astype(np.float64)
 
 
 @dataclass(frozen=True)

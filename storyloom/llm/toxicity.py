@@ -1,16 +1,22 @@
 """Toxic spans by a linear-chain conditional random field; marginals add up to document scores and offending offsets.
 
 Labels mark documents, so tokens are labelled first: in a bounded sample of labelled documents, a token of a toxic document is
-toxic if its form, or its stem (first letters), is at least `LIFT` times as frequent, by documents, in toxic ones as in clean
-ones, by some standard deviations (`surety`); all other tokens are not. The CRF (two states; features: hashed form and stems) is trained on these sequences
-by gradient ascent with forward-backward expectations. Scoring tags whole texts: the marginal odds of a token come from one
-forward and one backward pass, and a document's score is a logistic function of its largest marginal log-odds and of its
-expected number of toxic tokens, fitted on every third document of the sample, from which the CRF does not learn.
-
-Defined results: null and empty texts have no tokens and get the score of a document without any toxic token; rows with a null
-key are not held out and labels without a document, null labels and labels of null texts teach nothing; of repeated labels
-of a key the largest counts; without labelled documents of both kinds every score is 0; an empty table gives no rows; extra
-columns are ignored.
+toxic if its form, or its stem (first letters), is in toxic documents at least `LIFT` times as often as in clean ones and more
+often than chance allows (`marks`: a false discovery rate of `FALSE_MARKS` over all forms, one rule for samples of any size);
+all other tokens are not. The CRF (two states; features: hashed form and stems) is trained on these sequences by gradient
+ascent with forward-backward expectations. Scoring tags whole texts: the marginal odds of a token come from one forward and one
+backward pass, and a document's score is a logistic function of its largest marginal log-odds, of its expected number of
+toxic tokens and of its length. That function is fitted on whole documents of the sample from which the CRF does not learn.
+
+The sample: `SAMPLE_TOXIC` and `SAMPLE_CLEAN` rows and `SAMPLE_POINTS` code points of each kind at most, drawn by a hash of key
+and text whatever a text's length. It is cut into pieces of `PIECE` code points where it lies; of a text over `LONG_POINTS` so
+many pieces are drawn as make about that length. All whole texts are scored.
+
+Defined results: null and empty texts have no tokens and get the score of a document without any toxic token; very long texts
+are scored whole; rows with a null key are not held out and labels without a document, null labels and labels of null texts
+teach nothing; of repeated labels of a key the largest counts, and of repeated rows of a key each teaches; without labelled
+documents of both kinds every score is 0; words that stand out equally often are all marks; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +33,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm._common import held_out, read, slices
+from storyloom.llm._common import held_out, read, slices, stage
 
 FEATURES = 1 << 16
-#: Labelled documents of each kind in the sample, and the code points up to which a document may be in it.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 1800, 8_000
-LIFT = 8.0
+#: Bounds of the sample of each kind: rows and code points.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_POINTS = 800, 1200, 3_000_000
+#: Code points of a piece that the CRF learns from, and of a text above which only some of its pieces are drawn.
+PIECE, LONG_POINTS = 4_000, 64_000
+LIFT, FALSE_MARKS = 8.0, 0.001
+#: Letters of the stems that are features and may be marks.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,8 +50,8 @@ _CACHE_WORDS = 100_000
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: the form and its stems of 4 to 6 letters."""
-    names = ["w" + word, *(f"s{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
+    """Hashed features of a lower-cased word: the form and its stems."""
+    names = ["w" + word, *[f"s{word[:n]}" for n in STEMS if len(word) >= n]]
     return [xxhash.xxh32_intdigest(n) & (FEATURES - 1) for n in names]
 
 
@@ -51,21 +61,19 @@ class ToxicityModel:
     bias: float = -8.0
     #: Log-potential of staying toxic, of entering and of leaving; staying clean is 0.
     moves: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    #: Intercept and slopes of the largest log-odds and of log(1 + expected toxic tokens).
-    scale: tuple[float, float, float] = (-30.0, 0.0, 0.0)
+    #: Intercept and slopes of what summary() gives.
+    scale: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
 
-    def emission(self, word: str) -> float:
-        return self.bias + float(self.weights[features(word)].sum())
+    def document_score(self, told: tuple[float, ...]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.scale[0] + np.dot(self.scale[1:], told), -30, 30))))
 
-    def document_score(self, log_odds: np.ndarray) -> float:
-        top, expected = summary(log_odds)
-        return float(1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * top + self.scale[2] * expected, -30, 30))))
 
-
-def summary(log_odds: np.ndarray) -> tuple[float, float]:
+def summary(log_odds: np.ndarray) -> tuple[float, float, float]:
+    """The largest log-odds, log(1 + expected toxic tokens) and log(1 + tokens) of a document."""
     if not len(log_odds):
-        return -15.0, 0.0
-    return float(np.clip(log_odds.max(), -15, 15)), float(np.log1p((1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))).sum()))
+        return -15.0, 0.0, 0.0
+    expected = (1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))).sum()
+    return float(np.clip(log_odds.max(), -15, 15)), float(np.log1p(expected)), float(np.log1p(len(log_odds)))
 
 
 def chain(emissions: list[np.ndarray], moves: tuple[float, float, float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -101,40 +109,50 @@ def chain(emissions: list[np.ndarray], moves: tuple[float, float, float]) -> tup
     return out
 
 
-def surety(toxic_documents: int) -> float:
-    """Standard deviations that a mark needs: more where a larger sample offers more forms that could stand out by chance."""
-    return 2.5 + min(1.5, toxic_documents / 600)
-
+def marks(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> set[str]:
+    """Forms that mark toxic documents, from the documents of each kind that have them.
 
-def label_tokens(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """1 for each token of a toxic document whose form or stem marks toxic documents, else 0."""
+    If a form were as frequent in both kinds, so many of its documents would be toxic with a probability of at most
+    exp(-N KL(share || rate)) (Chernoff). Forms are taken by the false discovery rate (Benjamini and Hochberg) over those with
+    documents enough to be told apart at all (Tarone).
+    """
+    rate = n_toxic / max(1, n_toxic + n_clean)
+    forms = sorted(f for f, n in toxic.items() if rate ** (n + clean[f]) < 1e-3)
+    n = np.array([toxic[f] for f in forms], dtype=float)
+    both = n + np.array([clean[f] for f in forms], dtype=float)
+    share = n / np.maximum(both, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = share * np.log(share / rate) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0)
+    p = np.where(share > rate, np.exp(-both * kl), 1.0)
+    tested = sum(1 for f, c in clean.items() if f not in toxic and rate ** c < 1e-3) + len(forms)
+    order = np.argsort(p, kind="stable")
+    passed = np.flatnonzero(p[order] <= FALSE_MARKS * np.arange(1, len(p) + 1) / max(1, tested))
+    most = p[order[passed[-1]]] if len(passed) else -1.0
+    lifted = n * n_clean >= LIFT * (both - n + 0.5) * n_toxic
+    return {f for f, ok in zip(forms, (p <= most) & lifted, strict=True) if ok}
+
+
+def label_tokens(docs: list[list[str]], toxic: list[int], of: list[int]) -> list[np.ndarray]:
+    """1 for each token of a toxic document whose form or stem marks toxic documents, else 0; of numbers each piece's document."""
+    stems = lambda w: {w, *(w[:n] + "*" for n in STEMS if len(w) > n)}
+    forms_of: dict[int, set[str]] = {}
+    kinds = dict(zip(of, toxic, strict=True))
+    for words, d in zip(docs, of, strict=True):
+        forms_of.setdefault(d, set()).update(*map(stems, set(words)))
     seen = {0: Counter(), 1: Counter()}
-    forms = lambda w: {w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)}
-    for words, y in zip(docs, toxic, strict=True):
-        seen[y].update(set().union(*map(forms, set(words))) if words else ())
-    sizes = {y: max(1, toxic.count(y)) for y in (0, 1)}
-    ratio, sure = sizes[1] / sizes[0], surety(sizes[1])
-
-    def marks_toxic(n: int, clean: int) -> bool:
-        expected = clean * ratio
-        return n >= LIFT * (clean + 0.5) * ratio and n - expected >= sure * (n + expected * ratio) ** 0.5
+    for d, forms in forms_of.items():
+        seen[kinds[d]].update(forms)
+    found = marks(seen[1], seen[0], sum(kinds.values()), len(kinds) - sum(kinds.values()))
+    return [np.array([bool(y) and not found.isdisjoint(stems(w)) for w in words], dtype=np.float64) for words, y in zip(docs, toxic, strict=True)]
 
-    marks = {f for f, n in seen[1].items() if marks_toxic(n, seen[0][f])}
-    return [np.array([bool(y) and not marks.isdisjoint(forms(w)) for w in words], dtype=np.float64) for words, y in zip(docs, toxic, strict=True)]
 
-
-def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds: int = 60) -> ToxicityModel:
-    """Train on a bounded sample that has documents of both kinds; share is that of toxic ones where the sample came from."""
+def fit(pieces: list[str], toxic: list[int], of: list[int], rounds: int = 60) -> ToxicityModel:
+    """Train the chain on the pieces of a bounded sample that has documents of both kinds; of numbers each piece's document."""
     model = ToxicityModel()
-    every = {y: [i for i, t in enumerate(toxic) if t == y] for y in (0, 1)}
-    apart = {i for rows in every.values() for i in (rows[2::3] if len(rows) >= 6 else rows)}
-    held = [(texts[i], toxic[i]) for i in sorted(apart)]
-    learnt = [i for i in range(len(texts)) if i not in apart or len(every[toxic[i]]) < 6]
-    texts, toxic = [texts[i] for i in learnt], [toxic[i] for i in learnt]
-    docs = [[w.lower() for w in _WORD.findall(t)] for t in texts]
-    if not (0 in toxic and 1 in toxic):
+    docs = [[w.lower() for w in _WORD.findall(t)] for t in pieces]
+    if not (0 in toxic and 1 in toxic and any(docs)):
         return model
-    gold = label_tokens(docs, toxic)
+    gold = label_tokens(docs, toxic, of)
     forms = sorted({w for words in docs for w in words})
     number = {w: i for i, w in enumerate(forms)}
     listed = [features(w) for w in forms]
@@ -174,92 +192,109 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds:
         w[FEATURES] = 0.0
         if np.abs(gap).sum() < 1e-4 * size / 100:
             break
-    model = ToxicityModel(w[:FEATURES].astype(np.float32), float(params[0]), tuple(map(float, params[1:])))
-    del table, flat, truth, emissions, emit, tokens
-    scorer = Scorer(model)
-    x = np.array([[1.0, *summary(odds)] for start in range(0, len(held), 256) for odds, _ in scorer.log_odds([t for t, _ in held[start : start + 256]])])
-    toxic = [y for _, y in held]
-    y, beta = np.array(toxic, dtype=float), np.zeros(3)
-    share = y.mean() if share is None else share
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    for _ in range(30):  # Newton steps of a ridge logistic regression
+    return ToxicityModel(w[:FEATURES].astype(np.float32), float(params[0]), tuple(map(float, params[1:])))
+
+
+def calibrate(told: list[tuple[float, ...]], toxic: list[int], share: float) -> tuple[float, ...]:
+    """Intercept and slopes of a ridge logistic regression, the rows weighted so that `share` of them are toxic."""
+    x, y = np.array([[1.0, *t] for t in told]), np.array(toxic, dtype=float)
+    ridge = np.array([1e-3, *[1e-2] * (x.shape[1] - 1)])
+    weight, beta = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), np.zeros(x.shape[1])
+    for _ in range(30):  # Newton steps
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2])
-        beta = beta + np.linalg.solve(hess, x.T @ (weight * (y - q)) - np.array([1e-3, 1e-2, 1e-2]) * beta)
-    model.scale = tuple(map(float, beta))
-    return model
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
+        beta = beta + np.linalg.solve(hess, x.T @ (weight * (y - q)) - ridge * beta)
+    return tuple(map(float, beta))
 
 
-class Scorer:
+class _Emissions(dict):
+    """The emission of each word met, in any case; emptied when it grows too large."""
+
     def __init__(self, model: ToxicityModel):
-        self.model, self.known = model, {}
+        super().__init__()
+        self.bias, self.weights = model.bias, model.weights.tolist()
 
-    def _emission(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > _CACHE_WORDS:
-                self.known.clear()
-            got = self.known[word] = self.model.emission(word.lower())
-        return got
+    def __missing__(self, word: str) -> float:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        found = self[word] = self.bias + sum([self.weights[f] for f in features(word.lower())])
+        return found
 
-    def log_odds(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+
+class Scorer:
+    def __init__(self, model: ToxicityModel):
+        self.model, self.emissions = model, _Emissions(model)
+
+    def log_odds(self, texts: list[str]) -> list[np.ndarray]:
         """The marginal log-odds of each word of each whole text."""
         emissions = []
         for text in texts:
             words = _WORD.findall(text)
-            emissions.append(np.fromiter(map(self._emission, words), np.float64, len(words)))
-        return [(e + f + b, text) for text, e, f, b in zip(texts, emissions, *chain(emissions, self.model.moves), strict=True)]
-
-    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        """A document score and the toxic spans (first and past-the-last code point, marginal) of each whole text."""
-        out = []
-        for log_odds, text in self.log_odds(texts):
-            spans: list[tuple[int, int, float]] = []
-            if len(log_odds) and log_odds.max() >= 0:
-                p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-                places = [m.span() for m in _WORD.finditer(text)]
-                last = -2
-                for i in np.flatnonzero(p >= SPAN_MARGINAL):
-                    if i == last + 1:
-                        spans[-1] = (spans[-1][0], places[i][1], max(spans[-1][2], float(p[i])))
-                    else:
-                        spans.append((*places[i], float(p[i])))
-                    last = i
-            out.append((self.model.document_score(log_odds), spans))
-        return out
+            emissions.append(np.fromiter(map(self.emissions.__getitem__, words), np.float64, len(words)))
+        return [e + f + b for e, f, b in zip(emissions, *chain(emissions, self.model.moves), strict=True)]
+
+    def spans(self, text: str, log_odds: np.ndarray) -> list[tuple[int, int, float]]:
+        """First and past-the-last code point of each run of toxic words, and its largest marginal."""
+        found: list[tuple[int, int, float]] = []
+        if len(log_odds) and log_odds.max() >= 0:
+            p = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+            places = [m.span() for m in _WORD.finditer(text)]
+            last = -2
+            for i in np.flatnonzero(p >= SPAN_MARGINAL):
+                if i == last + 1:
+                    found[-1] = (found[-1][0], places[i][1], max(found[-1][2], float(p[i])))
+                else:
+                    found.append((*places[i], float(p[i])))
+                last = i
+        return found
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Fit on about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents at most, drawn by a hash of the key."""
-    marked = labels.where(learn_from & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
-    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    """Fit on a sample of the labelled documents (see above); only its pieces and three numbers a document reach the driver."""
+    marked = labels.where(learn_from & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max("toxic").cast("int").alias("_y")).where("_y in (0, 1)")
+    known = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(marked, "_k")
+    sizes = {r["_y"]: (r["n"], r["p"]) for r in known.groupBy("_y").agg(F.count("*").alias("n"), F.sum(F.char_length("_t")).alias("p")).collect()}
     if set(sizes) != {0, 1}:
         return ToxicityModel()
     scale = 1 << 20
-    rate = {y: int(min(1.0, most / sizes[y]) * scale) for y, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))}
-    draw = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit("sample")), F.lit(scale))
-    drawn = marked.where(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    # The drawn keys are about SAMPLE_TOXIC + SAMPLE_CLEAN at any size of the input.
-    sample = docs.join(F.broadcast(drawn), docs[key] == F.col("_k")).where((F.char_length(F.col(text)) <= SAMPLE_CHARS))
-    rows = sorted((r["_k"], r["text"], r["toxic"]) for r in sample.select("_k", F.col(text).alias("text"), "toxic").dropDuplicates(["_k"]).collect())
-    return fit([r[1] for r in rows], [int(r[2]) for r in rows], sizes[1] / (sizes[0] + sizes[1]))
+    rate = {y: int(min(1.0, most / sizes[y][0], SAMPLE_POINTS / max(1, sizes[y][1])) * scale) for y, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))}
+    drawn = F.pmod(F.xxhash64(F.col("_k").cast("string"), "_t", F.lit("sample")), F.lit(scale))
+    apart = F.pmod(F.xxhash64(F.col("_k").cast("string"), "_t", F.lit("apart")), F.lit(4)) == 0
+    sample = stage(known.where(drawn < F.when(F.col("_y") == 1, rate[1]).otherwise(rate[0])).withColumn("_apart", apart).withColumn("_n", F.char_length("_t")), "toxicity-sample")
+    # Which documents the CRF does not learn from; if those are of one kind, all are used for both.
+    kinds = {r["_y"] for r in sample.where("_apart").select("_y").distinct().collect()}, {r["_y"] for r in sample.where("not _apart").select("_y").distinct().collect()}
+    taught, judged = (sample.where("not _apart"), sample.where("_apart")) if kinds == ({0, 1}, {0, 1}) else (sample, sample)
+    starts = F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)), F.lit(PIECE))
+    cut = taught.select(F.col("_k").cast("string").alias("k"), F.xxhash64("_t").alias("h"), "_y", "_n", "_t", F.explode(starts).alias("at"))
+    long_rate = F.lit(LONG_POINTS * scale).cast("double") / F.greatest(F.col("_n"), F.lit(LONG_POINTS))
+    kept = cut.where(F.pmod(F.xxhash64("k", "h", "at"), F.lit(scale)) < long_rate).select("k", "h", "at", "_y", F.col("_t").substr(F.col("at"), F.lit(PIECE)).alias("piece"))
+    rows = sorted(tuple(r) for r in kept.collect())
+    number = {kh: i for i, kh in enumerate(dict.fromkeys((r[0], r[1]) for r in rows))}
+    model = fit([r[4] for r in rows], [r[3] for r in rows], [number[r[0], r[1]] for r in rows])
+    told = score_documents(judged.select("_y", "_t"), model, "_y", "_t").select("_y", "top", "expected", "tokens").collect()
+    model.scale = calibrate([tuple(r)[1:] for r in told], [r[0] for r in told], sizes[1][0] / (sizes[0][0] + sizes[1][0]))
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, score, spans) for every document; spans are the offending offsets with their largest marginal."""
+    """(key, *keep, score, top, expected, tokens, spans) for every document; spans are the offending offsets with their largest marginal."""
     handle = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
     passed = list(dict.fromkeys([key, *keep]))
+    names = ["score", "top", "expected", "tokens", "spans"]
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(handle.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
         for batch in slices(batches):
-            found = scorer.score([t or "" for t in batch.column(text).to_pylist()])
-            spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in s] for _, s in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], [*passed, "score", "spans"])
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            odds = scorer.log_odds(texts)
+            told = [summary(o) for o in odds]
+            numbers = [pa.array([scorer.model.document_score(t) for t in told], pa.float64()), *(pa.array(c, pa.float64()) for c in zip(*told, strict=True))]
+            spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in scorer.spans(t, o)] for t, o in zip(texts, odds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), *numbers, pa.array(spans, kind)], [*passed, *names])
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
-    made = [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
+    made = [*(T.StructField(n, T.DoubleType()) for n in names[:-1]), T.StructField("spans", T.ArrayType(span))]
     return docs.select(*dict.fromkeys([*passed, text])).mapInArrow(tag, T.StructType([docs.schema[c] for c in passed] + made))
 
 
