@@ -6,7 +6,7 @@ from sketches alone, and are exact while a text has at most k distinct shingles.
 
 Defined results: a null text is an empty one; a text of one to four words is one shingle; an empty text has the empty
 sketch, whose likeness is 1 to another empty one and 0 to any other; null keys come first in the order; repeated keys
-follow one another in the order of their texts; a lone document is its own successor; an empty table gives no rows; extra
+follow one another in the order of their texts; very long texts are read whole; a lone document is its own successor; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -37,22 +37,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """The hash of each word met; emptied when it grows too large, and long words are not kept."""
+
+    def __missing__(self, word: str) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_HASHES = _WordHashes()
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
     """One hash for each run of `width` words, repeats included; a shorter text is one shingle."""
-    words = word_hashes(text)
+    return shingles_of(word_hashes(text), width)
+
+
+def shingles_of(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The same from the hashes of the words."""
     if not len(words):
         return words
     width = min(width, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     for j in range(width):
-        total = mixed(total + words[j : j + n] * _FACTORS[j % len(_FACTORS)])
-    return total
+        total = total * _FACTORS[0] + words[j : j + n] * _FACTORS[1 + j % (len(_FACTORS) - 1)]
+    return mixed(total)
 
 
 class BottomK:

@@ -10,7 +10,8 @@ all pairs. A bucket with many members is dealt over blocks that each hold a boun
 
 Defined results: a text without words has fingerprint zero, as has a null text, and is linked like any other; a text with
 fewer words than a shingle is one shingle; documents with a null key keep their fingerprint but get no class and link
-nothing; repeated rows share a class; an empty table gives no rows; extra columns are ignored.
+nothing; repeated rows share a class; very long texts are read whole; ties between documents of a class go to the smaller key,
+then to the smaller hash of the text; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm._common import read, shuffle_partitions, slices, stage
 from storyloom.llm.components import connected_components
-from storyloom.llm.fingerprints import shingle_hashes
+from storyloom.llm.fingerprints import shingle_hashes, shingles_of, word_hashes
 
 #: Members of a bucket that one task holds at once; larger buckets are dealt over several blocks.
 BLOCK = 4096
@@ -211,7 +212,7 @@ def links(distinct: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
     dealt = live.withColumn("own", own).select("key", "kind", "rep", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     dealt = dealt.select("key", "block", "rep", F.when((F.col("kind") == 0) & (F.col("own") == F.col("block")), 0).otherwise(1).cast("byte").alias("role"))
     full = dealt.join(distinct.select("rep", "fp"), "rep")
-    ordered = full.repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", "role")
+    ordered = full.repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", "role", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple[int, int] | None = None
@@ -252,17 +253,18 @@ def links(distinct: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, scheme: Scheme = CONTRACT, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id, n_links): the smallest key that links lead to, and the links found of its fingerprint."""
+    """(doc_id, fp, component_id, n_forest_links): the smallest key that links lead to, and how many of the links that were kept
+    to connect its class (a spanning forest of each bucket, not all links) its fingerprint has."""
     prints = stage(fingerprint(docs, key, text, shingle), "simhash-prints")
     distinct = stage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     found = stage(links(distinct, scheme).distinct(), "simhash-links")
     roots = connected_components(found)
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_forest_links"))
     classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = stage(classes.select("fp", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "simhash-classes")
+    classes = stage(classes.select("fp", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_forest_links", F.lit(0).cast("long")).alias("n_forest_links")), "simhash-classes")
     known = prints.join(classes, "fp", "left")
     classed = F.col("doc_id").isNotNull()
-    return known.select("doc_id", "fp", F.when(classed, F.col("component_id")).alias("component_id"), F.when(classed, F.col("n_links")).alias("n_links"))
+    return known.select("doc_id", "fp", F.when(classed, F.col("component_id")).alias("component_id"), F.when(classed, F.col("n_forest_links")).alias("n_forest_links"))
 
 
 # ---- near-duplicate classes by shared five-word shingles --------------------------------------------------------------
@@ -272,9 +274,11 @@ SIMILARITY = 0.8
 PARITY = 512
 #: Documents whose shingles tell which are common, and the most of those that are told. They only order shingles: any one
 #: order gives the same classes.
-SAMPLE_DOCS, COMMON = 4000, 100_000
+SAMPLE_DOCS, COMMON = 2000, 50_000
 #: Rounds that link each document to one other of each shingle, before all that are still apart are compared.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+#: Rows of a shingle up to which all pairs are looked at together with those of other shingles, in array operations.
+FEW = 16
 
 
 def _common_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -282,13 +286,13 @@ def _common_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.nd
     scale = 1 << 20
     rate = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * scale)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(scale)) < rate)
-    rows = _shingle_sets(drawn, width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), pa.int64())], ["shingle"])
+        for batch in slices(batches, 100):
+            found = [np.unique(shingle_hashes(t or "", width)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())], ["shingle"])
 
-    counts = rows.mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    counts = drawn.select("text").mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
     told = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     shingles, n = told.column("shingle").to_numpy().view(np.uint64), told.column("n").to_numpy()
     order = np.argsort(shingles)
@@ -305,27 +309,30 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     if len(common[0]):
         at = np.searchsorted(common[0], shingles).clip(max=len(common[0]) - 1)
         seen = np.where(common[0][at] == shingles, common[1][at], 0)
-    return shingles[np.lexsort((shingles, seen))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+    # The sort is stable, so equally rare ones stay in the order of their hashes.
+    return shingles[np.argsort(seen, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
 def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """(doc_id, same, n, prefix, bits): same is equal for equal sequences of words; n distinct shingles, their prefix and parities."""
+    """(doc_id, h, same, n, prefix, bits, fp): same is equal for equal sequences of words; n distinct shingles, their prefix,
+    their parities, and the fingerprint of all shingles."""
     handle = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))  # COMMON at most
+    names = ["doc_id", "h", "same", "n", "prefix", "bits", "fp"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = handle.value
         for batch in slices(batches):
-            same, sizes, prefixes, bits = [], [], [], []
+            made: list[tuple] = []
             for t in batch.column("text").to_pylist():
-                t = t or ""
-                same.append(hashlib.md5(" ".join(t.lower().split()).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
-                found = np.unique(shingle_hashes(t, width))
-                sizes.append(len(found))
-                prefixes.append(prefix(found, common, similarity).tobytes())
-                bits.append(np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "same", "n", "prefix", "bits"])
+                words = word_hashes(t or "")
+                runs = shingles_of(words, width)
+                found = np.unique(runs)
+                bits = np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+                made.append((hashlib.md5(words.tobytes(), usedforsecurity=False).digest(), len(found), prefix(found, common, similarity).tobytes(), bits, majority_bits(runs)))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names)
 
-    return docs.mapInArrow(make, "doc_id long, same binary, n long, prefix binary, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(make, "doc_id long, h long, same binary, n long, prefix binary, bits binary, fp binary")
 
 
 def _prefix_rows(distinct: DataFrame) -> DataFrame:
@@ -341,33 +348,55 @@ def _prefix_rows(distinct: DataFrame) -> DataFrame:
     return distinct.select("rep", "prefix").mapInArrow(expand, "key long, rep long")
 
 
-def _may_be_near(n: np.ndarray, bits: np.ndarray, one_n: np.ndarray, one_bits: np.ndarray, similarity: float) -> np.ndarray:
+def _may_be_near(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bits: np.ndarray, similarity: float) -> np.ndarray:
     """False only where sizes or parities rule the similarity out."""
-    apart = (n + one_n) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return (np.abs(n - one_n) <= apart) & (np.bitwise_count(bits ^ one_bits).sum(axis=1, dtype=np.int64) <= apart)
+    apart = (n + other_n) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (np.abs(n - other_n) <= apart) & (np.bitwise_count(bits ^ other_bits).sum(axis=1, dtype=np.int64) <= apart)
+
+
+def _apart(rows: DataFrame, block: int) -> DataFrame:
+    """(key, rep, root, blocks): the rows whose key several classes share, and over how many tasks the key must be dealt."""
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return stage(rows.join(counts.select("key", "blocks"), "key").select("key", "rep", "root", "blocks"), "simhash-apart")
 
 
-def _partners(rows: DataFrame, similarity: float, every: bool, block: int = BLOCK) -> DataFrame:
-    """(a, b) of rows (key, rep, root, n, bits) that share a key but no root and may be near: every pair, or one for each row.
+def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b) of rows that share a key but no root and may be near: every pair, or (where a key has many rows) one for each row.
 
-    A key with over `block` rows is dealt over several tasks, each holding a part and streaming all rows past.
+    A key with many rows is dealt over several tasks, each holding a part and streaming all rows past.
     """
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    names = ["key", "rep", "root", "n", "bits"]
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = rows.join(counts.select("key", "blocks"), "key").select(*rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = dealt.select(*rows.columns, "block", (F.col("own") == F.col("block")).alias("held"))
-    ordered = dealt.repartition(shuffle_partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("held"), "rep")
+    dealt = apart.join(sizes, "rep").select(*names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = dealt.select(*names, "block", (F.col("own") == F.col("block")).alias("held"))
+    ordered = dealt.repartition(shuffle_partitions(apart.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("held"), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, table, told = None, [], None, set()
-        for batch in batches:
+        for batch in slices(batches, 4000):
             if not batch.num_rows:
                 continue
             key, block_no, rep, root, n, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "held"))
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-            edges = np.flatnonzero((key[1:] != key[:-1]) | (block_no[1:] != block_no[:-1]) | (held[1:] != held[:-1])) + 1
-            found = []
+            fresh_name = np.flatnonzero((key[1:] != key[:-1]) | (block_no[1:] != block_no[:-1])) + 1
+            edges = np.union1d(fresh_name, np.flatnonzero(held[1:] != held[:-1]) + 1)
+            found: list[tuple[int, int]] = []
+            # Small groups that lie wholly in this batch: all their pairs at once.
+            starts = np.concatenate([[0], fresh_name])
+            length = np.diff(np.append(starts, len(key)))
+            whole = (length <= FEW) & (starts > 0) & (starts + length < len(key)) & held[starts + length - 1]
+            for k in range(2, FEW + 1):
+                first = starts[whole & (length == k)]
+                if len(first):
+                    i, j = ((first[:, None] + side).ravel() for side in np.triu_indices(k, 1))
+                    differ = root[i] != root[j]
+                    i, j = i[differ], j[differ]
+                    near = _may_be_near(n[i], bits[i], n[j], bits[j], similarity)
+                    found += zip(rep[i[near]].tolist(), rep[j[near]].tolist(), strict=True)
+            small = set(starts[whole].tolist())
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+                if lo in small:
+                    continue
                 name = (key[lo], block_no[lo])
                 if name != current:
                     current, parts, table = name, [], None
@@ -379,28 +408,28 @@ def _partners(rows: DataFrame, similarity: float, every: bool, block: int = BLOC
                 if table is None:
                     continue
                 for r, c, size, b in zip(*mine, strict=True):
-                    apart = np.flatnonzero(table[1] != c)
-                    if len(apart):
-                        apart = apart[_may_be_near(table[2][apart], table[3][apart], size, b, similarity)]
-                    found += [(r, o) for o in table[0][apart if every else apart[:1]]]
-            fresh = {(min(p), max(p)) for p in found} - told
+                    apart_at = np.flatnonzero(table[1] != c)
+                    if len(apart_at):
+                        apart_at = apart_at[_may_be_near(table[2][apart_at], table[3][apart_at], size, b, similarity)]
+                    found += [(r, o) for o in table[0][apart_at if every else apart_at[:1]]]
+            pairs = {(min(p), max(p)) for p in found} - told
             if len(told) < 10_000:
-                told |= fresh
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
+                told |= pairs
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, shingles): the distinct shingle hashes of each text, ascending, as bytes."""
+    """(rep, shingles) of (rep, text): the distinct shingle hashes of each text, ascending, as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    return docs.mapInArrow(make, "doc_id long, shingles binary")
+    return docs.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
 
 
 def _likeness(pairs: DataFrame) -> DataFrame:
@@ -418,63 +447,79 @@ def _likeness(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(measure, "a long, b long, similarity double")
 
 
-def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id): classes of documents linked by a Jaccard similarity of five-word shingles of at least 0.8.
+def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, block: int) -> DataFrame:
+    """(doc_id, h, root) of every row with a key: h is a hash of its text, root is equal within a class.
 
-    Exact: two such documents share a shingle of their prefixes, and of those that share one, each pair is measured on its
-    shingles, ruled out by sizes or parities, or in one class already by links that were measured.
+    Candidates come from two sides: pigeonring chains on the fingerprints of all five-word shingles find the closest copies,
+    and an exact prefix-filter join finds the rest. Each is measured on its shingles before it links anything. Of rows that
+    share a shingle of their prefixes, each pair is measured, ruled out by sizes or parities, or in one class already by links
+    that were measured; two documents of that similarity do share one.
     """
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
-    told = F.first(F.struct("n", "prefix", "bits")).alias("first")
-    distinct = stage(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), told).select("same", "rep", "first.*"), "simhash-distinct")
-    rows = stage(_prefix_rows(distinct), "simhash-prefixes")
-    shared = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    known = distinct.select("rep", "n", "bits")
-    live = stage(rows.join(shared, "key").join(known, "rep").select("key", "rep", F.col("rep").alias("root"), "n", "bits"), "simhash-live")
+    told = F.min(F.struct("doc_id", "h")).alias("row")
+    # The sets of a class of equal words are equal; its number stands for it from here on.
+    numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
+    distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct")
+    sizes = distinct.select("rep", "n", "bits")
+    first = _apart(_prefix_rows(distinct).select("key", "rep", F.col("rep").alias("root")), block)
+    by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
+    ringed = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Most rows have no partner that sizes and parities allow: only the others' texts are read again.
-    first = stage(_partners(live, similarity, False, block), "simhash-partners")
-    ends = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
+    pairs = stage(_partners(first, sizes, similarity, False).unionByName(ringed).distinct(), "simhash-partners")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = distinct.select("rep", "row.doc_id", "row.h").join(ends, "rep", "left_semi")
     # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
-    sets = stage(_shingle_sets(keyed.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "simhash-shingles")
-    live = stage(live.join(sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select(*live.columns), "simhash-compared")
+    met = keyed.join(wanted.hint("merge"), "doc_id").where(F.xxhash64("text") == F.col("h")).select("rep", "text")
+    sets = stage(_shingle_sets(met.dropDuplicates(["rep"])), "simhash-shingles")
+    compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    def near(candidates: DataFrame) -> DataFrame:
+        sided = candidates.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
         return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
 
-    def joined(links: DataFrame) -> DataFrame:
-        return stage(connected_components(links), "simhash-roots")
-
-    found = near(first)
-    roots = joined(found)
+    found = near(pairs)
+    roots = stage(connected_components(found), "simhash-roots")
     for turn in range(HUB_ROUNDS + 1):
-        rooted = live.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "n", "bits")
+        rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        apart = _apart(rooted, block)
         if turn < HUB_ROUNDS:
-            hubs = rooted.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-            pairs = rooted.join(hubs.select("key", "hub"), "key").where(F.col("root") != F.col("hub.root")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+            hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"))
+            met = apart.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+            more = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
         else:
-            pairs = _partners(rooted, similarity, True, block)
-        found = found.unionByName(near(stage(pairs, "simhash-candidates")))
-        roots = joined(found)
-    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("component_id"))
-    return prints.select("doc_id", "same").join(stage(classes, "simhash-classes"), "same").select("doc_id", "component_id")
+            more = _partners(apart, sizes, similarity, True)
+        fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
+        if not fresh.isEmpty():
+            found = found.unionByName(fresh)
+            roots = stage(connected_components(found), "simhash-roots")
+    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
+    return stage(prints.select("doc_id", "h", "same").join(classes, "same").select("doc_id", "h", "root"), "simhash-rooted")
+
+
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked by a Jaccard similarity of five-word shingles of at least 0.8; no link is lost."""
+    rooted = _rooted_prints(docs, similarity, key, text, block)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each class the one with the smallest key stays, of its repeated rows one.
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The documents without near copies: of each class the row with the smallest key stays.
 
+    Rows that share a key are documents of their own, told apart by their texts; of rows that are equal in both one stays.
     Documents with a null key are kept: nothing tells them apart from one another.
     """
-    known = docs.where(F.col(key).isNotNull())
-    classes = similar_classes(docs, similarity, key=key, text=text)
-    kept = stage(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
-    chosen = known.join(kept.select("_kept").hint("merge"), docs[key] == kept["_kept"], "left_semi")
-    if not kept.where("_rows > 1").isEmpty():  # else every key has one row, and texts need not meet by key again
-        chosen = chosen.dropDuplicates([key])
+    known, h = docs.where(F.col(key).isNotNull()), F.xxhash64(F.col(text))
+    rooted = _rooted_prints(docs, similarity, key, text, block)
+    kept = stage(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("row")).select(F.col("row.doc_id").alias("_kept"), F.col("row.h").alias("_h")), "simhash-kept")
+    chosen = known.join(kept.hint("merge"), (docs[key] == kept["_kept"]) & (h == kept["_h"]), "left_semi")
+    repeated = rooted.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # else every key and text has one row, and texts need not meet by key again
+        chosen = chosen.withColumn("_h", h).dropDuplicates([key, "_h"]).drop("_h")
     return chosen.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_forest_links")
