@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import global_positions, read, running_offsets, stage
+from storyloom.llm._common import global_positions, read, stage
 from storyloom.llm._encode import GENERATION, encoder, vocabulary
 
 CAPACITY = 1024
@@ -188,11 +188,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     """Add sequence_id and offset to rows with a length in 1 .. capacity."""
     spark = items.sparkSession
     numbered = global_positions(items, ["length", *order], "pack-order")
-    per_length = numbered.groupBy("length").agg(F.count("*").alias("n")).persist()
-    counts = {r["length"]: r["n"] for r in per_length.collect()}  # at most `capacity` rows
-    starts = running_offsets(per_length, "length", "n", "_first")
+    counts = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    firsts = [(n, sum(c for m, c in counts.items() if m < n)) for n in sorted(counts)]
+    starts = spark.createDataFrame(firsts, "length long, _first long")
     rules = [(r.length, r.lo, r.hi, r.first_seq, r.per_seq, r.offset) for r in plan(counts, capacity).rules]
-    # The rules are bounded by the lengths that exist, not by the rows.
+    # Some rules for each length that exists, however many rows there are.
     table = spark.createDataFrame(rules, "length long, lo long, hi long, first_seq long, per_seq long, base long")
     ranked = numbered.join(F.broadcast(starts), "length").withColumn("_rank", F.col("_pos") - F.col("_first"))
     at = F.col("_rank") - F.col("lo")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import global_positions, read, running_offsets
+from storyloom.llm._common import global_positions, read, running_offsets, stage
 
 # Fixed values of the published algorithm: the multiplier of its linear congruential generator, and 2^31.
 MULTIPLIER = 2862933555777941757
@@ -74,13 +74,15 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shards:
     ordered, by one range shuffle over (shard, key), and a shard's first position turns a global one into a slot.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(
+    measured = docs.select(
         F.col(key).alias(key),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body).alias("text_crc32"),
         jump_shard(F.col(key), shards).alias("shard"),
         jump_shard(F.col(key), shards + 1).alias("grown_shard"),
     )
+    # Written first: finding the ranges would read and measure the texts once more.
+    narrow = stage(measured, "shard-rows")
     placed = global_positions(narrow, ["shard", key, "text_crc32", "size"], "shard-slots")
     starts = running_offsets(placed.groupBy("shard").agg(F.count("*").alias("_n")), "shard", "_n", "_start")
     return placed.join(F.broadcast(starts), "shard").select(

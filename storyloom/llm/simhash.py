@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import read, shuffle_partitions, slices, stage
+from storyloom.llm._common import read, scratch, shuffle_partitions, slices, stage
 from storyloom.llm.components import connected_components
 from storyloom.llm.fingerprints import shingle_hashes, shingles_of, word_hashes
 
@@ -255,13 +255,15 @@ def links(distinct: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
 def near_classes(docs: DataFrame, scheme: Scheme = CONTRACT, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id, n_forest_links): the smallest key that links lead to, and how many of the links that were kept
     to connect its class (a spanning forest of each bucket, not all links) its fingerprint has."""
-    prints = stage(fingerprint(docs, key, text, shingle), "simhash-prints")
-    distinct = stage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = stage(links(distinct, scheme).distinct(), "simhash-links")
-    roots = connected_components(found)
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_forest_links"))
-    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = stage(classes.select("fp", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n_forest_links", F.lit(0).cast("long")).alias("n_forest_links")), "simhash-classes")
+    with scratch(docs.sparkSession):
+        prints = stage(fingerprint(docs, key, text, shingle), "simhash-prints", outlive=True)
+        distinct = stage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+        found = stage(links(distinct, scheme).distinct(), "simhash-links")
+        roots = connected_components(found).withColumnRenamed("node", "rep")
+        ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
+        classes = distinct.join(roots, "rep", "left").join(ends, "rep", "left")
+        classes = classes.select("fp", F.coalesce("root", "rep").alias("component_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_forest_links"))
+        classes = stage(classes, "simhash-classes", outlive=True)
     known = prints.join(classes, "fp", "left")
     classed = F.col("doc_id").isNotNull()
     return known.select("doc_id", "fp", F.when(classed, F.col("component_id")).alias("component_id"), F.when(classed, F.col("n_forest_links")).alias("n_forest_links"))
@@ -456,45 +458,46 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
     that were measured; two documents of that similarity do share one.
     """
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
-    told = F.min(F.struct("doc_id", "h")).alias("row")
-    # The sets of a class of equal words are equal; its number stands for it from here on.
-    numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
-    distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct")
-    sizes = distinct.select("rep", "n", "bits")
-    first = _apart(_prefix_rows(distinct).select("key", "rep", F.col("rep").alias("root")), block)
-    by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
-    ringed = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # Most rows have no partner that sizes and parities allow: only the others' texts are read again.
-    pairs = stage(_partners(first, sizes, similarity, False).unionByName(ringed).distinct(), "simhash-partners")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = distinct.select("rep", "row.doc_id", "row.h").join(ends, "rep", "left_semi")
-    # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
-    met = keyed.join(wanted.hint("merge"), "doc_id").where(F.xxhash64("text") == F.col("h")).select("rep", "text")
-    sets = stage(_shingle_sets(met.dropDuplicates(["rep"])), "simhash-shingles")
-    compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
-
-    def near(candidates: DataFrame) -> DataFrame:
-        sided = candidates.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
-        return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
-
-    found = near(pairs)
-    roots = stage(connected_components(found), "simhash-roots")
-    for turn in range(HUB_ROUNDS + 1):
-        rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        apart = _apart(rooted, block)
-        if turn < HUB_ROUNDS:
-            hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"))
-            met = apart.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
-            more = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        else:
-            more = _partners(apart, sizes, similarity, True)
-        fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
-        if not fresh.isEmpty():
-            found = found.unionByName(fresh)
-            roots = stage(connected_components(found), "simhash-roots")
-    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
-    return stage(prints.select("doc_id", "h", "same").join(classes, "same").select("doc_id", "h", "root"), "simhash-rooted")
+    with scratch(docs.sparkSession):
+        prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
+        told = F.min(F.struct("doc_id", "h")).alias("row")
+        # The sets of a class of equal words are equal; its number stands for it from here on.
+        numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
+        distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct")
+        sizes = distinct.select("rep", "n", "bits")
+        first = _apart(_prefix_rows(distinct).select("key", "rep", F.col("rep").alias("root")), block)
+        by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
+        ringed = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # Most rows have no partner that sizes and parities allow: only the others' texts are read again.
+        pairs = stage(_partners(first, sizes, similarity, False).unionByName(ringed).distinct(), "simhash-partners")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = distinct.select("rep", "row.doc_id", "row.h").join(ends, "rep", "left_semi")
+        # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
+        met = keyed.join(wanted.hint("merge"), "doc_id").where(F.xxhash64("text") == F.col("h")).select("rep", "text")
+        sets = stage(_shingle_sets(met.dropDuplicates(["rep"])), "simhash-shingles")
+        compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
+
+        def near(candidates: DataFrame) -> DataFrame:
+            sided = candidates.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
+            return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
+
+        found = near(pairs)
+        roots = connected_components(found)
+        for turn in range(HUB_ROUNDS + 1):
+            rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+            apart = _apart(rooted, block)
+            if turn < HUB_ROUNDS:
+                hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"))
+                met = apart.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+                more = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+            else:
+                more = _partners(apart, sizes, similarity, True)
+            fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
+            if not fresh.isEmpty():
+                found = found.unionByName(fresh)
+                roots = connected_components(found)
+        classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
+        return stage(prints.select("doc_id", "h", "same").join(classes, "same").select("doc_id", "h", "root"), "simhash-rooted", outlive=True)
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

@@ -5,11 +5,15 @@ no rule fits take part in redirect equivalence: redirects (meta refresh) and can
 a block decision of any address reaches all others of its connected component. An explicit allow takes precedence: an
 address that an allow rule fits stays allowed, whatever its aliases are. Without any decision a page is allowed.
 
-Addresses are compared without scheme and fragment, with the host in lower case.
+Addresses are compared without scheme and fragment, with the host in lower case. References are resolved against the page's url
+as RFC 3986 says: absolute, without scheme, without host, query alone, or relative with dot segments; all canonical links and
+refreshes of a page count, comments and scripts do not, and entities of ampersand, quotes and angle brackets are decoded. A
+`base` element is not read. References to a fragment, or with a scheme but no host (`mailto:`), are no edges.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and no alias, and is allowed; a null
-html has no edges; rows with a null key and repeated rows are judged one by one; an empty table gives no rows; extra columns
-are ignored. A rule without a host fits nothing.
+html has no edges; very long pages are read whole; of rules that fit equally long the one listed later decides; rows with a null
+key and repeated rows are judged one by one; an empty table gives no rows; extra columns are ignored. A rule without a host
+fits nothing.
 """
 
 from __future__ import annotations
@@ -54,34 +58,63 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return out
 
 
+def _decoded(text: Column) -> Column:
+    for pattern, mark in (("&(?:lt|#60|#x3c);", "<"), ("&(?:gt|#62|#x3e);", ">"), ("&(?:quot|#34|#x22);", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:amp|#38|#x26);", "&")):
+        text = F.regexp_replace(text, "(?i)" + pattern, mark)
+    return text
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its `.` and `..` segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    none = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, none, step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(last, "/"))
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """A link target as a full url: absolute, scheme-relative, host-relative, or relative to the page's folder."""
+    """A link target as a full url; null where it names no other address."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    return (
+    own = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    full = (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:|$)"), None)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(site, target))
-        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(target.startswith("?"), F.concat(site, own, target))
+        .otherwise(F.concat(site, F.regexp_replace(own, r"[^/]*$", ""), target))
     )
+    path = path_of(full)
+    tidy = F.concat(F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1), _without_dots(path), F.regexp_extract(full, r"(?s)^.*?://[^?#]*(.*)", 1))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), tidy).otherwise(full)
 
 
-_VALUE = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
+# The link tags that name a canonical address, the meta tags that refresh, and where they say so.
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_CANONICAL = r"""(?is)\srel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_REFRESH = r"""(?is)\shttp-equiv\s*=\s*["']?\s*refresh\b"""
+_HREF = r"""(?is)\shref\s*=\s*["']?\s*([^"'\s>]+)"""
+_GOTO = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): edges between addresses from canonical links and meta refreshes of each page."""
-    canonical = F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "(?is)\\bhref" + _VALUE, 1)
-    refresh = F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    linked = pages.where(F.lower(F.col(html)).rlike("canonical|refresh")).select(F.col(url).alias("url"), F.explode(F.array(canonical, refresh)).alias("target")).where("target <> ''")
+    """(a, b): edges between addresses from the canonical links and meta refreshes of each page."""
+    seen = F.regexp_replace(F.col(html), _HIDDEN, " ")
+    links = F.filter(F.regexp_extract_all(seen, F.lit(_LINK), F.lit(0)), lambda t: F.rlike(t, F.lit(_CANONICAL)))
+    metas = F.filter(F.regexp_extract_all(seen, F.lit(_META), F.lit(0)), lambda t: F.rlike(t, F.lit(_REFRESH)))
+    targets = F.concat(F.transform(links, lambda t: _decoded(F.regexp_extract(t, _HREF, 1))), F.transform(metas, lambda t: F.regexp_extract(_decoded(t), _GOTO, 1)))
+    linked = pages.where(F.lower(F.col(html)).rlike("canonical|refresh")).select(F.col(url).alias("url"), F.explode(targets).alias("target"))
     return linked.select(address_of(F.col("url")).alias("a"), address_of(_absolute(F.col("target"), F.col("url"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(key, host, path, rule, verdict, by) for every page; by is `rule`, `alias` or `default`."""
     links = stage(alias_links(pages, url, html).distinct(), "url-links")
-    roots = stage(connected_components(links), "url-components")
+    roots = connected_components(links)
     as_url = F.concat(F.lit("x://"), F.col("node"))
     nodes = roots.select("node", "root", rule_of(host_of(as_url), path_of(as_url), rules).alias("r"))
     blocked = nodes.where(F.col("r.verdict") == BLOCK).select("root").distinct()
@@ -110,23 +143,43 @@ WITH RECURSIVE p AS (
   FROM pages
 ),
 q AS (SELECT *, CASE WHEN told THEN host || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS address FROM p),
-t AS (
-  SELECT url, path, address, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')]) AS target
-  FROM q WHERE html IS NOT NULL
+seen AS (SELECT url, path, address, regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis') AS html FROM q WHERE html IS NOT NULL),
+raw AS (
+  SELECT url, path, address, false AS whole, unnest(list_filter(regexp_extract_all(html, '<link\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\srel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)', 'is'))) AS tag FROM seen
+  UNION ALL
+  SELECT url, path, address, true, unnest(list_filter(regexp_extract_all(html, '<meta\b[^>]*>', 0, 'is'), lambda x: regexp_matches(x, '\shttp-equiv\s*=\s*["'']?\s*refresh\b', 'is'))) FROM seen
 ),
+said AS (SELECT *, CASE WHEN whole THEN tag ELSE regexp_extract(tag, '\shref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is') END AS x FROM raw),
+plain AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&(?:lt|#60|#x3c);', '<', 'gi'), '&(?:gt|#62|#x3e);', '>', 'gi'), '&(?:quot|#34|#x22);', '"', 'gi'), '&(?:apos|#39|#x27);', chr(39), 'gi'), '&(?:amp|#38|#x26);', '&', 'gi') AS y
+  FROM said
+),
+t AS (SELECT url, address, CASE WHEN path = '' THEN '/' ELSE path END AS own, CASE WHEN whole THEN regexp_extract(y, '\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is') ELSE y END AS target FROM plain),
 u AS (
   SELECT address, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN regexp_matches(target, '^(?:#|[A-Za-z][A-Za-z0-9+.-]*:|$)') THEN NULL
     WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || target
     WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || target
-    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS target
-  FROM t WHERE target <> ''
+    WHEN starts_with(target, '?') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || own || target
+    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || regexp_replace(own, '[^/]*$', '') || target END AS target
+  FROM t
+),
+w AS (
+  SELECT address, target, regexp_extract(target, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, string_split(substr(regexp_extract(target, '^.*?://[^/?#]*([^?#]*)', 1, 's'), 2), '/') AS parts
+  FROM u WHERE target IS NOT NULL AND address IS NOT NULL
+),
+x AS (
+  SELECT address, CASE WHEN NOT regexp_matches(path, '/\.\.?(?:/|$)') THEN target ELSE
+    regexp_extract(target, '^(.*?://[^/?#]*)', 1, 's') || '/' || array_to_string(list_concat(
+      list_reduce(list_transform(parts, lambda c: [c]), lambda k, c: CASE WHEN c[1] = '.' THEN k WHEN c[1] = '..' THEN k[1:len(k) - 1] ELSE list_concat(k, c) END, []::VARCHAR[]),
+      CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END), '/')
+    || regexp_extract(target, '^.*?://[^?#]*(.*)', 1, 's') END AS target
+  FROM w
 ),
 v AS (
   SELECT address AS a, translate(regexp_extract(target, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     || CASE WHEN starts_with(regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1, 's'), '/') THEN '' ELSE '/' END || regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b
-  FROM u WHERE address IS NOT NULL
+  FROM x
 ),
 e AS (SELECT a, b FROM v WHERE a <> b UNION SELECT b, a FROM v WHERE a <> b),
 reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m),

@@ -108,3 +108,22 @@ def test_urls_against_the_oracle(spark, tmp_path):
     pages = spark.createDataFrame([p for p in PAGES if p[1]], "page_id long, url string, html string")
     pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     assert spark_rows(urls.op4_urls(spark, str(tmp_path))) == duck_rows(None, urls.OP4_SQL, pages=pages.toPandas())
+
+
+MORE_PAGES = [
+    (1, "http://q.net/list/a", '<link rel="canonical" href="?q=2">'), (2, "http://q.net/list/a?q=2", '<link rel=canonical href=https://b.com/de/1>'),
+    (3, "http://d.net/x/y/z", '<link rel="canonical" href="../z">'), (4, "http://d.net/x/z", '<meta content="3; URL=./../../../w/." http-equiv=refresh>'), (5, "http://d.net/w/", '<link href="//b.com/de/2" rel="alternate canonical">'),
+    (6, "http://e.net/1", "<link rel='canonical' href='/p?a=1&amp;b=2'>"), (7, "http://e.net/p?a=1&b=2", '<link rel=canonical href="http://b.com/de/3">'),
+    (8, "http://f.net/1", '<link rel=canonical href="/ok"><link rel="canonical" href="http://b.com/de/4">'),
+    (9, "http://g.net/1", '<!-- <link rel=canonical href="http://b.com/de/5"> --><script>"<link rel=canonical href=http://b.com/de/6>"</script>'),
+    (10, "http://h.net/1", '<link rel=canonical href="mailto:b@b.com/de/7"><link rel=canonical href="#de"><link rel=canonical href=""><link rel="uncanonical" href="http://b.com/de/8">'),
+    (11, "http://i.net", "<meta http-equiv='refresh' content=\"0; url='de/../../x'\">"), (12, "http://i.net/x", '<link rel=canonical href="http://b.com/de/9">'), (13, None, '<link rel=canonical href="http://b.com/de/9">'),
+]
+
+
+def test_references_are_resolved(spark, tmp_path):
+    pages = spark.createDataFrame(MORE_PAGES, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages).collect()}
+    assert got == {n: "allow" if n in (9, 10, 13) else "block" for n in range(1, 14)}
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    assert spark_rows(urls.op4_urls(spark, str(tmp_path))) == duck_rows(None, urls.OP4_SQL, pages=pages.toPandas())
