@@ -23,9 +23,12 @@ _WORD = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[\\s.,;:!?]|$)"
 _MARKS = r"[.,;:!?]+(?=\s|$)"
 _BYTE_LEVEL_PIECES = re.compile(rf" ?{_WORD}|{_MARKS}| ?\S+|\s+(?!\S)|\s")
 _WORD_PIECES = re.compile(rf"{_WORD}|{_MARKS}|\S+")
-#: Pieces that a worker remembers from its current generation, and as many from its last one. Memory only: results do not
-#: depend on it.
-GENERATION = 600_000
+#: Bytes of pieces and ids that each memory of a worker holds from its current generation, and as many from its last one.
+#: Pieces over LONGEST code points are never kept. Memory only: results do not depend on either.
+GENERATION = 96 << 20
+LONGEST = 64
+#: What an entry takes beside its piece and its ids.
+_ENTRY = 160
 
 #: One Latin word, with or without the blank before it: one unit to the tokenizer, which needs no pattern to find it. The dotted
 #: capital I is left out, for it becomes two characters in lower case.
@@ -48,12 +51,11 @@ class _Memory(dict):
     def __init__(self, learn: Callable[[str], Any], lower: bool, marks: Callable[[str], Any] | None = None):
         super().__init__()
         self.learn, self.lower, self.marks, self.last = learn, lower, marks, {}
-        self.most = GENERATION
+        self.most, self.bytes = GENERATION, 0
 
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.last = dict(self)
-            self.clear()
+    def forget(self) -> None:
+        self.clear()
+        self.last, self.bytes = {}, 0
 
     def __missing__(self, piece: str) -> Any:
         found = self.last.get(piece)
@@ -65,10 +67,26 @@ class _Memory(dict):
                 found = self[piece[0].lower() + piece[1:]]
             else:
                 found = self.learn(piece)
-        self[piece] = found
+        if len(piece) <= LONGEST:
+            self.bytes += _ENTRY + 2 * len(piece) + (len(found) if isinstance(found, bytes) else len(found[1]) + len(found[2]) + 130)
+            if self.bytes > self.most:
+                self.last = dict(self)
+                self.clear()
+                self.bytes = 0
+            self[piece] = found
         return found
 
 
+def _kinds(node: Any) -> set[str]:
+    """The types of all steps of a normalizer or pre-tokenizer, with `Removed` for a split that drops what it finds."""
+    if isinstance(node, list):
+        return set().union(*map(_kinds, node))
+    if not isinstance(node, dict):
+        return set()
+    own = {node["type"]} if "type" in node else set()
+    return own | ({"Removed"} if node.get("behavior") == "Removed" else set()) | _kinds(node.get("normalizers")) | _kinds(node.get("pretokenizers"))
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,12 +94,13 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        drops_space = "Removed" in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        settings = json.loads(self.tokenizer.to_str())
+        drops_space = "Removed" in _kinds(settings["pre_tokenizer"])
         self.pieces = _WORD_PIECES if drops_space else _BYTE_LEVEL_PIECES
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.lower = lower = drops_space and "Lowercase" in self.tokenizer.to_str()
+        self.lower = lower = drops_space and "Lowercase" in _kinds(settings["normalizer"])
         self.ids = _Memory(self._ids, lower, self._ids)
         self.spaced = _Memory(lambda piece: self._ids(" " + piece), False, self._ids)
         self.line_feed = self._ids("\n")
@@ -117,13 +136,10 @@ class PieceEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; a null text is an empty one."""
-        self.ids.turn()
-        self.spaced.turn()
         return [np.frombuffer(self._joined(t) if t else b"", dtype=self.dtype) for t in texts]
 
     def offsets(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First and past-the-last code point of each token of each whole text."""
-        self.spans.turn()
         known, out = self.spans.__getitem__, []
         for text in texts:
             text = text or ""
@@ -143,7 +159,7 @@ class PieceEncoder:
 
 
 def encoder(path: str, generation: int = GENERATION) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary file; it remembers about twice `generation` pieces."""
+    """One encoder for each worker process and vocabulary file; each of its memories takes about twice `generation` bytes at most."""
     if path not in _LOADED:
         _LOADED[path] = PieceEncoder(path)
     for memory in (_LOADED[path].ids, _LOADED[path].spaced, _LOADED[path].spans):

@@ -1,6 +1,7 @@
 """Encoder, token counts, id files, packing: against the tokenizer itself."""
 
 import random
+import sys
 import zlib
 
 import cases
@@ -38,6 +39,31 @@ def test_encoder_equals_the_tokenizer(path):
         assert got == [e.offsets for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_memory_of_the_encoder_is_bounded(path):
+    rng = random.Random(3)
+    odd = [cases.words(400, 50 + i) + "\u200b" + cases.words(400, 90 + i) for i in range(40)]
+    whole = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(rng.choice([30, 2000]))) for _ in range(150)]
+    many = [" ".join(f"w{rng.getrandbits(60)}" for _ in range(300)) for _ in range(40)]
+    texts = [*odd, *whole, *many]
+    enc, t, most = PieceEncoder(path), plain(path), 300_000
+    for memory in (enc.ids, enc.spaced, enc.spans):
+        memory.most = most
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in enc.offsets(texts)] == [e.offsets for e in t.encode_batch(texts, add_special_tokens=False)]
+    for memory in (enc.ids, enc.spaced, enc.spans):
+        for held in (memory, memory.last):
+            assert max(map(len, held), default=0) <= 64
+            assert sum(sys.getsizeof(k) + sum(map(sys.getsizeof, v if isinstance(v, tuple) else [v])) for k, v in held.items()) <= most
+
+
+def test_settings_are_read_and_not_searched_for():
+    from storyloom.llm._encode import _kinds
+
+    assert _kinds({"type": "Sequence", "normalizers": [{"type": "Replace", "content": "Lowercase"}]}) == {"Sequence", "Replace"}
+    assert "Removed" not in _kinds({"type": "Split", "pattern": {"String": "Removed"}, "behavior": "Isolated"})
+
+
 def test_allocation_rules():
     first, past, starts = np.array([0, 2, 4, 8]), np.array([2, 7, 8, 10]), np.array([0, 3, 5])
     assert allocate(first, past, starts, 10, "start")[0].tolist() == [2, 1, 1]
