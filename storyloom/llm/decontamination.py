@@ -1,19 +1,26 @@
-"""Benchmark decontamination by template windows, in DataFrame functions only.
-
-Texts and benchmark items are canonicalised to templates: numbers, names (capitalised words inside a sentence) and units
-after a number become typed slots; words are lower-cased and punctuation is dropped. A capitalised word that opens a sentence
-matches as a word or as a name, and equal words match whatever their case. Every window of an item (`WINDOW` tokens, fewer in
-items under 32 tokens) is met in the documents by its anchor word. Windows that touch on one diagonal (the same shift between
-document and item) make a run, and a run's slots must be filled by a function of the item's fillings: equal fillings are a
-verbatim copy; other consistent fillings a re-parameterised question; an inconsistent run counts for nothing.
-
-Runs on neighbouring diagonals (words put in or left out between them) are put together. A pair is reported if one of its runs
-has `RUN` tokens, or its runs cover at least half of the item's tokens and `WINDOW` of them.
-
-Defined results: null, empty and slot-only texts match nothing; items shorter than a window are matched as a whole, if they
-have at least `SHORTEST` words; items with equal templates are each reported; of repeated keys the rows are taken as one
-document (its windows count once); null keys are left out, for a result names its document; an empty table on either side
-gives no rows; extra columns are ignored.
+"""Benchmark decontamination by a hash join of template windows, in DataFrame functions only.
+
+Texts and benchmark items are canonicalised to templates: numbers, units after a number and capitalised words become typed
+slots; words are lower-cased and punctuation is dropped. Both sides are cut into windows of a few tokens, each in up to three
+shapes, whose hashes are joined:
+
+* `slots`: all slots are placeholders (windows of 6 tokens, 8 in items of 32 and more), which finds other names and numbers;
+* `words`: capitalised words stand as words (4, 6 or 8 tokens by the item's length), which finds them in any case;
+* `values`: numbers stand as they are (4 tokens), for windows with a single word, such as sums.
+
+A window needs `LEAST_WORDS` words beside its slots, `SLOT_WORDS` in the first shape, one in the last. What a capital means
+depends on no context in a document: an item's sentence openings match as word or as name.
+
+Windows that touch on one diagonal (the same shift between document and item) make a run, and a run's slots must be filled by a
+function of the item's fillings: equal fillings are a verbatim copy; other consistent fillings a re-parameterised question; an
+inconsistent run counts for nothing. Runs on neighbouring diagonals (words put in or left out between them) are put together. A
+pair is reported if one of its runs has `RUN` tokens, or its runs cover at least half of the item's tokens and `WINDOW` of
+those that lie in a window.
+
+Defined results: null, empty and slot-only texts match nothing; items under `SHORTEST` tokens are found where they are the
+whole document, value for value; items with equal templates are each reported; of repeated keys the rows are taken as one
+document (its windows count once); very long texts are read whole; of equally good places the first counts; null keys are left
+out, for a result names its document; an empty table on either side gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +32,16 @@ from storyloom.llm._common import read, stage
 
 WINDOW = 8
 SHORTEST = 4
-#: Words that a window must have beside its slots.
-LEAST_WORDS = 3
+#: Words that a window must have beside its slots, and where all its capitalised words are slots.
+LEAST_WORDS, SLOT_WORDS = 2, 3
 SHARE = 0.5
 #: Tokens of a run that is reported whatever the item's length.
 RUN = 13
 #: Places by which neighbouring diagonals may differ.
 DRIFT = 8
-#: Benchmark windows up to which their side of the join is broadcast; a larger benchmark is joined by a shuffle.
-BROADCAST_WINDOWS = 100_000
+#: Benchmark windows up to which their side of the join is broadcast, and up to which at least their hashes are; beyond that both
+#: sides are shuffled.
+BROADCAST_WINDOWS, BROADCAST_HASHES = 100_000, 2_000_000
 
 # Unit words that count as a slot after a number.
 UNITS = (
@@ -49,21 +57,34 @@ _SLOT_END = "\u0005"
 OPENING = "\u0006"
 
 
+def _clean(text: Column) -> Column:
+    controls = NUMBER + NAME + UNIT + POINT + OPENING
+    return F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, " " * len(controls))).otherwise(text)
+
+
+def _tokens(named: Column) -> Column:
+    """Tokens of a text whose capitalised words are marked."""
+    whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
+    numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
+    units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
+    marked = F.when(named.rlike("[0-9]"), units).otherwise(named)
+    return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{POINT}{OPENING}]+"), "")
+
+
 def marked_tokens(text: Column, openings: bool = False) -> Column:
     """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units.
 
-    With openings, the other capitalised words have a mark, too.
+    A name is a capitalised word inside a sentence. With openings, the other capitalised words have a mark, too.
     """
-    controls = NUMBER + NAME + UNIT + POINT + OPENING
-    clean = F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, " " * len(controls))).otherwise(text)
-    named = F.regexp_replace(clean, r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{L})", NAME + "$1")
+    named = F.regexp_replace(_clean(text), r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{L})", NAME + "$1")
     if openings:
         named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})(?=\p{{L}})", OPENING + "$1")
-    whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
-    numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
-    units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
-    marked = F.when(named.rlike("[0-9]"), units).otherwise(named)
-    return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{controls}]+"), "")
+    return _tokens(named)
+
+
+def cased_tokens(text: Column) -> Column:
+    """The same with every capitalised word a name, whatever stands before it."""
+    return _tokens(F.regexp_replace(_clean(text), r"(?<![\p{L}\p{N}])(\p{Lu})(?=\p{L})", NAME + "$1"))
 
 
 def plain(token: Column) -> Column:
@@ -75,76 +96,119 @@ def _kind(token: Column) -> Column:
     return F.substring(token, 1, 1)
 
 
-def _pattern(item: Column) -> Column:
-    """Expression for the tokens that match an item's token: the equal word, or a slot of its type. Tokens have no special marks."""
-    word, kind = plain(item), _kind(item)
-    slot = F.when(kind.isin(NAME, OPENING), F.concat(F.lit(f"(?:[{NAME}{OPENING}][^ ]*|"), word, F.lit(")"))).when(kind.isin(NUMBER, UNIT), F.concat(kind, F.lit("[^ ]*")))
-    return F.coalesce(slot, F.concat(F.lit(f"[{NAME}{OPENING}]?"), word))
+SLOTS, WORDS, VALUES, WHOLE = "slots", "words", "values", "whole"
+
+
+def _shape(line: Column, shape: str) -> Column:
+    """The template of a line of tokens, in which names and openings have one mark."""
+    if shape == SLOTS:
+        return F.regexp_replace(line, rf"([{NUMBER}{NAME}{UNIT}])[^ ]+", "$1")
+    if shape == WORDS:
+        return F.regexp_replace(plain(line), rf"([{NUMBER}{UNIT}])[^ ]+", "$1")
+    return plain(line)
+
+
+def _windows(line: Column, width: int) -> Column:
+    """Every run of so many tokens of a line; place i of the array is the run from token i on."""
+    return F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"), F.lit(1))
+
+
+def _whole(line: Column, size: Column) -> Column:
+    """The line as its one window where it is shorter than any window."""
+    return F.when((size > 0) & (size < SHORTEST), F.array(F.concat(F.lit(_SLOT_END), plain(line)))).otherwise(F.array().cast("array<string>"))
+
+
+def _plan(size: int, window: int) -> dict[str, int]:
+    """The widths of an item's windows by shape."""
+    if size < SHORTEST:
+        return {}
+    words = 4 if size < 24 else 6 if size < 32 else 8
+    slots = 4 if size < 6 else 6 if size < 32 else 8
+    return {SLOTS: min(slots, window), WORDS: min(words, window)} | ({VALUES: min(4, window)} if size < 24 else {})
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, n_tokens, n_windows, item_pos, item_tokens, pattern, anchor, anchor_at): the windows by which each item can be matched.
+    """(h, item_id, n_tokens, n_covered, n_windows, item_pos, shape, width, item_tokens): the windows by which each item is found.
 
-    A window has a quarter of the item's tokens, from 4 to `window`, so that one changed word leaves windows on both sides; an
-    item with fewer tokens than `window` is one window. The anchor of a window is its longest word (the first of equals in the
-    alphabet), one that opens no sentence if there is any: the one likely to be rarest.
+    n_covered counts the item's tokens that lie in any of its windows.
     """
-    tokens = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit("")), True).alias("tokens"))
+    tokens = stage(items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit("")), True).alias("tokens")), "benchmark-tokens")
     size = F.size("tokens")
-    width = F.when(size < window, size).otherwise(F.least(F.lit(window), F.greatest(F.lit(SHORTEST), F.floor(size / 4).cast("int"))))
-    sized = stage(tokens.where(size >= SHORTEST).withColumn("width", width), "benchmark-tokens")
-    # A window that has too few words goes on to the next words, or back from the item's end, so that slots there are checked, too.
-    told = sized.withColumn("at", F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.element_at("tokens", k + 1) >= _SLOT_END)).where(F.size("at") >= LEAST_WORDS)
-    starts = told.select("*", F.explode(F.sequence(F.lit(0), size - F.col("width"))).alias("start"))
-    after = F.filter("at", lambda k: k >= F.col("start"))
-    whole = F.size(after) >= LEAST_WORDS
-    first = F.when(whole, F.col("start")).otherwise(F.element_at("at", -LEAST_WORDS))
-    end = F.when(whole, F.greatest(F.col("start") + F.col("width"), F.get(after, F.lit(LEAST_WORDS - 1)) + 1)).otherwise(size)
-    spans = starts.select("item_id", "tokens", first.alias("item_pos"), end.alias("end")).distinct()
-    cut = spans.select("item_id", size.alias("n_tokens"), "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("end") - F.col("item_pos")).alias("item_tokens"))
-    words = F.filter("item_tokens", lambda t: t >= _SLOT_END)
-    rarest = F.array_min(F.transform(words, lambda w: F.struct((_kind(w) == OPENING).alias("o"), (-F.length(w)).alias("n"), w.alias("w"))))["w"]
-    anchored = cut.select("*", rarest.alias("anchor"))
-    counts = anchored.groupBy("item_id").agg(F.countDistinct("item_pos").cast("int").alias("n_windows"))
-    return anchored.join(counts, "item_id").select("item_id", "n_tokens", "n_windows", "item_pos", "item_tokens", F.concat(F.lit("^"), F.array_join(F.transform("item_tokens", _pattern), " "), F.lit("$")).alias("pattern"), plain(F.col("anchor")).alias("anchor"), (F.array_position("item_tokens", F.col("anchor")) - 1).cast("int").alias("anchor_at"))
-
-
-def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, n_tokens, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
-
-    Tokens are joined with the anchors of the benchmark's windows; only where an anchor stands is a window compared.
+    line = F.translate(F.array_join("tokens", " "), OPENING, NAME)
+    words = lambda w: F.size(F.filter(F.split(w, " "), lambda t: t >= _SLOT_END))
+    parts = [tokens.select("item_id", "tokens", F.lit(WHOLE).alias("shape"), size.alias("width"), F.posexplode(_whole(line, size)).alias("item_pos", "w"))]
+    for lo, hi in ((4, 6), (6, 24), (24, 32), (32, 1 << 30)):
+        sized = tokens.where((size >= lo) & (size < hi))
+        for shape, width in _plan(lo, window).items():
+            cut = sized.select("item_id", "tokens", F.lit(shape).alias("shape"), F.lit(width).alias("width"), F.posexplode(_windows(_shape(line, shape), width)).alias("item_pos", "w"))
+            # A window with one word is met by its values; one with more words by its template.
+            parts.append(cut.where(words(F.col("w")) == 1 if shape == VALUES else words(F.col("w")) >= (SLOT_WORDS if shape == SLOTS else LEAST_WORDS)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    found = every.select("item_id", size.alias("n_tokens"), "item_pos", "shape", "width", F.slice("tokens", F.col("item_pos") + 1, F.col("width")).alias("item_tokens"), F.xxhash64("w").alias("h"))
+    found = stage(found, "benchmark-windows")
+    spread = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)))))
+    counts = found.groupBy("item_id").agg(F.countDistinct("item_pos").cast("int").alias("n_windows"), spread.alias("n_covered"))
+    return found.join(counts, "item_id").select("h", "item_id", "n_tokens", "n_covered", "n_windows", "item_pos", "shape", "width", "item_tokens")
+
+
+def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """(doc_id, item_id, n_tokens, n_covered, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
+
+    Each place of a document has a hash for each shape and width that the benchmark uses.
     """
-    windows = stage(windows, "benchmark-windows")
-    tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), marked_tokens(F.col(text), True).alias("tokens"))
-    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the tokens twice.
-    words = F.split(plain(F.array_join("tokens", " ")), " ")
-    placed = tokens.select("doc_id", "tokens", words.alias("words")).select("doc_id", "tokens", F.posexplode_outer("words").alias("at", "anchor"))
-    start = F.col("at") - F.col("anchor_at")
-    if windows.count() <= broadcast_windows:
-        met = placed.join(F.broadcast(windows), "anchor")
-    else:  # only places cross the shuffle; those with an anchor fetch their document's tokens
-        met = placed.select("doc_id", "at", "anchor").join(windows, "anchor").join(tokens, "doc_id")
-    inside = met.where((start >= 0) & (start + F.size("item_tokens") <= F.size("tokens")))
-    cut = inside.select("doc_id", "item_id", "n_tokens", "n_windows", start.alias("pos"), "item_pos", "pattern", F.slice("tokens", start + 1, F.size("item_tokens")).alias("doc_tokens"), "item_tokens")
-    # No lambda here: it would take the join, and with it each place's whole document, out of generated code.
-    return cut.where(F.rlike(F.array_join("doc_tokens", " "), F.col("pattern"))).drop("pattern")
-
-
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    windows = stage(windows, "benchmark-keys")
+    used = sorted((r["shape"], r["width"]) for r in windows.select("shape", "width").distinct().collect())  # a handful
+    tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), cased_tokens(F.col(text)).alias("tokens"))
+    lined = tokens.select("doc_id", "tokens", F.array_join("tokens", " ").alias("line"))
+    shaped = lined.select("doc_id", "tokens", "line", *[_shape(F.col("line"), s).alias(s) for s in (SLOTS, WORDS, VALUES)])
+    none = F.array().cast("array<string>")
+    needed = {SLOTS: F.lit(True), WORDS: F.col(WORDS) != F.col(SLOTS), VALUES: F.col(VALUES) != F.col(WORDS)}
+    met_elsewhere = {WORDS: [w for s, w in used if s == SLOTS], VALUES: [w for s, w in used if s == WORDS]}
+    kinds = []
+    for shape, width in used:
+        if shape == WHOLE:
+            continue
+        found = _windows(F.col(shape), width)
+        # Where two shapes of a text are the same, its windows of one width are taken once.
+        kinds.append((F.when(needed[shape], found).otherwise(none) if width in met_elsewhere.get(shape, []) else found).alias(f"{shape}{width}"))
+    if any(s == WHOLE for s, _ in used):
+        kinds.append(_whole(F.col("line"), F.size("tokens")).alias(WHOLE))
+    if not kinds:
+        kinds = [none.alias("nothing")]
+    cut = shaped.select("doc_id", "tokens", *kinds)
+    names = [c for c in cut.columns if c not in ("doc_id", "tokens")]
+    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the windows twice.
+    placed = cut.select("doc_id", "tokens", F.posexplode_outer(F.arrays_zip(*names)).alias("pos", "w"))
+    hashes = F.array(*[F.when(F.col("w")[n].isNotNull(), F.xxhash64(F.col("w")[n])) for n in names])
+    keyed = placed.select("doc_id", "tokens", "pos", F.explode(hashes).alias("h"))
+    n = windows.count()
+    of_item = ["item_id", "n_tokens", "n_covered", "n_windows", "pos", "item_pos"]
+    if n <= broadcast_windows:
+        met = keyed.join(F.broadcast(windows), "h").select("doc_id", *of_item, F.slice("tokens", F.col("pos") + 1, F.col("width")).alias("doc_tokens"), "item_tokens")
+    else:
+        hashed = windows.select("h").distinct()
+        kept = keyed.join(F.broadcast(hashed) if n <= broadcast_hashes else hashed, "h", "left_semi").select("doc_id", "pos", "h", F.slice("tokens", F.col("pos") + 1, WINDOW).alias("near"))
+        met = kept.join(windows, "h").select("doc_id", *of_item, F.slice("near", F.lit(1), F.col("width")).alias("doc_tokens"), "item_tokens")
+    return met
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(doc_id, item_id, kind, matched, n_windows, n_slots, position) for each leaked item of each document.
 
     kind is `verbatim` or `reparameterised`; position is the first token of the best place.
     """
-    found = matched_windows(docs, item_windows(items, item_key, item_text, window), key, text, broadcast_windows)
+    found = matched_windows(docs, item_windows(items, item_key, item_text, window), key, text, broadcast_windows, broadcast_hashes)
     paired = F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(_kind(i).alias("k"), plain(i).alias("i"), plain(d).alias("d")))
     filled = F.filter(paired, lambda p: p["k"].isin(NUMBER, NAME, UNIT) | ((p["k"] == OPENING) & (p["i"] != p["d"])))
-    places = found.select("doc_id", "item_id", "n_tokens", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.size("item_tokens").alias("width"), filled.alias("slots"))
-    # A diagonal has at most one window for each of the item's places, whatever the length of the document.
+    places = found.select("doc_id", "item_id", "n_tokens", "n_covered", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.size("item_tokens").alias("width"), filled.alias("slots")).distinct()
+    # A diagonal has a few windows for each of the item's places, whatever the length of the document.
     diagonal = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos", "width")
     reached = F.max(F.col("item_pos") + F.col("width")).over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("item_pos") > reached, F.lit(False)).cast("int")
     numbered = places.withColumn("apart", apart).withColumn("run", F.sum("apart").over(diagonal))
-    runs = numbered.groupBy("doc_id", "item_id", "n_tokens", "n_windows", "shift", "run").agg(
+    runs = numbered.groupBy("doc_id", "item_id", "n_tokens", "n_covered", "n_windows", "shift", "run").agg(
         F.collect_set("item_pos").alias("starts"), F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("width")).alias("hi"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     # An opening that differs is held against the names only if it is one of them.
@@ -155,14 +219,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     near = Window.partitionBy("doc_id", "item_id").orderBy("shift", "lo")
     jump = F.coalesce(F.col("shift") - F.lag("shift").over(near) > DRIFT, F.lit(False)).cast("int")
     placed = consistent.withColumn("jump", jump).withColumn("place", F.sum("jump").over(near))
-    together = placed.groupBy("doc_id", "item_id", "n_tokens", "n_windows", "place").agg(
+    together = placed.groupBy("doc_id", "item_id", "n_tokens", "n_covered", "n_windows", "place").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("matched"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("lo"), F.col("hi") - 1))))).alias("covered"),
         F.max(F.col("hi") - F.col("lo")).alias("longest"),
         F.min(F.col("lo") + F.col("shift")).alias("position"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    enough = (F.col("longest") >= run) | (F.col("covered") >= F.greatest(F.col("n_tokens") * share, F.least(F.col("n_tokens"), F.lit(window)).cast("double")))
+    enough = (F.col("longest") >= run) | (F.col("covered") >= F.greatest(F.col("n_tokens") * share, F.least(F.col("n_covered"), F.lit(window)).cast("double")))
     kind = F.when(F.forall("slots", lambda p: p["i"] == p["d"]), "verbatim").otherwise("reparameterised")
     kept = together.where(enough).withColumn("kind", kind)
     best = F.max_by(F.struct("kind", "matched", F.size("slots").alias("n_slots"), "position"), F.struct("matched", F.col("kind") == "verbatim", -F.col("position")))

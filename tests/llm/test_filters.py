@@ -1,5 +1,7 @@
 """Decontamination and URL rules."""
 
+import random
+
 import cases
 from oracle import SMALL, duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -69,6 +71,94 @@ def test_reparameterised_openings_and_equal_fillings(spark):
     assert found(spark, {1: ann.replace("5 coins back", "6 coins back"), 2: ann.replace("Ann got", "Eve got")}, [ann]) == {}
 
 
+def test_items_in_other_surroundings_and_short_items(spark):
+    items = ["What is the capital city of France?", "Which planet is largest?", "What is 12 + 30 - 7 * 2?", "Say yes.", "7 8 9 10"]
+    texts = {
+        1: "Q: What is the capital city of France? A: Paris", 2: "Question: Which planet is largest?", 3: "trivia night (what is the CAPITAL city of france) now", 4: "So: What is the capital city of Spain?",
+        5: "Solve. What is 12 + 30 - 7 * 2? Thanks", 6: "Solve. What is 13 + 31 - 8 * 4? Thanks", 7: "SAY YES", 8: "Please say yes to it", 9: "say no", 10: "7 8 9 10 11", 11: "What is the one? Which planet is it?",
+    }
+    want = {(1, 0): "verbatim", (2, 1): "verbatim", (3, 0): "verbatim", (4, 0): "reparameterised", (5, 2): "verbatim", (7, 3): "verbatim"}
+    assert found(spark, texts, items) == want
+    assert found(spark, texts, items, broadcast_windows=0, broadcast_hashes=0) == want
+
+
+def test_repeated_keys_are_one_document(spark):
+    half, rest = " ".join(LONG[:18]), " ".join(LONG[12:])
+    docs = spark.createDataFrame([(1, half), (1, half), (1, half), (2, rest), (2, rest), (None, rest)], "doc_id long, text string")
+    got = dc.leaks(docs, spark.createDataFrame([(0, " ".join(LONG))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 0): 11, (2, 0): 21}
+
+
+def brute_leaks(docs, items):
+    """Every pair of windows of every diagonal, one by one; tokens are lists of marked words."""
+    slot = lambda t, kinds: t[0] if t[0] in kinds else t.lstrip("\2\6")
+    shapes = {"slots": lambda t: "\2" if t[0] == "\6" else slot(t, "\1\2\3"), "words": lambda t: slot(t, "\1\3"), "values": lambda t: slot(t, "")}
+    least = {"slots": lambda n: n >= 3, "words": lambda n: n >= 2, "values": lambda n: n == 1}
+    out = {}
+    for d, doc in docs.items():
+        for k, item in items.items():
+            n = len(item)
+            plan = {"slots": 4 if n < 6 else 6 if n < 32 else 8, "words": 4 if n < 24 else 6 if n < 32 else 8} | ({"values": 4} if n < 24 else {})
+            told, hits = set(), {}
+            for shape, w in plan.items():
+                f = shapes[shape]
+                for i in range(n - w + 1):
+                    mine = [f(t) for t in item[i : i + w]]
+                    if least[shape](sum(x[0] > "\5" for x in mine)):
+                        told |= set(range(i, i + w))
+                        for p in range(len(doc) - w + 1):
+                            if mine == [f(t) for t in doc[p : p + w]]:
+                                hits.setdefault(p - i, set()).add((i, w))
+            runs = []
+            for shift, at in sorted(hits.items()):
+                open_ = []
+                for i, w in sorted(at):
+                    if open_ and i <= open_[-1][1]:
+                        open_[-1] = (open_[-1][0], max(open_[-1][1], i + w))
+                    else:
+                        open_.append((i, i + w))
+                for lo, hi in open_:
+                    inside = [(i, w) for i, w in at if lo <= i < hi]
+                    pairs = {(item[q], doc[q + shift]) for i, w in inside for q in range(i, i + w) if item[q][0] in "\1\2\3\6"}
+                    bare = lambda t: t.lstrip("\2\6")
+                    pairs = {(a[0], bare(a), bare(b)) for a, b in pairs if a[0] != "\6" or bare(a) != bare(b)}
+                    names = {a for kind, a, _ in pairs if kind == "\2"}
+                    held = {(a, b) for kind, a, b in pairs if kind != "\6" or a in names}
+                    if len({a for a, _ in held}) == len(held):
+                        runs.append((shift, lo, hi, pairs))
+            places = []
+            for run in sorted(runs, key=lambda r: r[:2]):
+                if places and run[0] - places[-1][-1][0] <= 8:
+                    places[-1].append(run)
+                else:
+                    places.append([run])
+            for place in places:
+                covered = len({q for _, lo, hi, _ in place for q in range(lo, hi)})
+                if max(hi - lo for _, lo, hi, _ in place) >= 13 or covered >= max(n / 2, min(len(told), 8)):
+                    same = all(a == b for *_, pairs in place for _, a, b in pairs)
+                    out.setdefault((d, k), set()).add("verbatim" if same else "reparameterised")
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(11)
+    known = ["Tom", "Ann", "Bob", "the", "cat", "ran", "to", "see", "red", "3", "4", "12", "5 km", "7 days", "old", "dog", "and", "sat", "far"]
+    text = lambda n: "".join(rng.choice(known) + rng.choice([" ", " ", " ", ". ", ", "]) for _ in range(n))
+    items = {i: text(rng.choice([4, 5, 9, 14, 20, 27, 40])) for i in range(25)}
+    docs = {}
+    for d in range(70):
+        words = items[rng.randrange(25)].split(" ")
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(known)
+        if rng.random() < 0.3:
+            words.insert(rng.randrange(len(words)), rng.choice(known))
+        docs[d] = text(12) + " ".join(words) + text(12)
+    told = lambda texts, make: {r.k: r.t for r in spark.createDataFrame(list(texts.items()), "k long, t string").select("k", make(F.col("t")).alias("t")).collect()}
+    want = brute_leaks(told(docs, dc.cased_tokens), told(items, lambda c: dc.marked_tokens(c, True)))
+    got = found(spark, docs, [items[i] for i in range(25)])
+    assert len(want) > 40 and set(got) == set(want) and all(kind in want[pair] for pair, kind in got.items())
+
+
 def test_dropped_documents(spark):
     docs = cases.docs(spark).unionByName(spark.createDataFrame([(500, "x. " + ITEM, "en", "a", 1)], cases.SCHEMA))
     bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
