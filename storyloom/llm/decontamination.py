@@ -4,8 +4,8 @@ Texts and benchmark items are canonicalised to templates: numbers, units after a
 slots; words are lower-cased and punctuation is dropped. Both sides are cut into windows of a few tokens, each in up to three
 shapes, whose hashes are joined:
 
-* `slots`: all slots are placeholders (windows of 6 tokens, 8 in items of 32 and more), which finds other names and numbers;
-* `words`: capitalised words stand as words (4, 6 or 8 tokens by the item's length), which finds them in any case;
+* `slots`: all slots are placeholders (windows of 6 tokens, 4 in items under 6), which finds other names and numbers;
+* `words`: capitalised words stand as words (4 tokens, 6 in items of 24 and more), which finds them in any case;
 * `values`: numbers stand as they are (4 tokens), for windows with a single word, such as sums.
 
 A window needs `LEAST_WORDS` words beside its slots, `SLOT_WORDS` in the first shape, one in the last. What a capital means
@@ -59,32 +59,44 @@ OPENING = "\u0006"
 
 def _clean(text: Column) -> Column:
     controls = NUMBER + NAME + UNIT + POINT + OPENING
-    return F.when(F.greatest(*[F.instr(text, c) for c in controls]) > 0, F.translate(text, controls, " " * len(controls))).otherwise(text)
+    return F.when(text.rlike(f"[{controls}]"), F.translate(text, controls, " " * len(controls))).otherwise(text)
 
 
-def _tokens(named: Column) -> Column:
-    """Tokens of a text whose capitalised words are marked."""
+def _line(named: Column) -> Column:
+    """The tokens, with one blank between them, of a text whose capitalised words are marked."""
     whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
     numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
     units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
     marked = F.when(named.rlike("[0-9]"), units).otherwise(named)
-    return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{POINT}{OPENING}]+"), "")
+    return F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NUMBER}-{OPENING}]+", " "))
 
 
-def marked_tokens(text: Column, openings: bool = False) -> Column:
-    """Array of tokens: lower-cased words, and slot mark plus lower-cased value for numbers, names and units.
+def _parts(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def marked_line(text: Column, openings: bool = False) -> Column:
+    """Tokens with one blank between them: lower-cased words, and slot mark plus lower-cased value for numbers, names and units.
 
     A name is a capitalised word inside a sentence. With openings, the other capitalised words have a mark, too.
     """
     named = F.regexp_replace(_clean(text), r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{L})", NAME + "$1")
     if openings:
         named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}})(?=\p{{L}})", OPENING + "$1")
-    return _tokens(named)
+    return _line(named)
 
 
-def cased_tokens(text: Column) -> Column:
+def cased_line(text: Column) -> Column:
     """The same with every capitalised word a name, whatever stands before it."""
-    return _tokens(F.regexp_replace(_clean(text), r"(?<![\p{L}\p{N}])(\p{Lu})(?=\p{L})", NAME + "$1"))
+    return _line(F.regexp_replace(_clean(text), r"(?<![\p{L}\p{N}])(\p{Lu})(?=\p{L})", NAME + "$1"))
+
+
+def marked_tokens(text: Column, openings: bool = False) -> Column:
+    return _parts(marked_line(text, openings))
+
+
+def cased_tokens(text: Column) -> Column:
+    return _parts(cased_line(text))
 
 
 def plain(token: Column) -> Column:
@@ -103,52 +115,53 @@ def _shape(line: Column, shape: str) -> Column:
     """The template of a line of tokens, in which names and openings have one mark."""
     if shape == SLOTS:
         return F.regexp_replace(line, rf"([{NUMBER}{NAME}{UNIT}])[^ ]+", "$1")
+    values = F.translate(line, NAME, "")
     if shape == WORDS:
-        return F.regexp_replace(plain(line), rf"([{NUMBER}{UNIT}])[^ ]+", "$1")
-    return plain(line)
+        return F.when(F.instr(line, NUMBER) > 0, F.regexp_replace(values, rf"([{NUMBER}{UNIT}])[^ ]+", "$1")).otherwise(values)
+    return values
 
 
-def _windows(line: Column, width: int) -> Column:
-    """Every run of so many tokens of a line; place i of the array is the run from token i on."""
-    return F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{width - 1}}}))"), F.lit(1))
+def _keys(tokens: str, at: Column, width: int) -> Column:
+    """The hash of so many tokens (4 or 6) from a place on, null where the line ends before; that of six is made from that of four."""
+    get = lambda k: F.get(tokens, at + k)
+    if width == 4:
+        return F.when(get(3).isNotNull(), F.xxhash64(*map(get, range(4)))).alias(f"{tokens}4")
+    return F.when(get(5).isNotNull(), F.xxhash64(F.col(f"{tokens}4"), get(4), get(5))).alias(f"{tokens}6")
 
 
-def _whole(line: Column, size: Column) -> Column:
-    """The line as its one window where it is shorter than any window."""
-    return F.when((size > 0) & (size < SHORTEST), F.array(F.concat(F.lit(_SLOT_END), plain(line)))).otherwise(F.array().cast("array<string>"))
+def _whole_key(line: Column, size: Column) -> Column:
+    """The hash of a line that is shorter than any window."""
+    return F.when((size > 0) & (size < SHORTEST), F.xxhash64(F.lit(WHOLE), plain(line)))
 
 
-def _plan(size: int, window: int) -> dict[str, int]:
-    """The widths of an item's windows by shape."""
-    if size < SHORTEST:
-        return {}
-    words = 4 if size < 24 else 6 if size < 32 else 8
-    slots = 4 if size < 6 else 6 if size < 32 else 8
-    return {SLOTS: min(slots, window), WORDS: min(words, window)} | ({VALUES: min(4, window)} if size < 24 else {})
+def _plan(size: int) -> dict[str, int]:
+    """The widths of an item's windows by shape; they are the same from one of the sizes 4, 6 and 24 up to the next."""
+    return {SLOTS: 4 if size < 6 else 6, WORDS: 4 if size < 24 else 6} | ({VALUES: 4} if size < 24 else {})
 
 
-def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(h, item_id, n_tokens, n_covered, n_windows, item_pos, shape, width, item_tokens): the windows by which each item is found.
 
     n_covered counts the item's tokens that lie in any of its windows.
     """
     tokens = stage(items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), marked_tokens(F.coalesce(F.col(text), F.lit("")), True).alias("tokens")), "benchmark-tokens")
-    size = F.size("tokens")
+    size, at = F.size("tokens"), F.col("item_pos")
     line = F.translate(F.array_join("tokens", " "), OPENING, NAME)
-    words = lambda w: F.size(F.filter(F.split(w, " "), lambda t: t >= _SLOT_END))
-    parts = [tokens.select("item_id", "tokens", F.lit(WHOLE).alias("shape"), size.alias("width"), F.posexplode(_whole(line, size)).alias("item_pos", "w"))]
-    for lo, hi in ((4, 6), (6, 24), (24, 32), (32, 1 << 30)):
+    parts = [tokens.select("item_id", "tokens", F.lit(WHOLE).alias("shape"), size.alias("width"), F.lit(0).alias("item_pos"), _whole_key(line, size).alias("h")).where("h is not null")]
+    for lo, hi in ((SHORTEST, 6), (6, 24), (24, 1 << 30)):
         sized = tokens.where((size >= lo) & (size < hi))
-        for shape, width in _plan(lo, window).items():
-            cut = sized.select("item_id", "tokens", F.lit(shape).alias("shape"), F.lit(width).alias("width"), F.posexplode(_windows(_shape(line, shape), width)).alias("item_pos", "w"))
+        for shape, width in _plan(lo).items():
+            cut = sized.withColumn("own", F.split(_shape(line, shape), " ")).select("*", F.explode(F.sequence(F.lit(0), size - width)).alias("item_pos"))
+            cut = cut.select("*", _keys("own", at, 4)).select("*", _keys("own", at, 6))
+            words = F.size(F.filter(F.slice("own", at + 1, width), lambda t: t >= _SLOT_END))
             # A window with one word is met by its values; one with more words by its template.
-            parts.append(cut.where(words(F.col("w")) == 1 if shape == VALUES else words(F.col("w")) >= (SLOT_WORDS if shape == SLOTS else LEAST_WORDS)))
+            enough = words == 1 if shape == VALUES else words >= (SLOT_WORDS if shape == SLOTS else LEAST_WORDS)
+            parts.append(cut.where(enough).select("item_id", "tokens", F.lit(shape).alias("shape"), F.lit(width).alias("width"), "item_pos", F.col(f"own{width}").alias("h")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    found = every.select("item_id", size.alias("n_tokens"), "item_pos", "shape", "width", F.slice("tokens", F.col("item_pos") + 1, F.col("width")).alias("item_tokens"), F.xxhash64("w").alias("h"))
-    found = stage(found, "benchmark-windows")
-    spread = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)))))
+    found = stage(every.select("item_id", size.alias("n_tokens"), "item_pos", "shape", "width", F.slice("tokens", at + 1, F.col("width")).alias("item_tokens"), "h"), "benchmark-windows")
+    spread = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(at, at + F.col("width") - 1)))))
     counts = found.groupBy("item_id").agg(F.countDistinct("item_pos").cast("int").alias("n_windows"), spread.alias("n_covered"))
     return found.join(counts, "item_id").select("h", "item_id", "n_tokens", "n_covered", "n_windows", "item_pos", "shape", "width", "item_tokens")
 
@@ -156,42 +169,29 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
 def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
 
-    Each place of a document has a hash for each shape and width that the benchmark uses.
+    Each place of a document has a hash for each shape and width that the benchmark uses; the places stay in generated code up
+    to the join, and a document's tokens are only cut where a window has met one.
     """
     windows = stage(windows, "benchmark-keys")
     used = sorted((r["shape"], r["width"]) for r in windows.select("shape", "width").distinct().collect())  # a handful
-    tokens = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), cased_tokens(F.col(text)).alias("tokens"))
-    lined = tokens.select("doc_id", "tokens", F.array_join("tokens", " ").alias("line"))
-    shaped = lined.select("doc_id", "tokens", "line", *[_shape(F.col("line"), s).alias(s) for s in (SLOTS, WORDS, VALUES)])
-    none = F.array().cast("array<string>")
-    needed = {SLOTS: F.lit(True), WORDS: F.col(WORDS) != F.col(SLOTS), VALUES: F.col(VALUES) != F.col(WORDS)}
-    met_elsewhere = {WORDS: [w for s, w in used if s == SLOTS], VALUES: [w for s, w in used if s == WORDS]}
-    kinds = []
-    for shape, width in used:
-        if shape == WHOLE:
-            continue
-        found = _windows(F.col(shape), width)
-        # Where two shapes of a text are the same, its windows of one width are taken once.
-        kinds.append((F.when(needed[shape], found).otherwise(none) if width in met_elsewhere.get(shape, []) else found).alias(f"{shape}{width}"))
-    if any(s == WHOLE for s, _ in used):
-        kinds.append(_whole(F.col("line"), F.size("tokens")).alias(WHOLE))
-    if not kinds:
-        kinds = [none.alias("nothing")]
-    cut = shaped.select("doc_id", "tokens", *kinds)
-    names = [c for c in cut.columns if c not in ("doc_id", "tokens")]
-    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the windows twice.
-    placed = cut.select("doc_id", "tokens", F.posexplode_outer(F.arrays_zip(*names)).alias("pos", "w"))
-    hashes = F.array(*[F.when(F.col("w")[n].isNotNull(), F.xxhash64(F.col("w")[n])) for n in names])
-    keyed = placed.select("doc_id", "tokens", "pos", F.explode(hashes).alias("h"))
+    lined = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), cased_line(F.col(text)).alias("line"))
+    # Lines without a number have the same words and values, whose keys are then taken once.
+    values = F.when(F.instr("line", NUMBER) > 0, F.split(_shape(F.col("line"), VALUES), " "))
+    shaped = lined.select("doc_id", "line", F.split(_shape(F.col("line"), SLOTS), " ").alias(SLOTS), F.split(_shape(F.col("line"), WORDS), " ").alias(WORDS), values.alias(VALUES))
+    # The outer form: for the inner one Spark infers a filter on the array's size, and computes the tokens twice.
+    placed = shaped.select("*", F.posexplode_outer(WORDS).alias("pos", "token"))
+    at, widths = F.col("pos"), {shape: [w for s, w in used if s == shape] for shape in (SLOTS, WORDS, VALUES)}
+    four = placed.select("*", *[_keys(shape, at, 4) for shape, w in widths.items() if w])
+    six = four.select("*", *[_keys(shape, at, 6) for shape, w in widths.items() if 6 in w])
+    listed = [*(F.col(f"{shape}{w}") for shape, every in widths.items() for w in every), F.when((at == 0) & (F.col("token") != ""), _whole_key(F.col("line"), F.size(WORDS)))]
+    keyed = six.select("doc_id", "line", "pos", F.explode(F.array(*listed)).alias("h"))
     n = windows.count()
     of_item = ["item_id", "n_tokens", "n_covered", "n_windows", "pos", "item_pos"]
     if n <= broadcast_windows:
-        met = keyed.join(F.broadcast(windows), "h").select("doc_id", *of_item, F.slice("tokens", F.col("pos") + 1, F.col("width")).alias("doc_tokens"), "item_tokens")
-    else:
-        hashed = windows.select("h").distinct()
-        kept = keyed.join(F.broadcast(hashed) if n <= broadcast_hashes else hashed, "h", "left_semi").select("doc_id", "pos", "h", F.slice("tokens", F.col("pos") + 1, WINDOW).alias("near"))
-        met = kept.join(windows, "h").select("doc_id", *of_item, F.slice("near", F.lit(1), F.col("width")).alias("doc_tokens"), "item_tokens")
-    return met
+        return keyed.join(F.broadcast(windows), "h").select("doc_id", *of_item, F.slice(F.split("line", " "), at + 1, F.col("width")).alias("doc_tokens"), "item_tokens")
+    hashed = windows.select("h").distinct()
+    kept = keyed.join(F.broadcast(hashed) if n <= broadcast_hashes else hashed, "h", "left_semi").select("doc_id", "pos", "h", F.slice(F.split("line", " "), at + 1, WINDOW).alias("near"))
+    return kept.join(windows, "h").select("doc_id", *of_item, F.slice("near", F.lit(1), F.col("width")).alias("doc_tokens"), "item_tokens")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, run: int = RUN, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
@@ -199,7 +199,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     kind is `verbatim` or `reparameterised`; position is the first token of the best place.
     """
-    found = matched_windows(docs, item_windows(items, item_key, item_text, window), key, text, broadcast_windows, broadcast_hashes)
+    found = matched_windows(docs, item_windows(items, item_key, item_text), key, text, broadcast_windows, broadcast_hashes)
     paired = F.zip_with("item_tokens", "doc_tokens", lambda i, d: F.struct(_kind(i).alias("k"), plain(i).alias("i"), plain(d).alias("d")))
     filled = F.filter(paired, lambda p: p["k"].isin(NUMBER, NAME, UNIT) | ((p["k"] == OPENING) & (p["i"] != p["d"])))
     places = found.select("doc_id", "item_id", "n_tokens", "n_covered", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.size("item_tokens").alias("width"), filled.alias("slots")).distinct()

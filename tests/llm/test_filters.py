@@ -86,7 +86,7 @@ def test_repeated_keys_are_one_document(spark):
     half, rest = " ".join(LONG[:18]), " ".join(LONG[12:])
     docs = spark.createDataFrame([(1, half), (1, half), (1, half), (2, rest), (2, rest), (None, rest)], "doc_id long, text string")
     got = dc.leaks(docs, spark.createDataFrame([(0, " ".join(LONG))], "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 0): 11, (2, 0): 21}
+    assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 0): 13, (2, 0): 23}
 
 
 def brute_leaks(docs, items):
@@ -98,7 +98,7 @@ def brute_leaks(docs, items):
     for d, doc in docs.items():
         for k, item in items.items():
             n = len(item)
-            plan = {"slots": 4 if n < 6 else 6 if n < 32 else 8, "words": 4 if n < 24 else 6 if n < 32 else 8} | ({"values": 4} if n < 24 else {})
+            plan = {"slots": 4 if n < 6 else 6, "words": 4 if n < 24 else 6} | ({"values": 4} if n < 24 else {})
             told, hits = set(), {}
             for shape, w in plan.items():
                 f = shapes[shape]
