@@ -272,8 +272,9 @@ def near_classes(docs: DataFrame, scheme: Scheme = CONTRACT, key: str = "doc_id"
 # ---- near-duplicate classes by shared five-word shingles --------------------------------------------------------------
 
 SIMILARITY = 0.8
-#: Bits of the parity map of a shingle set: two maps differ in no more bits than the sets in members.
-PARITY = 512
+#: Bits of the parity maps of a shingle set: two maps differ in no more bits than the sets in members. The small one goes with each
+#: shingle of a prefix; the large one rules out pairs of longer texts before their shingles are fetched.
+PARITY, WIDE = 512, 4096
 #: Documents whose shingles tell which are common, and the most of those that are told. They only order shingles: any one
 #: order gives the same classes.
 SAMPLE_DOCS, COMMON = 2000, 50_000
@@ -315,6 +316,10 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[np.argsort(seen, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def _parities(shingles: np.ndarray, bits: int) -> bytes:
+    return np.packbits(np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """(doc_id, h, same, n, prefix, bits, fp): same is equal for equal sequences of words; n distinct shingles, their prefix,
     their parities, and the fingerprint of all shingles."""
@@ -329,7 +334,7 @@ def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFr
                 words = word_hashes(t or "")
                 runs = shingles_of(words, width)
                 found = np.unique(runs)
-                bits = np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+                bits = _parities(found, PARITY)
                 made.append((hashlib.md5(words.tobytes(), usedforsecurity=False).digest(), len(found), prefix(found, common, similarity).tobytes(), bits, majority_bits(runs)))
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names)
@@ -424,14 +429,29 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
 
 
 def _shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(rep, shingles) of (rep, text): the distinct shingle hashes of each text, ascending, as bytes."""
+    """(rep, n, wide, shingles) of (rep, text): how many distinct shingle hashes, their parities, and the hashes, ascending, as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+            sets = [np.unique(shingle_hashes(t or "", width)) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_parities(x, WIDE) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *columns], ["rep", "n", "wide", "shingles"])
+
+    return docs.select("rep", "text").mapInArrow(make, "rep long, n long, wide binary, shingles binary")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the large parity maps of both do not rule out."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            if batch.num_rows:
+                one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for c in ("wide_a", "wide_b"))
+                near = _may_be_near(batch.column("n_a").to_numpy(), one, batch.column("n_b").to_numpy(), other, similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return docs.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
 def _likeness(pairs: DataFrame) -> DataFrame:
@@ -478,7 +498,8 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
 
         def near(candidates: DataFrame) -> DataFrame:
-            sided = candidates.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
+            likely = stage(_likely(candidates, sets, similarity), "simhash-likely")
+            sided = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
             return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
 
         found = near(pairs)

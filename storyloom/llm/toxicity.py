@@ -196,15 +196,24 @@ def fit(pieces: list[str], toxic: list[int], of: list[int], rounds: int = 60) ->
 
 
 def calibrate(told: list[tuple[float, ...]], toxic: list[int], share: float) -> tuple[float, ...]:
-    """Intercept and slopes of a ridge logistic regression, the rows weighted so that `share` of them are toxic."""
+    """Intercept and slopes of a ridge logistic regression, the rows weighted so that `share` of them are toxic.
+
+    More evidence never lowers a score: a slope of it that would be negative is left at 0. That of the length is free.
+    """
     x, y = np.array([[1.0, *t] for t in told]), np.array(toxic, dtype=float)
     ridge = np.array([1e-3, *[1e-2] * (x.shape[1] - 1)])
-    weight, beta = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
-        beta = beta + np.linalg.solve(hess, x.T @ (weight * (y - q)) - ridge * beta)
-    return tuple(map(float, beta))
+    weight, free = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())), np.ones(x.shape[1], bool)
+    while True:
+        beta = np.zeros(x.shape[1])
+        for _ in range(30):  # Newton steps
+            q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
+            slope = x.T @ (weight * (y - q)) - ridge * beta
+            beta[free] += np.linalg.solve(hess[np.ix_(free, free)], slope[free])
+        against = np.flatnonzero((beta < 0) & np.array([i in (1, 2) for i in range(len(beta))]))
+        if not len(against):
+            return tuple(map(float, beta))
+        free[against] = False
 
 
 class _Emissions(dict):
@@ -252,20 +261,23 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on a sample of the labelled documents (see above); only its pieces and three numbers a document reach the driver."""
     marked = labels.where(learn_from & F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max("toxic").cast("int").alias("_y")).where("_y in (0, 1)")
-    known = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(marked, "_k")
-    sizes = {r["_y"]: (r["n"], r["p"]) for r in known.groupBy("_y").agg(F.count("*").alias("n"), F.sum(F.char_length("_t")).alias("p")).collect()}
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    known = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), h.alias("_h"), F.char_length(F.col(text)).alias("_n")).join(marked, "_k")  # no text is moved
+    sizes = {r["_y"]: (r["n"], r["p"]) for r in known.groupBy("_y").agg(F.count("*").alias("n"), F.sum("_n").alias("p")).collect()}
     if set(sizes) != {0, 1}:
         return ToxicityModel()
     scale = 1 << 20
     rate = {y: int(min(1.0, most / sizes[y][0], SAMPLE_POINTS / max(1, sizes[y][1])) * scale) for y, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))}
-    drawn = F.pmod(F.xxhash64(F.col("_k").cast("string"), "_t", F.lit("sample")), F.lit(scale))
-    apart = F.pmod(F.xxhash64(F.col("_k").cast("string"), "_t", F.lit("apart")), F.lit(4)) == 0
-    sample = stage(known.where(drawn < F.when(F.col("_y") == 1, rate[1]).otherwise(rate[0])).withColumn("_apart", apart).withColumn("_n", F.char_length("_t")), "toxicity-sample")
+    drawn = known.where(F.pmod(F.xxhash64("_h", F.lit("sample")), F.lit(scale)) < F.when(F.col("_y") == 1, rate[1]).otherwise(rate[0])).distinct()
+    apart = F.pmod(F.xxhash64("_h", F.lit("apart")), F.lit(4)) == 0
+    # About SAMPLE_TOXIC + SAMPLE_CLEAN rows at any size of the input.
+    met = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).join(F.broadcast(drawn), F.col("_key") == F.col("_k"))
+    sample = stage(met.where(F.xxhash64(F.col("_key").cast("string"), "_t") == F.col("_h")).select("_k", "_h", "_n", "_y", "_t", apart.alias("_apart")), "toxicity-sample")
     # Which documents the CRF does not learn from; if those are of one kind, all are used for both.
     kinds = {r["_y"] for r in sample.where("_apart").select("_y").distinct().collect()}, {r["_y"] for r in sample.where("not _apart").select("_y").distinct().collect()}
     taught, judged = (sample.where("not _apart"), sample.where("_apart")) if kinds == ({0, 1}, {0, 1}) else (sample, sample)
     starts = F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)), F.lit(PIECE))
-    cut = taught.select(F.col("_k").cast("string").alias("k"), F.xxhash64("_t").alias("h"), "_y", "_n", "_t", F.explode(starts).alias("at"))
+    cut = taught.select(F.col("_k").cast("string").alias("k"), F.col("_h").alias("h"), "_y", "_n", "_t", F.explode(starts).alias("at"))
     long_rate = F.lit(LONG_POINTS * scale).cast("double") / F.greatest(F.col("_n"), F.lit(LONG_POINTS))
     kept = cut.where(F.pmod(F.xxhash64("k", "h", "at"), F.lit(scale)) < long_rate).select("k", "h", "at", "_y", F.col("_t").substr(F.col("at"), F.lit(PIECE)).alias("piece"))
     rows = sorted(tuple(r) for r in kept.collect())
