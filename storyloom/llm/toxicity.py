@@ -40,7 +40,7 @@ FEATURES = 1 << 16
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_POINTS = 800, 1200, 3_000_000
 #: Code points of a piece that the CRF learns from, and of a text above which only some of its pieces are drawn.
 PIECE, LONG_POINTS = 4_000, 64_000
-LIFT, FALSE_MARKS = 8.0, 0.001
+LIFT, FALSE_MARKS = 8.0, 0.003
 #: Letters of the stems that are features and may be marks.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
