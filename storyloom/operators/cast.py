@@ -9,23 +9,23 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as X
 
 # Voice, gender, age, tone tags, quality tags. The narrator is in no pool.
-CATALOGUE = """
-narrator  -       ADULT       neutral,smooth   smooth
-male_0    MALE    ADULT       warm,neutral     deep
-male_1    MALE    YOUNG_ADULT gentle,neutral   smooth
-male_2    MALE    ELDER       cold,commanding  deep,raspy
-female_0  FEMALE  ADULT       warm,gentle      smooth
-female_1  FEMALE  YOUNG_ADULT neutral          bright
-female_2  FEMALE  ELDER       gentle           smooth
-neutral_0 NEUTRAL ADULT       warm,neutral     smooth
-neutral_1 NEUTRAL ADULT       neutral          deep
-"""
+CATALOGUE = (
+    ("narrator", None, "ADULT", ["neutral", "smooth"], ["smooth"]),
+    ("male_0", "MALE", "ADULT", ["warm", "neutral"], ["deep"]),
+    ("male_1", "MALE", "YOUNG_ADULT", ["gentle", "neutral"], ["smooth"]),
+    ("male_2", "MALE", "ELDER", ["cold", "commanding"], ["deep", "raspy"]),
+    ("female_0", "FEMALE", "ADULT", ["warm", "gentle"], ["smooth"]),
+    ("female_1", "FEMALE", "YOUNG_ADULT", ["neutral"], ["bright"]),
+    ("female_2", "FEMALE", "ELDER", ["gentle"], ["smooth"]),
+    ("neutral_0", "NEUTRAL", "ADULT", ["warm", "neutral"], ["smooth"]),
+    ("neutral_1", "NEUTRAL", "ADULT", ["neutral"], ["deep"]),
+)
 NARRATOR = "narrator"
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """(ord, voice_id, name, gender, age, tones, qualities): narrator first, then the pools."""
-    rows = [(i, v, None if g == "-" else g, a, t.split(","), q.split(",")) for i, (v, g, a, t, q) in enumerate(map(str.split, CATALOGUE.strip().splitlines()))]
+    rows = [(i, *voice) for i, voice in enumerate(CATALOGUE)]
     made = spark.createDataFrame(rows, "ord int, voice_id string, gender string, age string, tones array<string>, qualities array<string>")
     return made.select("ord", "voice_id", X.humanize(F.col("voice_id")).alias("name"), "gender", "age", "tones", "qualities")
 

@@ -111,3 +111,46 @@ def speech_stats(segments: DataFrame) -> DataFrame:
     """(book_id, dialogue, attributed, mean, least, most): attribution over chapters."""
     by_chapter = segments.groupBy("book_id", "chapter_id").agg(F.count_if(F.col("segment_type") == "DIALOGUE").alias("d"), F.count_if((F.col("segment_type") == "DIALOGUE") & F.col("character_id").isNotNull()).alias("a"))
     return by_chapter.groupBy("book_id").agg(F.sum("d").alias("dialogue"), F.sum("a").alias("attributed"), F.round(F.avg("d"), 6).alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"))
+
+
+def filter_voices(voices: DataFrame, favourites: bool = False, gender: str | None = None, kind: str | None = None, locale: str | None = None, sample: bool | None = None, search: str | None = None) -> DataFrame:
+    """Conditions that are given all hold; sample tells whether there must be one."""
+    out = voices.where("is_favorite") if favourites else voices
+    for column, value in (("gender", gender), ("kind", kind), ("locale", locale), ("has_sample", sample)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return search_names(out, search)
+
+
+def search_names(rows: DataFrame, search: str | None) -> DataFrame:
+    needle = (search or "").strip().lower()
+    return rows.where(F.lower("name").contains(needle)) if needle else rows
+
+
+def offered_voices(voices: DataFrame, provider: str) -> DataFrame:
+    """Voices offered for a character: all but the narrator, and clones only where the provider clones."""
+    return voices.where((F.col("voice_id") != NARRATOR) & ((F.col("kind") == "CATALOGUE") | F.lit(provider == "qwen")))
+
+
+def cast_order(counts: DataFrame) -> DataFrame:
+    """counts with `bucket` (main, or silent without a line) and place: in a book by lines, the most first, then by name."""
+    bucket = F.when(F.col("line_count") > 0, "main").otherwise("silent")
+    place = F.row_number().over(Window.partitionBy("book_id", "bucket").orderBy(F.desc("line_count"), "name", "character_id"))
+    return counts.withColumn("bucket", bucket).withColumn("place", place)
+
+
+def ranked_queue(queue: DataFrame) -> DataFrame:
+    """The queue view with its rank in a book's part of it."""
+    return queue.withColumn("place", F.row_number().over(Window.partitionBy("generating", "priority", "book_id").orderBy("position", "chapter_id")))
+
+
+def analysis_progress(chapters: DataFrame, segments: DataFrame) -> DataFrame:
+    """(book_id, progress): analysis runs from 10 to 60 percent, by chapters that have segments."""
+    done = segments.select("chapter_id").distinct().withColumn("_done", F.lit(1))
+    counted = chapters.join(done, "chapter_id", "left").groupBy("book_id").agg(F.count("*").alias("n"), F.count("_done").alias("k"))
+    return counted.select("book_id", F.round(10 + F.col("k") / F.col("n") * 50, 6).alias("progress"))
+
+
+def left_to_generate(chapters: DataFrame) -> DataFrame:
+    """What a resumed generation still has to do."""
+    return chapters.where(F.col("status") != "DONE")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import text as X
+
 
 def patch(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Set only the fields that a change sends: changes has, for each column c, c and has_c; a sent null clears."""
@@ -100,3 +102,60 @@ def replace_suggestions(old: DataFrame, new: DataFrame, books: DataFrame) -> Dat
     """New suggestions take the place of the pending ones of their books; resolved ones stay."""
     kept = old.join(books.select("book_id"), "book_id", "left_semi").where("status <> 'PENDING'").unionByName(old.join(books.select("book_id"), "book_id", "left_anti"))
     return kept.unionByName(new)
+
+
+def reject_merges(suggestions: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Suggestions afterwards, with `error` where one that is resolved already was to be rejected."""
+    joined = suggestions.join(rejected.select("suggestion_id", F.lit(True).alias("asked")).distinct(), "suggestion_id", "left")
+    asked, pending = F.coalesce("asked", F.lit(False)), F.col("status") == "PENDING"
+    error = F.when(asked & ~pending, F.concat(F.lit("already "), F.lower("status")))
+    return joined.select(*[F.when(asked & pending, "REJECTED").otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in suggestions.columns], error.alias("error"))
+
+
+def wipe_for_analysis(anew: DataFrame, segments: DataFrame, characters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of the chapters to analyse go; so do the casts of their books, but for those that resume. anew: book_id, chapter_id, resume."""
+    left = segments.join(anew.select("chapter_id"), "chapter_id", "left_anti")
+    return left, characters.join(anew.where("not resume").select("book_id").distinct(), "book_id", "left_anti")
+
+
+def patch_voices(characters: DataFrame, wanted: DataFrame, assignable: DataFrame) -> DataFrame:
+    """Characters with the wanted voice (character_id, new_voice), or with `error` and their old one where it is not assignable."""
+    valid = wanted.join(assignable.select(F.col("voice_id").alias("new_voice"), F.lit(True).alias("valid")).distinct(), "new_voice", "left")
+    joined = characters.join(valid, "character_id", "left")
+    fits = F.coalesce("valid", F.lit(False))
+    voice = F.when(fits, F.col("new_voice")).otherwise(F.col("voice_id"))
+    error = F.when(F.col("new_voice").isNotNull() & ~fits, F.concat(F.lit("invalid voice "), F.col("new_voice")))
+    return joined.select(*[voice.alias("voice_id") if c == "voice_id" else F.col(c) for c in characters.columns], error.alias("error"))
+
+
+def add_clones(asked: DataFrame, voices: DataFrame) -> DataFrame:
+    """(ord, voice_id, name, error) for each asked name: its slug, an error where a voice or an earlier request (by ord) has it."""
+    slugged = asked.withColumn("voice_id", X.slug(F.col("name")))
+    first = slugged.groupBy("voice_id").agg(F.min("ord").alias("first"))
+    joined = slugged.join(first, "voice_id").join(voices.select("voice_id", F.lit(True).alias("there")).distinct(), "voice_id", "left")
+    taken = F.coalesce("there", F.lit(False)) | (F.col("ord") > F.col("first"))
+    return joined.select("ord", "voice_id", "name", F.when(taken, "a voice with this id exists").alias("error"))
+
+
+def enqueue_some(chapters: DataFrame, asked: DataFrame) -> DataFrame:
+    """Queue the asked chapters, whatever their status but GENERATING; the status stays."""
+    joined = chapters.join(asked.select("chapter_id", F.lit(True).alias("asked")).distinct(), "chapter_id", "left")
+    now = F.col("queued") | (F.coalesce("asked", F.lit(False)) & (F.col("status") != "GENERATING"))
+    return joined.select(*[now.alias("queued") if c == "queued" else F.col(c) for c in chapters.columns])
+
+
+def claim(chapters: DataFrame, taken: DataFrame) -> DataFrame:
+    """The taken chapters are in work: out of the queue, without an error or a wish to stop."""
+    joined = chapters.join(taken.select("chapter_id", F.lit(True).alias("taken")).distinct(), "chapter_id", "left")
+    hit = F.coalesce("taken", F.lit(False))
+    now = {"status": F.lit("GENERATING"), "queued": F.lit(False), "cancel_requested": F.lit(False), "error_message": F.lit(None).cast("string")}
+    return joined.select(*[F.when(hit, now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in chapters.columns])
+
+
+def stop_books(books: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked books that are in work fail in their stage; others get an `error`."""
+    joined = books.join(asked.select("book_id", F.lit(True).alias("asked")).distinct(), "book_id", "left")
+    hit, busy = F.coalesce("asked", F.lit(False)), F.col("status").isin("PROCESSING", "GENERATING")
+    stage = F.when(hit & busy, F.when(F.col("status") == "PROCESSING", "analysis").otherwise("generation"))
+    error = F.when(hit & ~busy, F.concat(F.lit("not in progress: "), F.col("status")))
+    return joined.select(*[F.when(hit & busy, "FAILED").otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in books.columns], stage.alias("failed_stage"), error.alias("error"))

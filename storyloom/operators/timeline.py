@@ -39,3 +39,14 @@ def ready_chapters(segments: DataFrame, takes: DataFrame) -> DataFrame:
     """(chapter_id, ready): whether every segment has a selected take with audio."""
     chosen = takes.where(F.col("is_selected") & F.col("audio_path").isNotNull()).select("segment_id", F.lit(True).alias("has")).distinct()
     return segments.join(chosen, "segment_id", "left").groupBy("chapter_id").agg(F.bool_and(F.coalesce("has", F.lit(False))).alias("ready"))
+
+
+def moved_priorities(queue: DataFrame, moves: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """The same after moves (by, chapter_id, to): one row of each list taken out and put in at place `to`, counted from 1."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    placed = queue.withColumn("_at", place).join(moves.select(by, F.col("chapter_id").alias("_moved"), "to"), by)
+    own = placed.where(F.col("chapter_id") == F.col("_moved")).select(by, F.col("_at").alias("_from"))
+    going = F.col("chapter_id") == F.col("_moved")
+    # Half a place after the target when it moves down, half a place before it when it moves up.
+    key = F.when(going, F.col("to") + F.when(F.col("to") > F.col("_from"), 0.5).otherwise(-0.5)).otherwise(F.col("_at").cast("double"))
+    return changed_priorities(placed.join(own, by).withColumn("_key", F.when(going & (F.col("to") == F.col("_from")), F.col("_at")).otherwise(key)), by, [F.asc("_key")])

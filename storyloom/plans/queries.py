@@ -139,8 +139,8 @@ _LOOSE = ["DIALOG, ", "narr-ator", "Monologue", "m", "Female!", "teen ager", "Yo
 
 @query("enum_coerce", "", f"""SELECT part_id, {", ".join(
     f"coalesce(CASE WHEN list_contains({X.ENUMS[e].split()}, w) THEN w END, CASE WHEN list_contains({X.ENUMS[e].split()}, f) THEN f END, "
-    f"MAP {{{', '.join(repr(k) + ': ' + repr(v) for k, v in (a.split('=') for a in X.ALIASES[e].split()))}}}[w], "
-    f"MAP {{{', '.join(repr(k) + ': ' + repr(v) for k, v in (a.split('=') for a in X.ALIASES[e].split()))}}}[f], '{default}') AS {e}"
+    f"MAP {{{', '.join(repr(k) + ': ' + repr(v) for k, v in X.ALIASES[e].items())}}}[w], "
+    f"MAP {{{', '.join(repr(k) + ': ' + repr(v) for k, v in X.ALIASES[e].items())}}}[f], '{default}') AS {e}"
     for e, default in (("segment_type", "NARRATION"), ("gender", "UNKNOWN"), ("age_category", "UNKNOWN")))}
 FROM (SELECT part_id, w, split_part(w, '_', 1) AS f FROM (SELECT p_partkey AS part_id, regexp_replace(regexp_replace(upper(trim({_LOOSE}[p_partkey % 10 + 1])), '[ -]+', '_', 'g'), '[^A-Z_]', '', 'g') AS w FROM part))""")
 def enum_coerce(spark, d):
@@ -218,7 +218,7 @@ def label_script(spark, d):
 
 # ---- voices ------------------------------------------------------------------------------------------------------------
 
-_VOICES = ", ".join(f"({i}, '{v}', {'NULL' if g == '-' else repr(g)}, '{a}', {t.split(',')}, {q.split(',')})" for i, (v, g, a, t, q) in enumerate(map(str.split, cast.CATALOGUE.strip().splitlines())))
+_VOICES = ", ".join(f"({i}, '{v}', {'NULL' if g is None else repr(g)}, '{a}', {t}, {q})" for i, (v, g, a, t, q) in enumerate(cast.CATALOGUE))
 _SCORED = f""", voice(ord, voice, voice_gender, age, tones, qualities) AS (VALUES {_VOICES}), scored AS (
   SELECT character_id, book_id, name, voice_id, gender, voice AS candidate, voice_gender, CASE WHEN voice_gender IS NULL THEN -10 ELSE
     CASE WHEN voice_gender = CASE WHEN gender = 'UNKNOWN' THEN 'NEUTRAL' ELSE gender END THEN 4 ELSE 0 END + CASE WHEN age_category <> 'UNKNOWN' AND age = age_category THEN 2 ELSE 0 END
@@ -277,9 +277,9 @@ def assignable_voices(spark, d):
 _QUEUE = """, q AS (SELECT c.chapter_id, c.book_id, b.title, c.status, c.priority, c.position, c.status = 'GENERATING' AS generating FROM queue_chapter c JOIN book b USING (book_id) WHERE c.status = 'GENERATING' OR (c.status = 'PENDING' AND c.queued))"""
 
 
-@query("queue_view", "queue_chapter book", _QUEUE + " SELECT * FROM q ORDER BY generating DESC, priority DESC, book_id, position, chapter_id")
+@query("queue_view", "queue_chapter book", _QUEUE + " SELECT *, CAST(row_number() OVER (PARTITION BY generating, priority, book_id ORDER BY position, chapter_id) AS INTEGER) AS place FROM q ORDER BY generating DESC, priority DESC, book_id, position, chapter_id")
 def queue_view(spark, d):
-    return library.queue_view(view(spark, d, "queue_chapter"), view(spark, d, "book")).orderBy(*library.queue_order(), "chapter_id")
+    return library.ranked_queue(library.queue_view(view(spark, d, "queue_chapter"), view(spark, d, "book"))).orderBy(*library.queue_order(), "chapter_id")
 
 
 @query("queue_next", "queue_chapter", "SELECT * FROM queue_chapter WHERE status = 'PENDING' AND queued ORDER BY priority DESC, position, book_id LIMIT 1")
@@ -316,11 +316,14 @@ def library_filter(spark, d):
 _MODES = {"published_desc": "published_at DESC NULLS LAST", "published_asc": "published_at ASC NULLS LAST", "author": "lower(coalesce(author, ''))", "title": "lower(title)", "recent": "created_at DESC"}
 
 
-@query("library_sort", "book", " UNION ALL ".join(f"SELECT '{m}' AS mode, book_id FROM (SELECT book_id FROM book WHERE language = 'fr' ORDER BY {o}, book_id)" for m, o in _MODES.items()))
+@query("library_sort", "book", " UNION ALL ".join(f"SELECT '{m}' AS mode, book_id, CAST(row_number() OVER (PARTITION BY status ORDER BY {o}, book_id) AS INTEGER) AS place FROM book WHERE language = 'fr'" for m, o in _MODES.items()))
 def library_sort(spark, d):
-    """The list in each of its orders."""
+    """The list of each status in each of its orders."""
+    from pyspark.sql import Window
+
     books = view(spark, d, "book").where("language = 'fr'")
-    pages = [books.orderBy(*library.library_order(m)).select(F.lit(m).alias("mode"), "book_id") for m in _MODES]
+    place = lambda m: F.row_number().over(Window.partitionBy("status").orderBy(*library.library_order(m)))
+    pages = [books.select(F.lit(m).alias("mode"), "book_id", place(m).alias("place")) for m in _MODES]
     out = pages[0]
     for page in pages[1:]:
         out = out.unionByName(page)
@@ -393,7 +396,7 @@ def reassemble_gate(spark, d):
 
 # ---- changes -----------------------------------------------------------------------------------------------------------
 
-_MERGE = """, acc AS (SELECT * FROM suggestion WHERE status = 'PENDING' AND suggestion_id % 100 = 2), gone AS (SELECT merged_id FROM acc)"""
+_MERGE = """, acc AS (SELECT * FROM suggestion WHERE status = 'PENDING'), gone AS (SELECT merged_id FROM acc)"""
 
 
 @query("merge_accept", "suggestion character segment", _MERGE + """
@@ -402,7 +405,7 @@ UNION ALL SELECT 'character', character_id, name FROM character WHERE character_
 UNION ALL SELECT 'suggestion', suggestion_id, CASE WHEN suggestion_id IN (SELECT suggestion_id FROM acc) THEN 'ACCEPTED' WHEN status = 'PENDING' AND (survivor_id IN (SELECT merged_id FROM gone) OR merged_id IN (SELECT merged_id FROM gone)) THEN 'REJECTED' ELSE status END FROM suggestion""")
 def merge_accept(spark, d):
     suggestions = view(spark, d, "suggestion")
-    s, c, g = mutate.accept_merges(view(spark, d, "segment"), view(spark, d, "character"), suggestions, suggestions.where("suggestion_id % 100 = 2"))
+    s, c, g = mutate.accept_merges(view(spark, d, "segment"), view(spark, d, "character"), suggestions, suggestions)
     row = lambda df, kind, key, value: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(value).cast("string").alias("value"))
     return row(s, "segment", "segment_id", "character_id").unionByName(row(c, "character", "character_id", "name")).unionByName(row(g, "suggestion", "suggestion_id", "status"))
 
@@ -482,3 +485,5 @@ def wav_assembly(spark, d):
     made = wav.assemble(segments.select("segment_id", "chapter_id", "position").join(audio, "segment_id"))
     return made.select("chapter_id", "frames", wav.duration_ms(F.col("audio")).alias("ms"))
 
+
+from storyloom.plans import changes  # noqa: E402, F401  registers its queries
