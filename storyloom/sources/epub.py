@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.sources.html import extract
 
@@ -37,25 +38,41 @@ def _cover(items: list[dict[str, str]], meta: ElementTree.Element) -> dict[str,
     return None
 
 
+def _rejected(path: str, why: str) -> list[tuple]:
+    return [(path, *[None] * 8, why)]
+
+
 def parse_book(path: str, content: bytes) -> list[tuple]:
-    """Rows of SCHEMA. Documents without text are skipped and take no position; a file that is no EPUB gives one error row."""
+    """Rows of SCHEMA. Documents without text are skipped and take no position; a broken book gives one error row.
+
+    A manifest item without an id is no chapter, a cover or chapter that the archive lacks is left out.
+    """
+    try:
+        return _chapters(path, content)
+    except Exception as why:  # whatever is wrong with one file, the others are read
+        return _rejected(path, f"not an EPUB: {type(why).__name__}: {why}")
+
+
+def _chapters(path: str, content: bytes) -> list[tuple]:
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
         root = ElementTree.fromstring(book.read("META-INF/container.xml")).find(".//c:rootfile", _NS).get("full-path")
         package = ElementTree.fromstring(book.read(root))
     except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError) as why:
-        return [(path, None, None, None, None, None, None, None, None, f"not an EPUB: {why}")]
-    meta = package.find("o:metadata", _NS)
+        return _rejected(path, f"not an EPUB: {why}")
+    found = package.find("o:metadata", _NS)
+    meta = ElementTree.Element("metadata") if found is None else found
     items = [dict(i.attrib) for i in package.iterfind("o:manifest/o:item", _NS)]
-    by_id = {i["id"]: i for i in items}
+    by_id = {i["id"]: i for i in items if "id" in i}
+    held = set(book.namelist())
     at = lambda href: posixpath.normpath(posixpath.join(posixpath.dirname(root), href))
-    cover = _cover(items, meta)
+    cover = _cover([i for i in items if at(i.get("href", "")) in held], meta)
     stem = posixpath.splitext(posixpath.basename(path))[0]
     head = (path, _first(meta, "title") or stem, _first(meta, "creator"), _first(meta, "language"), book.read(at(cover["href"])) if cover else None, cover.get("media-type") if cover else None)
     rows: list[tuple] = []
     for ref in package.iterfind("o:spine/o:itemref", _NS):
         item = by_id.get(ref.get("idref"))
-        if item is None or "html" not in item.get("media-type", "") or "nav" in item.get("properties", "").split():
+        if item is None or at(item.get("href", "")) not in held or "html" not in item.get("media-type", "") or "nav" in item.get("properties", "").split():
             continue
         text, title = extract(book.read(at(item["href"])).decode("utf-8", "replace"))
         if text.strip():
@@ -64,7 +81,7 @@ def parse_book(path: str, content: bytes) -> list[tuple]:
 
 
 def read_epubs(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> DataFrame:
-    """All books under path; larger files than max_bytes are left out by Spark before they are read."""
+    """All books under path; a file larger than max_bytes is not read and gives an error row."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -73,5 +90,9 @@ def read_epubs(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> Dat
                 rows = pd.DataFrame(parse_book(name, bytes(content)), columns=names)
                 yield rows.astype({"position": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path).where(f"length <= {max_bytes}")
-    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path)
+    read = files.where(f"length <= {max_bytes}").select("path", "content").mapInPandas(parse, SCHEMA)
+    names = [tuple(f.split()) for f in SCHEMA.split(", ")]
+    told = {"path": F.col("path"), "error": F.concat(F.lit("larger than "), F.lit(max_bytes), F.lit(" bytes: "), F.col("length"))}
+    large = files.where(f"length > {max_bytes}").select(*[told.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in names])
+    return read.unionByName(large)

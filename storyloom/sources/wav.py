@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 RATE = 22_050
 HEADER_BYTES = 44
+#: Chunks that are looked through for the format and the samples.
+CHUNKS = 64
 
 
 def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
@@ -24,16 +26,38 @@ def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def _int(content: Column, at: int, size: int) -> Column:
+def _int(content: Column, at: int | Column, size: int) -> Column:
     """Little-endian unsigned integer of the bytes from at on."""
-    return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(content, at + 1, size)), F.lit("(..)"))), ""), 16, 10).cast("long")
+    taken = F.hex(F.substring(content, (at if isinstance(at, Column) else F.lit(at)) + 1, F.lit(size)))
+    return F.conv(F.array_join(F.reverse(F.regexp_extract_all(taken, F.lit("(..)"))), ""), 16, 10).cast("long")
+
+
+def _places(content: Column) -> Column:
+    """struct(at, fmt, data): where the chunks of the format and of the samples start; null where there is none."""
+    state = lambda at, fmt, data: F.struct(at.cast("int").alias("at"), fmt.cast("int").alias("fmt"), data.cast("int").alias("data"))
+
+    def step(seen: Column, _: Column) -> Column:
+        at, name = seen["at"], F.hex(F.substring(content, seen["at"] + 1, F.lit(4)))
+        size = F.coalesce(_int(content, at + 4, 4), F.lit(0))
+        fmt = F.when(name == b"fmt ".hex().upper(), at).otherwise(seen["fmt"])
+        data = F.when(name == b"data".hex().upper(), at)
+        # Chunks start at even places; beyond the end there is nothing to find.
+        after = F.least(at + 8 + size + size % 2, F.octet_length(content).cast("long"))
+        return F.when(seen["data"].isNotNull(), seen).otherwise(state(after, fmt, data))
+
+    none = F.lit(None)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS)), state(F.lit(12), none, none), step)
 
 
 def header(content: Column) -> Column:
-    """struct(channels, width, rate, frames) of a plain 44-byte header, in built-in expressions."""
-    channels, width = _int(content, 22, 2), (_int(content, 34, 2) / 8).cast("int")
-    frames = (_int(content, 40, 4) / (channels * width)).cast("long")
-    return F.struct(channels.cast("int").alias("channels"), width.alias("width"), _int(content, 24, 4).cast("int").alias("rate"), frames.alias("frames"))
+    """struct(channels, width, rate, frames) in built-in expressions; null without a format and samples in the first CHUNKS chunks."""
+    plain = F.hex(F.substring(content, 37, 4)) == b"data".hex().upper()
+    places = F.when(plain, F.struct(F.lit(36).alias("at"), F.lit(12).alias("fmt"), F.lit(36).alias("data"))).otherwise(_places(content))
+    fmt, data = places["fmt"], places["data"]
+    channels, width = _int(content, fmt + 10, 2), (_int(content, fmt + 22, 2) / 8).cast("int")
+    frames = (_int(content, data + 4, 4) / (channels * width)).cast("long")
+    told = F.struct(channels.cast("int").alias("channels"), width.alias("width"), _int(content, fmt + 12, 4).cast("int").alias("rate"), frames.alias("frames"))
+    return F.when(fmt.isNotNull() & data.isNotNull(), told)
 
 
 def duration_ms(content: Column) -> Column:
