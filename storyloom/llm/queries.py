@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import binary_ids, decontamination, fingerprints, language, packing, sharding, simhash, token_counts, toxicity, urls
+from storyloom.llm import binary_ids, decontamination, fingerprints, language, packing, sharding, simhash, sum_of_squares, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_binary_ids": binary_ids.op9_binary_ids,
     "op10_packing": packing.op10_packing,
+    "op11_online_packing": sum_of_squares.op11_online_packing,
 }
 
 ORACLE_SQL = {
