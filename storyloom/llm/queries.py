@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import binary_ids, decontamination, fingerprints, language, merkle, packing, sharding, simhash, sum_of_squares, token_counts, toxicity, urls
+from storyloom.llm import binary_ids, decontamination, fingerprints, language, merkle, packing, prefix_trie, sharding, simhash, sum_of_squares, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_binary_ids": binary_ids.op9_binary_ids,
     "op10_packing": packing.op10_packing,
     "op11_online_packing": sum_of_squares.op11_online_packing,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
     "op6_sharding": sharding.OP6_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
