@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
-#: Folders that are removed when the innermost scratch() block ends.
-_SCRATCH: list[list[str]] = []
+#: For each thread, the folders that are removed when its innermost scratch() block ends.
+_LOCAL = threading.local()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,11 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def _blocks() -> list[list[str]]:
+    return _LOCAL.__dict__.setdefault("blocks", [])
+
+
 def new_path(spark: SparkSession, label: str, outlive: bool = False) -> str:
     """A folder of its own; outlive leaves it to the scratch() block around the innermost one, if any."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if len(_SCRATCH) > outlive:
-        _SCRATCH[-2 if outlive else -1].append(path)
+    blocks = _blocks()
+    if len(blocks) > outlive:
+        blocks[-2 if outlive else -1].append(path)
     return path
 
 
@@ -57,11 +63,11 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove what is staged inside when the block ends, but for what outlives it; nothing else staged there may be read later."""
-    _SCRATCH.append([])
+    _blocks().append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _blocks().pop():
             remove(spark, path)
 
 

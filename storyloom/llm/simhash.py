@@ -478,16 +478,21 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
     that were measured; two documents of that similarity do share one.
     """
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with scratch(docs.sparkSession):
-        prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
-        told = F.min(F.struct("doc_id", "h")).alias("row")
-        # The sets of a class of equal words are equal; its number stands for it from here on.
-        numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
-        distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct")
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            prints = stage(_prefix_prints(keyed, similarity), "simhash-prints")
+            members = stage(prints.select("doc_id", "h", "same"), "simhash-rows", outlive=True)
+            told = F.min(F.struct("doc_id", "h")).alias("row")
+            # The sets of a class of equal words are equal; its number stands for it from here on.
+            numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
+            distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct", outlive=True)
         sizes = distinct.select("rep", "n", "bits")
         first = _apart(_prefix_rows(distinct).select("key", "rep", F.col("rep").alias("root")), block)
         by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
-        ringed = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        with scratch(spark):
+            linked = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            ringed = stage(linked, "simhash-ringed", outlive=True)
         # Most rows have no partner that sizes and parities allow: only the others' texts are read again.
         pairs = stage(_partners(first, sizes, similarity, False).unionByName(ringed).distinct(), "simhash-partners")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
@@ -498,9 +503,13 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
 
         def near(candidates: DataFrame) -> DataFrame:
-            likely = stage(_likely(candidates, sets, similarity), "simhash-likely")
+            with scratch(spark):
+                likely = stage(_likely(candidates, sets, similarity), "simhash-likely")
+                return measured(likely)
+
+        def measured(likely: DataFrame) -> DataFrame:
             sided = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
-            return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near")
+            return stage(_likeness(sided.select("a", "b", "left", "right")).where(F.col("similarity") >= similarity).select("a", "b"), "simhash-near", outlive=True)
 
         found = near(pairs)
         roots = connected_components(found)
@@ -513,12 +522,14 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
                 more = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
             else:
                 more = _partners(apart, sizes, similarity, True)
-            fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
+            with scratch(spark):
+                fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
+                fresh = stage(fresh, "simhash-fresh", outlive=True)
             if not fresh.isEmpty():
                 found = found.unionByName(fresh)
                 roots = connected_components(found)
         classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
-        return stage(prints.select("doc_id", "h", "same").join(classes, "same").select("doc_id", "h", "root"), "simhash-rooted", outlive=True)
+        return stage(members.join(classes, "same").select("doc_id", "h", "root"), "simhash-rooted", outlive=True)
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
