@@ -486,4 +486,4 @@ def wav_assembly(spark, d):
     return made.select("chapter_id", "frames", wav.duration_ms(F.col("audio")).alias("ms"))
 
 
-from storyloom.plans import changes  # noqa: E402, F401  registers its queries
+from storyloom.plans import audio, changes  # noqa: E402, F401  register their queries

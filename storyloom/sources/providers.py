@@ -31,6 +31,13 @@ def silence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"segment_id": batch["segment_id"], "audio": [wrap_pcm(bytes(2 * (RATE * len(t) // 100))) for t in batch["text"]]})
 
 
+def echo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stand-in for speech whose samples tell the text: its UTF-8 bytes, even in number by a blank, at 1000 frames a second. A null text gives no audio."""
+    for batch in batches:
+        bodies = [None if t is None else t.encode() for t in batch["text"]]
+        yield pd.DataFrame({"segment_id": batch["segment_id"], "audio": [None if b is None else wrap_pcm(b + b" " * (len(b) % 2), 1000) for b in bodies]})
+
+
 def with_retries(call: Callable[[str], str], tries: int = 3, wait: float = 0.0) -> Callable[[str], str]:
     """Call again after a failure, but not after the last try."""
     import time

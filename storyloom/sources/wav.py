@@ -1,19 +1,21 @@
-"""WAV containers: header scan, PCM wrapping, ordered assembly, slices."""
+"""WAV containers: header scan, PCM wrapping, ordered assembly in rows and from files, slices."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RATE = 22_050
 HEADER_BYTES = 44
-#: Chunks that are looked through for the format and the samples.
+#: Chunks that are looked through at first for the format and the samples. Only files with more are walked through to their end.
 CHUNKS = 64
+#: Bytes that a header can tell, and bytes of samples that one piece of a file has while it is put together.
+MOST, PIECE = (1 << 32) - 1, 4 << 20
 
 
 def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
@@ -26,14 +28,19 @@ def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _int(content: Column, at: int | Column, size: int) -> Column:
     """Little-endian unsigned integer of the bytes from at on."""
     taken = F.hex(F.substring(content, (at if isinstance(at, Column) else F.lit(at)) + 1, F.lit(size)))
     return F.conv(F.array_join(F.reverse(F.regexp_extract_all(taken, F.lit("(..)"))), ""), 16, 10).cast("long")
 
 
-def _places(content: Column) -> Column:
-    """struct(at, fmt, data): where the chunks of the format and of the samples start; null where there is none."""
+def _places(content: Column, chunks: Column) -> Column:
+    """struct(at, fmt, data): where the chunks of the format and of the samples start, null where so many chunks have none; at is the next chunk."""
     state = lambda at, fmt, data: F.struct(at.cast("int").alias("at"), fmt.cast("int").alias("fmt"), data.cast("int").alias("data"))
 
     def step(seen: Column, _: Column) -> Column:
@@ -46,23 +53,109 @@ def _places(content: Column) -> Column:
         return F.when(seen["data"].isNotNull(), seen).otherwise(state(after, fmt, data))
 
     none = F.lit(None)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS)), state(F.lit(12), none, none), step)
+    return F.aggregate(F.sequence(F.lit(1), chunks), state(F.lit(12), none, none), step)
 
 
-def header(content: Column) -> Column:
-    """struct(channels, width, rate, frames) in built-in expressions; null without a format and samples in the first CHUNKS chunks."""
+def _found(content: Column) -> Column:
     plain = F.hex(F.substring(content, 37, 4)) == b"data".hex().upper()
-    places = F.when(plain, F.struct(F.lit(36).alias("at"), F.lit(12).alias("fmt"), F.lit(36).alias("data"))).otherwise(_places(content))
-    fmt, data = places["fmt"], places["data"]
-    channels, width = _int(content, fmt + 10, 2), (_int(content, fmt + 22, 2) / 8).cast("int")
-    frames = (_int(content, data + 4, 4) / (channels * width)).cast("long")
-    told = F.struct(channels.cast("int").alias("channels"), width.alias("width"), _int(content, fmt + 12, 4).cast("int").alias("rate"), frames.alias("frames"))
-    return F.when(fmt.isNotNull() & data.isNotNull(), told)
+    size = F.octet_length(content)
+
+    def walked(first: Column) -> Column:
+        # No chunk is shorter than eight bytes, so this walk ends at the end of the file.
+        rest = _places(content, F.greatest((size / 8).cast("int"), F.lit(1)))
+        return F.when(first["data"].isNull() & (first["at"] < size), rest).otherwise(first)
+
+    usual = F.struct(F.lit(36).alias("at"), F.lit(12).alias("fmt"), F.lit(36).alias("data"))
+    return F.when(plain, usual).otherwise(_once(_places(content, F.lit(CHUNKS)), walked))
+
+
+def header(content: Column) -> Column:
+    """struct(channels, width, rate, frames, start, size) in built-in expressions: the format, and where the samples start and how many bytes of them the file
+    has; null where it has no format or no samples."""
+
+    def told(places: Column) -> Column:
+        fmt, data = places["fmt"], places["data"]
+        size = _int(content, data + 4, 4)
+        channels, width = _int(content, fmt + 10, 2).cast("int"), (_int(content, fmt + 22, 2) / 8).cast("int")
+        row = F.struct(
+            channels.alias("channels"),
+            width.alias("width"),
+            _int(content, fmt + 12, 4).cast("int").alias("rate"),
+            F.try_divide(size, channels * width).cast("long").alias("frames"),
+            (data + 8).alias("start"),
+            F.least(size, F.octet_length(content) - data - 8).cast("int").alias("size"),
+        )
+        return F.when(fmt.isNotNull() & data.isNotNull(), row)
+
+    return _once(_found(content), told)
 
 
 def duration_ms(content: Column) -> Column:
-    h = header(content)
-    return (h["frames"] / h["rate"] * 1000).cast("int")
+    return _once(header(content), lambda h: (F.try_divide(h["frames"], h["rate"]) * 1000).cast("int"))
+
+
+def samples(content: Column) -> Column:
+    """The bytes of the samples, as many as the header tells or the file has."""
+    return _once(header(content), lambda h: F.substring(content, h["start"] + 1, h["size"]))
+
+
+def _le(value: Column, size: int) -> Column:
+    """The integer as so many bytes, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"))), ""))
+
+
+def header_bytes(channels: Column, width: Column, rate: Column, size: Column) -> Column:
+    """The 44 bytes before size bytes of samples."""
+    frame = channels * width
+    fixed = lambda text: F.lit(text.encode())
+    return F.concat(
+        fixed("RIFF"), _le(size + 36, 4), fixed("WAVEfmt "), _le(F.lit(16), 4), _le(F.lit(1), 2), _le(channels, 2), _le(rate, 4), _le(rate * frame, 4), _le(frame, 2), _le(width * 8, 2), fixed("data"), _le(size, 4)
+    )
+
+
+def slice_audio(content: Column, offset_ms: Column, length_ms: Column) -> Column:
+    """The WAV of a time window, cut where the samples end; null where it starts beyond them or before the first."""
+
+    def window(h: Column) -> Column:
+        first, n = (offset_ms * h["rate"] / 1000).cast("int"), (length_ms * h["rate"] / 1000).cast("int")
+        frame = h["channels"] * h["width"]
+        size = F.greatest(F.least(n * frame, h["size"] - first * frame), F.lit(0))
+        cut = F.concat(header_bytes(h["channels"], h["width"], h["rate"], size), F.substring(content, h["start"] + 1 + first * frame, size))
+        return F.when((first >= 0) & (first <= h["frames"]), cut)
+
+    return _once(header(content), window)
+
+
+def joined(files: DataFrame, key: str, order: str, content: str = "content", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """(key, at, content) pieces of one WAV for each key, and (key, error) of keys that cannot be joined.
+
+    Two passes over the files, as no sound need fit in a row but that of one file: headers alone tell where each file's samples
+    start in the whole, by a running sum; then samples are cut to pieces where they are read and given their place. A file
+    that is no WAV, a format other than the first file's, or more bytes than a header can tell is an error of the key.
+    """
+    h = header(F.col(content))
+    told = files.select(key, order, h.alias("h")).withColumn("bytes", F.col("h.frames") * F.col("h.channels") * F.col("h.width"))
+    shape = F.struct("h.channels", "h.width", "h.rate")
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = told.withColumn("before", before).withColumn("first", F.first(shape).over(every)).withColumn("total", F.sum("bytes").over(every)).withColumn("shape", shape)
+    fault = (
+        F.when(F.col("h").isNull(), F.concat(F.lit("not a WAV at "), F.col(order).cast("string")))
+        .when(~F.col("shape").eqNullSafe(F.col("first")), F.concat(F.lit("another format at "), F.col(order).cast("string")))
+        .when(F.col("total") + 36 > MOST, F.lit("longer than a header can tell"))
+    )
+    errors = placed.withColumn("error", fault).where("error is not null").groupBy(key).agg(F.min_by("error", order).alias("error"))
+    fit = placed.join(errors.select(key), key, "left_anti")
+    heads = fit.groupBy(key).agg(F.first("first").alias("f"), F.first("total").alias("total"))
+    heads = heads.select(key, F.lit(0).cast("long").alias("at"), header_bytes(F.col("f.channels"), F.col("f.width"), F.col("f.rate"), F.col("total")).alias("content"))
+    starts = fit.select(key, order, "before", "bytes")
+    body = files.select(key, order, samples(F.col(content)).alias("body")).join(starts, [key, order])
+    cuts = body.where("bytes > 0").select("*", F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / piece).cast("int"))).alias("i"))
+    place = F.col("i").cast("long") * piece
+    rows = cuts.select(key, (F.lit(HEADER_BYTES) + F.col("before") + place).cast("long").alias("at"), F.substring("body", (place + 1).cast("int"), F.least(F.lit(piece), F.col("bytes") - place).cast("int")).alias("content"))
+    return heads.unionByName(rows), errors
 
 
 def slice_wav(content: bytes, offset_ms: int, length_ms: int) -> bytes:
