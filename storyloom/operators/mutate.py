@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.staging import stage
 
 
 def patch(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Set only the fields that a change sends: changes has, for each column c, c and has_c; a sent null clears."""
-    sent = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], *[f"has_{c}" for c in columns])
+    """Set only the fields that a change sends: changes has, for each column c, c and has_c; a sent null clears. One change a key."""
+    sent = changes.dropDuplicates([key]).select(key, *[F.col(c).alias(f"new_{c}") for c in columns], *[f"has_{c}" for c in columns])
     joined = table.join(sent, key, "left")
     return joined.select(*[F.when(F.col(f"has_{c}"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
 def accept_merges(segments: DataFrame, characters: DataFrame, suggestions: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accept pending suggestions (at most one that touches a character): segments, characters, suggestions afterwards."""
-    taken = suggestions.where("status = 'PENDING'").join(accepted.select("suggestion_id"), "suggestion_id", "left_semi")
+    """Accept pending suggestions that share no character: segments, characters, suggestions afterwards.
+
+    Where an earlier one, by suggestion_id, would merge away a character of a later one, the later is rejected. One that would
+    merge away an earlier one's survivor stays pending: accept_all_merges() follows such chains.
+    """
+    asked = suggestions.where("status = 'PENDING'").join(accepted.select("suggestion_id").distinct(), "suggestion_id", "left_semi")
+    ends = asked.select("suggestion_id", F.explode(F.array_distinct(F.array("survivor_id", "merged_id"))).alias("character_id"))
+    losers = ends.join(asked.select(F.col("merged_id").alias("character_id"), F.col("suggestion_id").alias("other")), "character_id").where("other < suggestion_id")
+    winners = asked.join(losers.select("suggestion_id"), "suggestion_id", "left_anti")
+    later = winners.select(F.col("suggestion_id").alias("other"), F.col("survivor_id").alias("character_id"))
+    chained = winners.select("suggestion_id", F.col("merged_id").alias("character_id")).join(later, "character_id").where("other < suggestion_id").select("suggestion_id")
+    taken = winners.join(chained, "suggestion_id", "left_anti")
     moves = taken.select(F.col("merged_id").alias("character_id"), F.col("survivor_id").alias("to_id"))
     moved = segments.join(moves, "character_id", "left").select(*[F.coalesce("to_id", "character_id").alias("character_id") if c == "character_id" else F.col(c) for c in segments.columns])
     kept = characters.join(moves.select("character_id"), "character_id", "left_anti")
@@ -30,25 +40,62 @@ def accept_merges(segments: DataFrame, characters: DataFrame, suggestions: DataF
 
 
 def accept_all(suggestions: DataFrame) -> DataFrame:
-    """(book_id, suggestion_id, status) when a book's pending suggestions are accepted one after another.
+    """(book_id, suggestion_id, status) when a book's pending suggestions are accepted one after another, by suggestion_id.
 
-    A suggestion whose character an earlier one has merged away is rejected by then, and stays so: an ordered fold by book.
+    A suggestion whose character an earlier accepted one has merged away is rejected. So it is settled as soon as the earlier
+    ones that would merge away either of its characters are: each round settles, in all books at once, those that no open one
+    can still touch. Rounds are joins on characters, as many as the longest chain of suggestions that hang on each other; no
+    book meets in one task. Settled suggestions leave the rounds.
     """
-
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        status = []
-        for row in book.sort_values("suggestion_id").itertuples():
-            now = row.status
-            if now == "PENDING":
-                now = "REJECTED" if row.survivor_id in gone or row.merged_id in gone else "ACCEPTED"
-                if now == "ACCEPTED":
-                    gone.add(row.merged_id)
-            status.append((row.book_id, row.suggestion_id, now))
-        return pd.DataFrame(status, columns=["book_id", "suggestion_id", "status"])
-
-    narrow = suggestions.select("book_id", "suggestion_id", "survivor_id", "merged_id", "status")
-    return narrow.groupBy("book_id").applyInPandas(fold, "book_id long, suggestion_id long, status string")
+    settled = [suggestions.where("status <> 'PENDING'").select("book_id", "suggestion_id", "status")]
+    pending = stage(suggestions.where("status = 'PENDING'").select("book_id", "suggestion_id", "survivor_id", "merged_id"), "accept-open")
+    # (suggestion, earlier one that would merge one of its characters away)
+    touched = pending.select("book_id", "suggestion_id", F.explode(F.array_distinct(F.array("survivor_id", "merged_id"))).alias("character_id"))
+    taker = pending.select("book_id", F.col("suggestion_id").alias("earlier"), F.col("merged_id").alias("character_id"))
+    waits = touched.join(taker, ["book_id", "character_id"]).where(F.col("earlier") < F.col("suggestion_id")).select("book_id", "suggestion_id", "earlier").distinct()
+    waits, open_ = stage(waits, "accept-waits"), pending.select("book_id", "suggestion_id")
+    while True:
+        # Nothing earlier left to wait for: accepted.
+        fresh = stage(open_.join(waits, ["book_id", "suggestion_id"], "left_anti").withColumn("status", F.lit("ACCEPTED")), "accept-taken")
+        if fresh.isEmpty():
+            break
+        before = fresh.select("book_id", F.col("suggestion_id").alias("earlier"))
+        lost = stage(waits.join(before, ["book_id", "earlier"], "left_semi").select("book_id", "suggestion_id").distinct().withColumn("status", F.lit("REJECTED")), "accept-lost")
+        now = fresh.unionByName(lost)
+        settled.append(now)
+        open_ = stage(open_.join(now, ["book_id", "suggestion_id"], "left_anti"), "accept-open")
+        # What is rejected merges nothing, so nobody waits for it; what is settled waits no more.
+        gone = now.select("book_id", F.col("suggestion_id").alias("earlier"))
+        waits = stage(waits.join(gone, ["book_id", "earlier"], "left_anti").join(now, ["book_id", "suggestion_id"], "left_anti"), "accept-waits")
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def final_survivors(moves: DataFrame) -> DataFrame:
+    """(character_id, to_id): where each merged character ends, by pointer jumping: each round doubles the way that a pointer goes.
+
+    moves: character_id (once), to_id; without circles, as accepting in order gives it.
+    """
+    moves = stage(moves.select("character_id", "to_id"), "merge-moves")
+    while True:
+        onward = moves.select(F.col("character_id").alias("to_id"), F.col("to_id").alias("next_id"))
+        jumped = stage(moves.join(onward, "to_id", "left").select("character_id", F.coalesce("next_id", "to_id").alias("to_id"), F.col("next_id").isNotNull().alias("moved")), "merge-moves")
+        moves = jumped.select("character_id", "to_id")
+        if jumped.where("moved").isEmpty():
+            return moves
+
+
+def accept_all_merges(segments: DataFrame, characters: DataFrame, suggestions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, characters and suggestions after all pending suggestions are accepted in order: lines go to the last survivor of a chain."""
+    now = stage(accept_all(suggestions), "accept-all")
+    taken = suggestions.where("status = 'PENDING'").join(now.where("status = 'ACCEPTED'"), ["book_id", "suggestion_id"], "left_semi")
+    moves = final_survivors(taken.select(F.col("merged_id").alias("character_id"), F.col("survivor_id").alias("to_id")))
+    moved = segments.join(moves, "character_id", "left").select(*[F.coalesce("to_id", "character_id").alias("character_id") if c == "character_id" else F.col(c) for c in segments.columns])
+    kept = characters.join(moves.select("character_id"), "character_id", "left_anti")
+    after = suggestions.drop("status").join(now, ["book_id", "suggestion_id"]).select(*suggestions.columns)
+    return moved, kept, after
 
 
 def name_suggestions(suggested: DataFrame, characters: DataFrame) -> DataFrame:
@@ -59,8 +106,9 @@ def name_suggestions(suggested: DataFrame, characters: DataFrame) -> DataFrame:
 
 
 def select_takes(takes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """In the segments of the chosen takes these are selected and all others are not; other segments stay."""
-    picked = chosen.select("segment_id", F.col("take_id").alias("chosen_id"))
+    """In the segments of the chosen takes these are selected and all others are not; other segments stay. Of two chosen takes of
+    a segment the one with the larger id counts."""
+    picked = chosen.groupBy("segment_id").agg(F.max("take_id").alias("chosen_id"))
     joined = takes.join(picked, "segment_id", "left")
     now = F.when(F.col("chosen_id").isNotNull(), F.col("take_id") == F.col("chosen_id")).otherwise(F.col("is_selected"))
     return joined.select(*[now.alias("is_selected") if c == "is_selected" else F.col(c) for c in takes.columns])
@@ -78,6 +126,34 @@ def delete_books(gone: DataFrame, chapters: DataFrame, segments: DataFrame, char
     return left, segments.join(dead, "chapter_id", "left_anti"), characters.join(books, "book_id", "left_anti")
 
 
+def delete_everything(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of books, chapters, segments, takes, characters and suggestions when books go with all that hangs on them."""
+    books = gone.select("book_id").distinct()
+    dead_chapters = tables["chapters"].join(books, "book_id", "left_semi").select("chapter_id")
+    dead_segments = tables["segments"].join(dead_chapters, "chapter_id", "left_semi").select("segment_id")
+    left = {name: tables[name].join(books, "book_id", "left_anti") for name in ("books", "chapters", "characters", "suggestions")}
+    return left | {"segments": tables["segments"].join(dead_chapters, "chapter_id", "left_anti"), "takes": tables["takes"].join(dead_segments, "segment_id", "left_anti")}
+
+
+def stop_chapters(chapters: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked chapters that are being generated get a wish to stop, which the run reads; others get an `error`. The status stays."""
+    joined = chapters.join(asked.select("chapter_id", F.lit(True).alias("asked")).distinct(), "chapter_id", "left")
+    hit, busy = F.coalesce("asked", F.lit(False)), F.col("status") == "GENERATING"
+    error = F.when(hit & ~busy, F.concat(F.lit("not being generated: "), F.col("status")))
+    return joined.select(*[(F.col(c) | (hit & busy)).alias(c) if c == "cancel_requested" else F.col(c) for c in chapters.columns], error.alias("error"))
+
+
+def analysis_plan(books: DataFrame, chapters: DataFrame, segments: DataFrame, force: Column) -> DataFrame:
+    """(book_id, resume, done, left): a book that failed and has chapters goes on with those that have no segment, unless forced; any
+    other book starts anew with all of them."""
+    has = chapters.join(segments.select("chapter_id").distinct().withColumn("has", F.lit(1)), "chapter_id", "left")
+    counted = has.groupBy("book_id").agg(F.count("*").alias("chapters"), F.count("has").alias("analysed"))
+    joined = books.join(counted, "book_id", "left")
+    resume = (F.col("status") == "FAILED") & ~force & (F.coalesce("chapters", F.lit(0)) > 0)
+    done = F.when(resume, F.col("analysed")).otherwise(0)
+    return joined.select("book_id", resume.alias("resume"), done.cast("long").alias("done"), (F.coalesce("chapters", F.lit(0)) - done).cast("long").alias("left"))
+
+
 def reconcile(books: DataFrame) -> DataFrame:
     """After a restart no book is in work: such books failed, in the stage that their status tells."""
     stuck = F.col("status").isin("PROCESSING", "GENERATING")

@@ -61,6 +61,10 @@ SQL = {
       SELECT book_id, character_id AS suggestion_id, character_id AS survivor_id, character_id + 25 AS merged_id,
              CASE WHEN character_id % 10 = 9 THEN 'REJECTED' ELSE 'PENDING' END AS status
       FROM character WHERE character_id % 2 = 0""",
+    "chain": """
+      SELECT c_custkey % 25 AS book_id, c_custkey AS suggestion_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 25 ELSE c_custkey END AS survivor_id,
+             CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 25 END AS merged_id, CASE WHEN c_custkey % 11 = 9 THEN 'REJECTED' ELSE 'PENDING' END AS status
+      FROM customer""",
     "reply": """
       SELECT conv_id AS chunk_id, CASE
         WHEN conv_id % 11 = 3 THEN '[1, 2]' WHEN conv_id % 11 = 5 THEN 'no json' WHEN conv_id % 11 = 7 THEN NULL
@@ -95,6 +99,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return table("lineitem").select(F.col("l_orderkey").alias("chapter_id"), F.row_number().over(order).alias("position"), (F.col("l_quantity").cast("long") * 100).alias("duration_ms"))
     if name == "suggestion":
         return spark.sql(SQL[name].replace("FROM character", "FROM {t}").replace("VARCHAR", "STRING"), t=view(spark, sf_dir, "character"))
-    base = {"chapter": "documents", "dialogue_turn": "conversations", "segment": "conversations", "character": "customer", "book": "customer", "queue_chapter": "orders", "probe": "events", "take": "lineitem", "reply": "conversations"}[name]
+    base = {"chapter": "documents", "dialogue_turn": "conversations", "segment": "conversations", "character": "customer", "book": "customer", "chain": "customer", "queue_chapter": "orders", "probe": "events", "take": "lineitem", "reply": "conversations"}[name]
     text = SQL[name].replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", "FROM {t}").replace("VARCHAR", "STRING")
     return spark.sql(text, t=table(base))

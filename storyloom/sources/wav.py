@@ -69,7 +69,7 @@ def _found(content: Column) -> Column:
     return F.when(plain, usual).otherwise(_once(_places(content, F.lit(CHUNKS)), walked))
 
 
-def header(content: Column) -> Column:
+def layout(content: Column) -> Column:
     """struct(channels, width, rate, frames, start, size) in built-in expressions: the format, and where the samples start and how many bytes of them the file
     has; null where it has no format or no samples."""
 
@@ -90,13 +90,18 @@ def header(content: Column) -> Column:
     return _once(_found(content), told)
 
 
+def header(content: Column) -> Column:
+    """struct(channels, width, rate, frames); null where a file has no format or no samples."""
+    return _once(layout(content), lambda h: F.when(h.isNotNull(), F.struct(*[h[c].alias(c) for c in ("channels", "width", "rate", "frames")])))
+
+
 def duration_ms(content: Column) -> Column:
-    return _once(header(content), lambda h: (F.try_divide(h["frames"], h["rate"]) * 1000).cast("int"))
+    return _once(layout(content), lambda h: (F.try_divide(h["frames"], h["rate"]) * 1000).cast("int"))
 
 
 def samples(content: Column) -> Column:
     """The bytes of the samples, as many as the header tells or the file has."""
-    return _once(header(content), lambda h: F.substring(content, h["start"] + 1, h["size"]))
+    return _once(layout(content), lambda h: F.substring(content, h["start"] + 1, h["size"]))
 
 
 def _le(value: Column, size: int) -> Column:
@@ -124,7 +129,7 @@ def slice_audio(content: Column, offset_ms: Column, length_ms: Column) -> Column
         cut = F.concat(header_bytes(h["channels"], h["width"], h["rate"], size), F.substring(content, h["start"] + 1 + first * frame, size))
         return F.when((first >= 0) & (first <= h["frames"]), cut)
 
-    return _once(header(content), window)
+    return _once(layout(content), window)
 
 
 def joined(files: DataFrame, key: str, order: str, content: str = "content", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
