@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
@@ -53,11 +53,20 @@ def segments(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text
     return placed.select(key, (F.col("i") + 1).alias("position"), "s.index", "s.text", "s.segment_type")
 
 
-def prompts(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language") -> DataFrame:
-    """(key, prompt): one line for each span that is not blank, with the span's own index."""
+#: Heads the names that earlier chapters have brought.
+KNOWN = "Cast so far: "
+
+
+def prompts(chapters: DataFrame, key: str = "chapter_id", text: str = "raw_text", language: str = "language", known: str | None = None) -> DataFrame:
+    """(key, prompt): one line for each span that is not blank, with the span's own index; before them, where the column `known`
+    has names, a line with those that earlier chapters have brought."""
     shown = F.transform(span_array(F.col(text), F.col(language)), lambda s: F.struct(s["index"].alias("index"), s["is_dialogue"].alias("said"), X.collapse(s["text"]).alias("shown")))
     line = lambda s: F.concat(F.lit("["), s["index"].cast("string"), F.lit("]["), F.when(s["said"], "DIALOGUE").otherwise("NARRATION"), F.lit("] "), s["shown"])
-    return chapters.select(key, F.array_join(F.transform(F.filter(shown, lambda s: s["shown"] != ""), line), "\n").alias("prompt"))
+    lines = F.transform(F.filter(shown, lambda s: s["shown"] != ""), line)
+    if known is not None:
+        head = F.concat(F.lit(KNOWN), F.array_join(known, ", "), F.lit("."))
+        lines = F.when(F.size(F.coalesce(known, F.array().cast("array<string>"))) > 0, F.concat(F.array(head), lines)).otherwise(lines)
+    return chapters.select(key, F.array_join(lines, "\n").alias("prompt"))
 
 
 def _packed(parts: Column, sep: str, budget: int, refine) -> Column:
@@ -94,13 +103,24 @@ def merge_casts(cast: DataFrame, key: str = "chapter_id") -> DataFrame:
     return cast.groupBy(key, "name").agg(first.alias("f")).select(key, "name", "f.*")
 
 
+def known_names(cast: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book_id, position, known): the names that earlier chapters of the book have brought, in the order of their first sighting.
+
+    cast: book_id, position, ord, name; chapters: book_id, position. A chapter's new names are gathered before they run on.
+    """
+    first = cast.groupBy("book_id", "name").agg(F.min(F.struct("position", "ord")).alias("at"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("at.ord", "name"))), lambda x: x["name"])
+    new = first.groupBy("book_id", F.col("at.position").alias("position")).agg(named.alias("names"))
+    before = Window.partitionBy("book_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    joined = chapters.select("book_id", "position").distinct().join(new, ["book_id", "position"], "left")
+    return joined.select("book_id", "position", F.flatten(F.collect_list("names").over(before)).alias("known"))
+
+
 def known_cast(cast: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, position, n_known): how many names of the book earlier chapters have brought.
 
     Each name counts from its first chapter on; first sightings are summed by chapter before the running sum.
     """
-    from pyspark.sql import Window
-
     first = cast.groupBy("book_id", "name").agg(F.min("position").alias("position"))
     new = first.groupBy("book_id", "position").agg(F.count("*").alias("n"))
     before = Window.partitionBy("book_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)

@@ -65,13 +65,17 @@ def used_voices(characters: DataFrame) -> DataFrame:
     return characters.groupBy("book_id").agg(F.array_sort(F.array_union(F.collect_set("voice_id"), F.array(F.lit(NARRATOR)))).alias("voices"))
 
 
+#: Heads the list of a book's cast in a prompt.
+MERGE_QUESTION = "Which of these names belong to one and the same person? One name a row, then what is known of it."
+
+
 def merge_prompts(characters: DataFrame) -> DataFrame:
-    """(book_id, prompt): a heading and a line for each character with the traits that are told; books with one character ask nothing."""
-    traits = F.concat_ws(", ", *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c)) for label, c in (("gender", F.col("gender")), ("age", F.col("age_category")), ("description", F.col("description")))])
-    line = F.concat(F.lit("- "), "name", F.when(traits == "", "").otherwise(F.concat(F.lit(" ("), traits, F.lit(")"))))
+    """(book_id, prompt): a question and a row for each character, its name and what is told of it between bars; books with one
+    character ask nothing."""
+    line = F.concat_ws(" | ", "name", *[F.nullif(c, F.lit("")) for c in ("gender", "age_category", "description")])
     lines = characters.select("book_id", F.struct("character_id", line.alias("line")).alias("s")).groupBy("book_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
     told = lines.where(F.size("all") > 1)
-    return told.select("book_id", F.concat(F.lit("Characters detected in this book:\n"), F.array_join(F.transform("all", lambda s: s["line"]), "\n")).alias("prompt"))
+    return told.select("book_id", F.concat(F.lit(MERGE_QUESTION + "\n"), F.array_join(F.transform("all", lambda s: s["line"]), "\n")).alias("prompt"))
 
 
 def new_takes(asked: DataFrame, segments: DataFrame, characters: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def used_voices(spark, d):
     return synthesis.used_voices(view(spark, d, "character")).select("book_id", F.array_join("voices", ",").alias("voices"))
 
 
-@query("merge_prompt", "character", """SELECT book_id, 'Characters detected in this book:' || chr(10) || string_agg('- ' || name || ' (gender: ' || gender || ', age: ' || age_category || CASE WHEN coalesce(tone, '') <> '' THEN ', description: ' || tone ELSE '' END || ')', chr(10) ORDER BY character_id) AS prompt FROM character GROUP BY book_id HAVING count(*) > 1""")
+@query("merge_prompt", "character", f"""SELECT book_id, '{synthesis.MERGE_QUESTION}' || chr(10) || string_agg(concat_ws(' | ', name, gender, age_category, nullif(tone, '')), chr(10) ORDER BY character_id) AS prompt FROM character GROUP BY book_id HAVING count(*) > 1""")
 def merge_prompt(spark, d):
     return synthesis.merge_prompts(view(spark, d, "character").withColumnRenamed("tone", "description"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from storyloom.sources.html import extract
 
+#: Bytes of a book file that are read at most.
+MAX_BYTES = 50 << 20
 _NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.idpf.org/2007/opf", "d": "http://purl.org/dc/elements/1.1/"}
 SCHEMA = "path string, title string, author string, language string, cover binary, cover_type string, position int, chapter_title string, raw_text string, error string"
 
@@ -80,8 +82,13 @@ def _chapters(path: str, content: bytes) -> list[tuple]:
     return rows
 
 
-def read_epubs(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> DataFrame:
+def read_epubs(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """All books under path; a file larger than max_bytes is not read and gives an error row."""
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path), max_bytes)
+
+
+def parsed(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows of SCHEMA from files (path, length, content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -90,7 +97,6 @@ def read_epubs(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> Dat
                 rows = pd.DataFrame(parse_book(name, bytes(content)), columns=names)
                 yield rows.astype({"position": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path)
     read = files.where(f"length <= {max_bytes}").select("path", "content").mapInPandas(parse, SCHEMA)
     names = [tuple(f.split()) for f in SCHEMA.split(", ")]
     told = {"path": F.col("path"), "error": F.concat(F.lit("larger than "), F.lit(max_bytes), F.lit(" bytes: "), F.col("length"))}
