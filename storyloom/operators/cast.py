@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
@@ -58,29 +57,34 @@ def ranked_voices(characters: DataFrame) -> DataFrame:
 def assign_voices(characters: DataFrame, clones: DataFrame | None = None) -> DataFrame:
     """(book_id, character_id, name, voice_id) after casting each book in name order.
 
-    A cast character keeps its voice. Others take the first free clone of their gender (where clones are given), then the
-    best free voice of their pool, then the best one. The choice depends on all earlier ones, so a book is folded in order;
-    books are independent. Only ids and candidate lists reach the fold.
+    A cast character keeps its voice. Others take the first free clone of their gender (where clones are given), then the best
+    free voice of their pool, then the best one. All of a pool choose from the same voices, so as many of them as there are
+    voices leave none free: only these first ones, a fixed few of each book and pool, are folded in order, inside an array. All
+    later ones take their best voice without any of the others. Row numbers are cut off before the shuffle.
     """
     ranked = characters.join(ranked_voices(characters), "character_id", "left")
-    spark = characters.sparkSession
-    pools = clones if clones is not None else spark.createDataFrame([], "voice_id string, gender string, ord long")
+    pools = clones if clones is not None else characters.sparkSession.createDataFrame([], "voice_id string, gender string, ord long")
     mine = pools.where(F.col("gender").isNotNull()).groupBy(F.col("gender").alias("pool")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "voice_id"))), lambda x: x["voice_id"]).alias("clones"))
-    ready = ranked.withColumn("pool", pool_gender(F.col("gender"))).join(mine, "pool", "left").select("book_id", "character_id", "name", "voice_id", F.coalesce("clones", F.array().cast("array<string>")).alias("clones"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
-
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values(["name", "character_id"])
-        used = {v for v in book["voice_id"] if isinstance(v, str) and v != NARRATOR}
-        voices = []
-        for own, copies, candidates in zip(book["voice_id"], book["clones"], book["candidates"], strict=True):
-            if not isinstance(own, str):
-                ranked_ids = [*copies, *candidates]
-                own = next((v for v in ranked_ids if v not in used), candidates[0] if len(candidates) else None)
-                used.add(own)
-            voices.append(own)
-        return book.assign(voice_id=voices)[["book_id", "character_id", "name", "voice_id"]]
-
-    return ready.groupBy("book_id").applyInPandas(fold, "book_id long, character_id long, name string, voice_id string")
+    none = F.array().cast("array<string>")
+    ready = ranked.withColumn("pool", pool_gender(F.col("gender"))).join(mine, "pool", "left")
+    ready = ready.select("book_id", "character_id", "name", "pool", "voice_id", F.coalesce("clones", none).alias("clones"), F.coalesce("candidates", none).alias("candidates"))
+    voices = len(CATALOGUE) + (pools.count() if clones is not None else 0)
+    turn = F.row_number().over(Window.partitionBy("book_id", "pool").orderBy(F.col("name").asc_nulls_last(), "character_id"))
+    firsts = ready.where("voice_id is null").withColumn("turn", turn).where(F.col("turn") <= voices)
+    used = ready.where(F.col("voice_id") != NARRATOR).groupBy("book_id").agg(F.collect_set("voice_id").alias("used"))
+    row = F.struct("turn", "character_id", F.concat("clones", "candidates").alias("wanted"), "candidates")
+    pooled = firsts.groupBy("book_id", "pool").agg(F.array_sort(F.collect_list(row)).alias("cast")).join(used, "book_id", "left")
+    start = F.struct(F.coalesce("used", none).alias("used"), F.array().cast(f"array<struct<character_id:{dict(characters.dtypes)['character_id']},chosen:string>>").alias("out"))
+
+    def choose(seen: Column, x: Column) -> Column:
+        free = F.get(F.filter(x["wanted"], lambda v: ~F.array_contains(seen["used"], v)), F.lit(0))
+        chosen = F.coalesce(free, F.get(x["candidates"], F.lit(0)))
+        now = F.when(chosen.isNull(), seen["used"]).otherwise(F.array_union(seen["used"], F.array(chosen)))
+        return F.struct(now.alias("used"), F.concat(seen["out"], F.array(F.struct(x["character_id"].alias("character_id"), chosen.alias("chosen")))).alias("out"))
+
+    taken = pooled.select("book_id", F.explode(F.aggregate("cast", start, choose)["out"]).alias("x")).select("book_id", "x.*")
+    told = ready.join(taken, ["book_id", "character_id"], "left")
+    return told.select("book_id", "character_id", "name", F.coalesce("voice_id", "chosen", F.get("candidates", F.lit(0))).alias("voice_id"))
 
 
 def seed_voices(existing: DataFrame) -> DataFrame:

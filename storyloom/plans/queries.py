@@ -227,9 +227,12 @@ _SCORED = f""", voice(ord, voice, voice_gender, age, tones, qualities) AS (VALUE
 _RANKED = _SCORED + """, ranked AS (SELECT character_id, list(candidate ORDER BY -score, candidate) AS candidates FROM scored WHERE voice_gender = CASE WHEN gender = 'UNKNOWN' THEN 'NEUTRAL' ELSE gender END GROUP BY character_id)"""
 
 
-@query("voice_catalogue", "", f"SELECT ord, voice, upper(left(voice, 1)) || replace(substr(voice, 2), '_', ' ') AS name, g AS gender FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities)")
+@query("voice_catalogue", "character", f""", cast_of AS (SELECT voice_id, count(*) AS n FROM character WHERE voice_id IS NOT NULL GROUP BY voice_id)
+SELECT ord, voice, upper(left(voice, 1)) || replace(substr(voice, 2), '_', ' ') AS name, g AS gender, coalesce(n, 0) AS n_cast FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities) LEFT JOIN cast_of ON voice_id = voice""")
 def voice_catalogue(spark, d):
-    return cast.catalogue(spark).select("ord", F.col("voice_id").alias("voice"), "name", "gender")
+    """The catalogue, and how many characters each of its voices has."""
+    used = view(spark, d, "character").where("voice_id is not null").groupBy("voice_id").agg(F.count("*").alias("n"))
+    return cast.catalogue(spark).join(used, "voice_id", "left").select("ord", F.col("voice_id").alias("voice"), "name", "gender", F.coalesce("n", F.lit(0)).alias("n_cast"))
 
 
 @query("voice_score", "character", _SCORED + " SELECT character_id, candidate, score FROM scored")
@@ -255,21 +258,30 @@ def cast_assign(spark, d):
     return cast.assign_voices(view(spark, d, "character"))
 
 
-@query("voice_seed", "", f"SELECT voice_id, kind FROM (VALUES ('male_0', 'CATALOGUE'), ('clone-x', 'CLONED')) x(voice_id, kind) UNION ALL SELECT voice, 'CATALOGUE' FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities) WHERE voice <> 'male_0'")
+_HAVE = "SELECT DISTINCT voice_id, CASE WHEN voice_id LIKE 'clone-%' THEN 'CLONED' ELSE 'CATALOGUE' END AS kind FROM character WHERE voice_id IS NOT NULL"
+
+
+def _have(spark, d):
+    """The voices that the cast has, as rows of the voice table."""
+    voice = F.col("voice_id")
+    cast_voices = view(spark, d, "character").where(voice.isNotNull()).select("voice_id").distinct()
+    return cast_voices.select("voice_id", X.humanize(voice).alias("name"), F.when(voice.startswith("clone-"), "CLONED").otherwise("CATALOGUE").alias("kind"), F.lit(None).cast("string").alias("gender"))
+
+
+@query("voice_seed", "character", f", have AS ({_HAVE}) SELECT voice_id, kind FROM have UNION ALL SELECT voice, 'CATALOGUE' FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities) WHERE voice NOT IN (SELECT voice_id FROM have)")
 def voice_seed(spark, d):
-    have = spark.createDataFrame([("male_0", "Male 0", "CATALOGUE", "MALE"), ("clone-x", "X", "CLONED", None)], "voice_id string, name string, kind string, gender string")
-    return cast.seed_voices(have).select("voice_id", "kind")
+    return cast.seed_voices(_have(spark, d)).select("voice_id", "kind")
 
 
-@query("voice_hues", "", f"SELECT voice AS voice_id, round(((row_number() OVER (ORDER BY voice) - 1) * 137.508) % 360.0, 3)::DOUBLE AS hue FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities)")
+@query("voice_hues", "", "SELECT p_brand AS voice_id, round(((row_number() OVER (ORDER BY p_brand) - 1) * 137.508) % 360.0, 3)::DOUBLE AS hue FROM (SELECT DISTINCT p_brand FROM part)")
 def voice_hues(spark, d):
-    return library.voice_hues(cast.catalogue(spark))
+    """A hue for each brand, as for each voice."""
+    return library.voice_hues(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("voice_id")).distinct())
 
 
-@query("assignable_voices", "", f"SELECT voice AS voice_id FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities) WHERE voice <> 'narrator' UNION SELECT 'clone-x'")
+@query("assignable_voices", "character", f", have AS ({_HAVE}) SELECT voice AS voice_id FROM (VALUES {_VOICES}) v(ord, voice, g, age, tones, qualities) WHERE voice <> 'narrator' UNION SELECT voice_id FROM have WHERE voice_id <> 'narrator'")
 def assignable_voices(spark, d):
-    have = spark.createDataFrame([("clone-x", "X", "CLONED", None)], "voice_id string, name string, kind string, gender string")
-    return library.assignable_voices(cast.seed_voices(have))
+    return library.assignable_voices(cast.seed_voices(_have(spark, d)))
 
 
 # ---- library -----------------------------------------------------------------------------------------------------------
