@@ -21,7 +21,7 @@ ORACLE_SQL = None
 #: Share of a document's text that its main language needs.
 MIN_SHARE = 0.5
 #: Bytes of encoded words that a worker remembers while packing: few, for its executor has run all stages before.
-WORKER_BYTES = 24 << 20
+WORKER_BYTES = 16 << 20
 
 
 def _carried(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
@@ -125,9 +126,18 @@ def range_bucket(df: DataFrame, key: str, bounds: list[float], out: str) -> Data
     return cut.transform(keyed).withColumn(out, F.col("_cut").cast("int")).drop("_key", "_cut")
 
 
+def give_back() -> None:
+    """Return what the process has freed to the system: a worker lives on after its task, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a worker makes of one stays small."""
+    give_back()  # what the worker's last task has left
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    give_back()

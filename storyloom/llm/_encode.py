@@ -106,6 +106,10 @@ class PieceEncoder:
         self.line_feed = self._ids("\n")
         self.spans = _Memory(self._spans, lower)
 
+    def forget(self) -> None:
+        for memory in (self.ids, self.spaced, self.spans):
+            memory.forget()
+
     def cut(self, text: str) -> list[str]:
         if _ODD_SPACE.search(text):
             return [text]

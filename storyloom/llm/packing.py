@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import global_positions, read, stage
+from storyloom.llm._common import give_back, global_positions, read, stage
 from storyloom.llm._encode import GENERATION, encoder, vocabulary
 
 CAPACITY = 1024
@@ -179,6 +179,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     columns = list(zip(*rows, strict=True))
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if remembered < GENERATION:
+            enc.forget()  # where a worker has little memory, it keeps nothing between tasks
+            give_back()
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
