@@ -199,7 +199,7 @@ def label_attributions(spark, d):
 
 @query("label_fold", "reply", """SELECT chunk_id, CAST(i AS BIGINT) AS index, c AS character_name, e AS emotion, g AS registered
 FROM (SELECT conv_id AS chunk_id, max(turn) + 5 AS last FROM conversations WHERE conv_id % 11 NOT IN (3, 5, 7) GROUP BY conv_id),
-LATERAL (VALUES (1, 'Harry Tarn', 'calm', false), (2, 'Mara', NULL, false), (3, 'Mara', NULL, false), (4, NULL, 'glad', false), (last, 'Odile', NULL, true)) v(i, c, e, g)""")
+LATERAL (VALUES (1, 'Orlan Tarn', 'calm', false), (2, 'Mara', NULL, false), (3, 'Mara', NULL, false), (4, NULL, 'glad', false), (last, 'Odile', NULL, true)) v(i, c, e, g)""")
 def label_fold(spark, d):
     return labels.folded_labels(view(spark, d, "reply"))
 

@@ -14,7 +14,7 @@ SQL = {
       FROM documents WHERE text IS NOT NULL""",
     "dialogue_turn": """
       SELECT conv_id AS chapter_id, turn, CASE
-        WHEN turn % 3 = 2 THEN '— ' || replace(text, chr(10), ' ') || ', dit Harry.'
+        WHEN turn % 3 = 2 THEN '— ' || replace(text, chr(10), ' ') || ', dit Orlan.'
         WHEN role = 'user' THEN '"' || replace(replace(text, chr(10), ' '), '"', '') || '"'
         ELSE replace(text, chr(10), ' ') END AS t
       FROM conversations WHERE text IS NOT NULL""",
@@ -68,8 +68,8 @@ SQL = {
     "reply": """
       SELECT conv_id AS chunk_id, CASE
         WHEN conv_id % 11 = 3 THEN '[1, 2]' WHEN conv_id % 11 = 5 THEN 'no json' WHEN conv_id % 11 = 7 THEN NULL
-        ELSE '{"characters": [{"name": "Harry Tarn", "gender": "m, ", "age_category": "Old"}, "junk", {"gender": "F"}, {"name": "Mara", "tone": "warm"}], "attributions": ['
-          || '{"index": 1, "character_name": "Harry", "emotion": "calm"}, {"index": "2", "character_name": "Mara"}, {"index": "x", "character_name": "Mara"}, 7, '
+        ELSE '{"characters": [{"name": "Orlan Tarn", "gender": "m, ", "age_category": "Old"}, "junk", {"gender": "F"}, {"name": "Mara", "tone": "warm"}], "attributions": ['
+          || '{"index": 1, "character_name": "Orlan", "emotion": "calm"}, {"index": "2", "character_name": "Mara"}, {"index": "x", "character_name": "Mara"}, 7, '
           || '{"index": 3, "character_name": "Professor Mara"}, {"index": 4, "character_name": "une voix basse", "emotion": "glad"}, {"index": ' || CAST(max(turn) + 5 AS VARCHAR) || ', "character_name": "Odile"}]}' END AS raw
       FROM conversations GROUP BY conv_id""",
 }

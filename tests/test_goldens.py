@@ -97,13 +97,13 @@ def test_label_replies(spark):
         reply(["x", {"gender": "F"}, {"name": "Mara", "gender": "odd"}], [{"index": 1, "character_name": "une voix basse"}]),
         reply([{"name": "Corin Halvard"}], [{"index": 1, "character_name": "Corin"}]),
         reply([{"name": "Marsal"}], [{"index": 1, "character_name": "Docteur Marsal"}]),
-        reply([{"name": "Mara"}], [{"index": 1, "character_name": "Hagrid"}, {"index": 2, "character_name": "Hagrid"}]),
+        reply([{"name": "Mara"}], [{"index": 1, "character_name": "Tobias"}, {"index": 2, "character_name": "Tobias"}]),
         reply([{"name": "Mara"}], [{"index": 1, "character_name": "Mara"}, {"index": 1, "character_name": "chacun", "emotion": "glad"}]),
     ]
     df, got = folded(spark, *raws)
     assert got == [
         (0, 2, "Mara", "calm", False), (1, 2, "Mara", None, False), (3, 1, "Corin Halvard", None, False), (4, 1, "Marsal", None, False),
-        (5, 1, "Hagrid", None, True), (5, 2, "Hagrid", None, True), (6, 1, "Mara", "glad", False),
+        (5, 1, "Tobias", None, True), (5, 2, "Tobias", None, True), (6, 1, "Mara", "glad", False),
     ]
     assert [(r.name, r.gender) for r in labels.declared(df).where("chunk_id = 2").collect()] == [("Mara", "UNKNOWN")]
 
