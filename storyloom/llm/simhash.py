@@ -275,28 +275,36 @@ SIMILARITY = 0.8
 #: Bits of the parity maps of a shingle set: two maps differ in no more bits than the sets in members. The small one goes with each
 #: shingle of a prefix; the large one rules out pairs of longer texts before their shingles are fetched.
 PARITY, WIDE = 512, 4096
-#: Documents whose shingles tell which are common, and the most of those that are told. They only order shingles: any one
-#: order gives the same classes.
-SAMPLE_DOCS, COMMON = 2000, 50_000
+#: The most common shingles that are told to the workers. They only order shingles: any one order gives the same classes.
+COMMON = 100_000
 #: Rounds that link each document to one other of each shingle, before all that are still apart are compared.
 HUB_ROUNDS = 1
 #: Rows of a shingle up to which all pairs are looked at together with those of other shingles, in array operations.
 FEW = 16
+#: No common shingles.
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _common_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending shingle hashes that several sampled documents share, and in how many they are."""
-    scale = 1 << 20
-    rate = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * scale)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(scale)) < rate)
+def _common_shingles(docs: DataFrame, similarity: float, width: int = 5, few: int = FEW, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingle hashes that many documents have in the prefix by hash alone, and in how many they are.
+
+    All documents are counted. Told are those in over `few` documents, from the power of two on from which they are `most` at most.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            found = [np.unique(shingle_hashes(t or "", width)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())], ["shingle"])
+        for batch in slices(batches):
+            found = [prefix(np.unique(shingle_hashes(t or "", width)), _NONE, similarity) for t in batch.column("text").to_pylist()]
+            shingles, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
 
-    counts = drawn.select("text").mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    told = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    counted = docs.select("text").mapInArrow(each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > few)
+    with scratch(docs.sparkSession):
+        counts = stage(counted.withColumn("level", F.floor(F.log2("n")).cast("int")), "simhash-common")
+        levels = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}  # powers of two
+        least = 0
+        while sum(n for level, n in levels.items() if level >= least) > most:
+            least += 1
+        told = counts.where(F.col("level") >= least).select("shingle", "n").toArrow()
     shingles, n = told.column("shingle").to_numpy().view(np.uint64), told.column("n").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -323,7 +331,7 @@ def _parities(shingles: np.ndarray, bits: int) -> bytes:
 def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """(doc_id, h, same, n, prefix, bits, fp): same is equal for equal sequences of words; n distinct shingles, their prefix,
     their parities, and the fingerprint of all shingles."""
-    handle = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, width))  # COMMON at most
+    handle = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, similarity, width))  # COMMON at most
     names = ["doc_id", "h", "same", "n", "prefix", "bits", "fp"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,47 +351,72 @@ def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFr
 
 
 def _prefix_rows(distinct: DataFrame) -> DataFrame:
-    """(key, rep) for each shingle of a prefix."""
+    """(key, rep, n, left) for each shingle of a prefix: how many shingles the set has, and how many from this one on in their order."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = batch.column("prefix").to_pylist()
+            found, n = batch.column("prefix").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int32)
+            size = np.array([len(f) // 8 for f in found], np.int64)
             keys = np.frombuffer(b"".join(found), np.int64)
-            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(f) // 8 for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], ["key", "rep"])
+            reps, sizes = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), size), np.repeat(n, size)
+            at = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sizes - at, pa.int32())], ["key", "rep", "n", "left"])
+
+    return distinct.select("rep", "prefix", "n").mapInArrow(expand, "key long, rep long, n int, left int")
+
 
-    return distinct.select("rep", "prefix").mapInArrow(expand, "key long, rep long")
+def _share(similarity: float) -> float:
+    """Two sets of that similarity have so much of the sum of their sizes in common."""
+    return similarity / (1 + similarity)
+
+
+def _in_reach(n, left, other_n, other_left, similarity: float, least=np.minimum):
+    """False only where the similarity is ruled out for two sets whose first common shingle this is: all others lie after it."""
+    return least(left, other_left) >= (n + other_n) * _share(similarity) - 1e-6
+
+
+def _unlike(bits: np.ndarray, other_bits: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """True only where parities tell that more than so many shingles are in one of the sets alone."""
+    return np.bitwise_count(bits ^ other_bits).sum(axis=1, dtype=np.int64) > apart
 
 
 def _may_be_near(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bits: np.ndarray, similarity: float) -> np.ndarray:
     """False only where sizes or parities rule the similarity out."""
-    apart = (n + other_n) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return (np.abs(n - other_n) <= apart) & (np.bitwise_count(bits ^ other_bits).sum(axis=1, dtype=np.int64) <= apart)
+    apart = (n + other_n) * (1 - 2 * _share(similarity)) + 1e-6
+    return (np.abs(n - other_n) <= apart) & ~_unlike(bits, other_bits, apart)
+
 
+def _apart(rows: DataFrame, block: int, similarity: float) -> DataFrame:
+    """(key, rep, n, left, root, blocks): the rows whose key several classes share, and over how many tasks the key must be dealt.
 
-def _apart(rows: DataFrame, block: int) -> DataFrame:
-    """(key, rep, root, blocks): the rows whose key several classes share, and over how many tasks the key must be dealt."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return stage(rows.join(counts.select("key", "blocks"), "key").select("key", "rep", "root", "blocks"), "simhash-apart")
+    What a row has from its key on bounds the size of a partner whose first common shingle with it is the key; rows without a
+    partner of that size under their key go, so a shingle that all have late in their order makes no group.
+    """
+    reach = F.floor(F.col("left") / F.lit(_share(similarity)) - F.col("n") + 1e-6)
+    with_reach = rows.withColumn("reach", reach)
+    counts = with_reach.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("smallest"), F.max("reach").alias("farthest")).where("lo < hi")
+    kept = with_reach.join(counts.select("key", "blocks", "smallest", "farthest"), "key").where("reach >= smallest and n <= farthest")
+    return stage(kept.select("key", "rep", "n", "left", "root", "blocks"), "simhash-apart")
 
 
 def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(a, b) of rows that share a key but no root and may be near: every pair, or (where a key has many rows) one for each row.
+    """(a, b) of rows that share a key but no root and may be near: every pair, or one or two for each row of a key that has any.
 
     A key with many rows is dealt over several tasks, each holding a part and streaming all rows past.
     """
-    names = ["key", "rep", "root", "n", "bits"]
+    share = _share(similarity)
+    names = ["key", "rep", "root", "n", "left", "bits"]
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = apart.join(sizes, "rep").select(*names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = apart.join(sizes.select("rep", "bits"), "rep").select(*names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = dealt.select(*names, "block", (F.col("own") == F.col("block")).alias("held"))
     ordered = dealt.repartition(shuffle_partitions(apart.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("held"), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts, table, told = None, [], None, set()
+        current, parts, table, told, met = None, [], None, set(), np.zeros(0, bool)
         for batch in slices(batches, 4000):
             if not batch.num_rows:
                 continue
-            key, block_no, rep, root, n, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "held"))
+            key, block_no, rep, root, n, left, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "left", "held"))
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
             fresh_name = np.flatnonzero((key[1:] != key[:-1]) | (block_no[1:] != block_no[:-1])) + 1
             edges = np.union1d(fresh_name, np.flatnonzero(held[1:] != held[:-1]) + 1)
@@ -398,27 +431,37 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
                     i, j = ((first[:, None] + side).ravel() for side in np.triu_indices(k, 1))
                     differ = root[i] != root[j]
                     i, j = i[differ], j[differ]
+                    reached = _in_reach(n[i], left[i], n[j], left[j], similarity)
+                    i, j = i[reached], j[reached]
                     near = _may_be_near(n[i], bits[i], n[j], bits[j], similarity)
-                    found += zip(rep[i[near]].tolist(), rep[j[near]].tolist(), strict=True)
+                    i, j = i[near], j[near]
+                    if not every:
+                        of = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+                        i, j = i[of], j[of]
+                    found += zip(rep[i].tolist(), rep[j].tolist(), strict=True)
             small = set(starts[whole].tolist())
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
                 if lo in small:
                     continue
                 name = (key[lo], block_no[lo])
                 if name != current:
-                    current, parts, table = name, [], None
-                mine = (rep[lo:hi], root[lo:hi], n[lo:hi], bits[lo:hi])
+                    current, parts, table, met = name, [], None, np.zeros(0, bool)
+                mine = (rep[lo:hi], root[lo:hi], n[lo:hi], left[lo:hi], bits[lo:hi])
                 if held[lo]:  # against those held before it, and one another
                     parts.append(mine)
                     table = parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
-                    parts = [table]
+                    parts, met = [table], np.append(met, np.zeros(hi - lo, bool))
                 if table is None:
                     continue
-                for r, c, size, b in zip(*mine, strict=True):
-                    apart_at = np.flatnonzero(table[1] != c)
-                    if len(apart_at):
-                        apart_at = apart_at[_may_be_near(table[2][apart_at], table[3][apart_at], size, b, similarity)]
-                    found += [(r, o) for o in table[0][apart_at if every else apart_at[:1]]]
+                for r, c, size, rest, b in zip(*mine, strict=True):
+                    both = (table[2] + size) * share - 1e-6
+                    at = np.flatnonzero((table[1] != c) & (table[3] >= both) & (rest >= both))
+                    if len(at):
+                        at = at[_may_be_near(table[2][at], table[4][at], size, b, similarity)]
+                    if not every and len(at):  # its first partner, and those that have had none
+                        at = np.union1d(at[:1], at[~met[at]])
+                        met[at] = True
+                    found += [(r, o) for o in table[0][at]]
             pairs = {(min(p), max(p)) for p in found} - told
             if len(told) < 10_000:
                 told |= pairs
@@ -488,7 +531,7 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
             numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
             distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct", outlive=True)
         sizes = distinct.select("rep", "n", "bits")
-        first = _apart(_prefix_rows(distinct).select("key", "rep", F.col("rep").alias("root")), block)
+        first = _apart(_prefix_rows(distinct).select("key", "rep", "n", "left", F.col("rep").alias("root")), block, similarity)
         by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
         with scratch(spark):
             linked = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -500,7 +543,7 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
         met = keyed.join(wanted.hint("merge"), "doc_id").where(F.xxhash64("text") == F.col("h")).select("rep", "text")
         sets = stage(_shingle_sets(met.dropDuplicates(["rep"])), "simhash-shingles")
-        compared = stage(first.select("key", "rep").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
+        compared = stage(first.select("key", "rep", "n", "left").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
 
         def near(candidates: DataFrame) -> DataFrame:
             with scratch(spark):
@@ -514,11 +557,12 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         found = near(pairs)
         roots = connected_components(found)
         for turn in range(HUB_ROUNDS + 1):
-            rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-            apart = _apart(rooted, block)
+            rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "left", F.coalesce("root", "rep").alias("root"))
+            apart = _apart(rooted, block, similarity)
             if turn < HUB_ROUNDS:
-                hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root")).alias("hub"))
-                met = apart.join(hubs, "key").where(F.col("root") != F.col("hub.root"))
+                hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root", "n", "left")).alias("hub"))
+                reached = _in_reach(F.col("n"), F.col("left"), F.col("hub.n"), F.col("hub.left"), similarity, F.least)
+                met = apart.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & reached)
                 more = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
             else:
                 more = _partners(apart, sizes, similarity, True)

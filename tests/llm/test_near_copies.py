@@ -6,6 +6,7 @@ import random
 import cases
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from storyloom.llm import fingerprints as fp
 from storyloom.llm import simhash as sh
@@ -196,3 +197,21 @@ def test_sketches_merge_and_estimate(spark):
     assert fp.BottomK.decode(one.encode()).values.tolist() == one.values.tolist()
     merged = fp.merge_sketches(fp.sketch_texts(cases.docs(spark)).join(cases.docs(spark).select("doc_id", "source"), "doc_id"), "source")
     assert {r.source for r in merged.collect()} == {"a", "b", None}
+
+
+def test_texts_from_one_template_make_no_pairs(spark):
+    """Each has three of the template's words changed: likeness about 0.7, nothing links, and no shared shingle makes a group."""
+    rng, base, rows = random.Random(5), cases.words(100, 41).split(), []
+    for d in range(300):
+        text = list(base)
+        for at in rng.sample(range(100), 3):
+            text[at] = f"own{d}x{at}"
+        rows.append((d, " ".join(text)))
+    linked = {d for d, t in rows for e, u in rows if d != e and likeness(t, u) >= 0.8}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {r.doc_id: r.component_id for r in sh.similar_classes(df).collect()}
+    assert {d for d, c in classes.items() if d != c} <= linked
+    distinct = sh._prefix_prints(df, 0.8).withColumn("rep", F.monotonically_increasing_id())
+    apart = sh._apart(sh._prefix_rows(distinct).withColumn("root", F.col("rep")), sh.BLOCK, 0.8)
+    pairs = sh._partners(apart, distinct.select("rep", "n", "bits"), 0.8, True)
+    assert pairs.count() < 3 * len(rows)
