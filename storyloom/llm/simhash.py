@@ -281,6 +281,9 @@ COMMON = 100_000
 HUB_ROUNDS = 1
 #: Rows of a shingle up to which all pairs are looked at together with those of other shingles, in array operations.
 FEW = 16
+#: Pairs that a task knows it has given: a pair that shares several keys is given once for each task until so many are known (some
+#: 20 MB), and repeated ones fall to the distinct after it.
+REMEMBERED = 1 << 17
 #: No common shingles.
 _NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -463,7 +466,7 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
                         met[at] = True
                     found += [(r, o) for o in table[0][at]]
             pairs = {(min(p), max(p)) for p in found} - told
-            if len(told) < 10_000:
+            if len(told) < REMEMBERED:
                 told |= pairs
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
