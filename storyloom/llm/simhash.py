@@ -354,7 +354,8 @@ def _prefix_prints(docs: DataFrame, similarity: float, width: int = 5) -> DataFr
 
 
 def _prefix_rows(distinct: DataFrame) -> DataFrame:
-    """(key, rep, n, left) for each shingle of a prefix: how many shingles the set has, and how many from this one on in their order."""
+    """(key, rep, n, left, prev) for each shingle of a prefix: how many shingles the set has, how many from this one on in their
+    order, and the shingle before it (the first: itself)."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -363,9 +364,11 @@ def _prefix_rows(distinct: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(found), np.int64)
             reps, sizes = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), size), np.repeat(n, size)
             at = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sizes - at, pa.int32())], ["key", "rep", "n", "left"])
+            before = np.where(at > 0, np.roll(keys, 1), keys)
+            columns = [pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sizes - at, pa.int32()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "left", "prev"])
 
-    return distinct.select("rep", "prefix", "n").mapInArrow(expand, "key long, rep long, n int, left int")
+    return distinct.select("rep", "prefix", "n").mapInArrow(expand, "key long, rep long, n int, left int, prev long")
 
 
 def _share(similarity: float) -> float:
@@ -390,7 +393,7 @@ def _may_be_near(n: np.ndarray, bits: np.ndarray, other_n: np.ndarray, other_bit
 
 
 def _apart(rows: DataFrame, block: int, similarity: float) -> DataFrame:
-    """(key, rep, n, left, root, blocks): the rows whose key several classes share, and over how many tasks the key must be dealt.
+    """(key, rep, n, left, prev, root, blocks): the rows whose key several classes share, and over how many tasks the key must be dealt.
 
     What a row has from its key on bounds the size of a partner whose first common shingle with it is the key; rows without a
     partner of that size under their key go, so a shingle that all have late in their order makes no group.
@@ -399,16 +402,17 @@ def _apart(rows: DataFrame, block: int, similarity: float) -> DataFrame:
     with_reach = rows.withColumn("reach", reach)
     counts = with_reach.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("smallest"), F.max("reach").alias("farthest")).where("lo < hi")
     kept = with_reach.join(counts.select("key", "blocks", "smallest", "farthest"), "key").where("reach >= smallest and n <= farthest")
-    return stage(kept.select("key", "rep", "n", "left", "root", "blocks"), "simhash-apart")
+    return stage(kept.select("key", "rep", "n", "left", "prev", "root", "blocks"), "simhash-apart")
 
 
 def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool) -> DataFrame:
     """(a, b) of rows that share a key but no root and may be near: every pair, or one or two for each row of a key that has any.
 
-    A key with many rows is dealt over several tasks, each holding a part and streaming all rows past.
+    A key with many rows is dealt over several tasks, each holding a part and streaming all rows past. Two rows that have the
+    same shingle before the key share an earlier key, too, and only a pair's first common key counts: there they are looked at.
     """
     share = _share(similarity)
-    names = ["key", "rep", "root", "n", "left", "bits"]
+    names = ["key", "rep", "root", "n", "left", "prev", "bits"]
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = apart.join(sizes.select("rep", "bits"), "rep").select(*names, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = dealt.select(*names, "block", (F.col("own") == F.col("block")).alias("held"))
@@ -419,7 +423,7 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
         for batch in slices(batches, 4000):
             if not batch.num_rows:
                 continue
-            key, block_no, rep, root, n, left, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "left", "held"))
+            key, block_no, rep, root, n, left, prev, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "rep", "root", "n", "left", "prev", "held"))
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
             fresh_name = np.flatnonzero((key[1:] != key[:-1]) | (block_no[1:] != block_no[:-1])) + 1
             edges = np.union1d(fresh_name, np.flatnonzero(held[1:] != held[:-1]) + 1)
@@ -432,7 +436,7 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
                 first = starts[whole & (length == k)]
                 if len(first):
                     i, j = ((first[:, None] + side).ravel() for side in np.triu_indices(k, 1))
-                    differ = root[i] != root[j]
+                    differ = (root[i] != root[j]) & ((prev[i] != prev[j]) | (prev[i] == key[i]))
                     i, j = i[differ], j[differ]
                     reached = _in_reach(n[i], left[i], n[j], left[j], similarity)
                     i, j = i[reached], j[reached]
@@ -449,16 +453,16 @@ def _partners(apart: DataFrame, sizes: DataFrame, similarity: float, every: bool
                 name = (key[lo], block_no[lo])
                 if name != current:
                     current, parts, table, met = name, [], None, np.zeros(0, bool)
-                mine = (rep[lo:hi], root[lo:hi], n[lo:hi], left[lo:hi], bits[lo:hi])
+                mine = (rep[lo:hi], root[lo:hi], n[lo:hi], left[lo:hi], bits[lo:hi], prev[lo:hi])
                 if held[lo]:  # against those held before it, and one another
                     parts.append(mine)
                     table = parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
                     parts, met = [table], np.append(met, np.zeros(hi - lo, bool))
                 if table is None:
                     continue
-                for r, c, size, rest, b in zip(*mine, strict=True):
+                for r, c, size, rest, b, p in zip(*mine, strict=True):
                     both = (table[2] + size) * share - 1e-6
-                    at = np.flatnonzero((table[1] != c) & (table[3] >= both) & (rest >= both))
+                    at = np.flatnonzero((table[1] != c) & (table[3] >= both) & (rest >= both) & ((table[5] != p) | (p == key[lo])))
                     if len(at):
                         at = at[_may_be_near(table[2][at], table[4][at], size, b, similarity)]
                     if not every and len(at):  # its first partner, and those that have had none
@@ -534,7 +538,7 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
             numbered = prints.groupBy("same").agg(told, F.first(F.struct("n", "prefix", "bits", "fp")).alias("first"))
             distinct = stage(numbered.select("same", "row", "first.*").withColumn("rep", F.monotonically_increasing_id()), "simhash-distinct", outlive=True)
         sizes = distinct.select("rep", "n", "bits")
-        first = _apart(_prefix_rows(distinct).select("key", "rep", "n", "left", F.col("rep").alias("root")), block, similarity)
+        first = _apart(_prefix_rows(distinct).select("key", "rep", "n", "left", "prev", F.col("rep").alias("root")), block, similarity)
         by_print = distinct.groupBy("fp").agg(F.min("rep").alias("rep"))
         with scratch(spark):
             linked = links(by_print, CONTRACT).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -546,7 +550,7 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         # The keys grow with the input, so texts meet them by a shuffle at every size, however few the keys are.
         met = keyed.join(wanted.hint("merge"), "doc_id").where(F.xxhash64("text") == F.col("h")).select("rep", "text")
         sets = stage(_shingle_sets(met.dropDuplicates(["rep"])), "simhash-shingles")
-        compared = stage(first.select("key", "rep", "n", "left").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
+        compared = stage(first.select("key", "rep", "n", "left", "prev").join(sets.select("rep"), "rep", "left_semi"), "simhash-compared")
 
         def near(candidates: DataFrame) -> DataFrame:
             with scratch(spark):
@@ -560,7 +564,7 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
         found = near(pairs)
         roots = connected_components(found)
         for turn in range(HUB_ROUNDS + 1):
-            rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "left", F.coalesce("root", "rep").alias("root"))
+            rooted = compared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "left", "prev", F.coalesce("root", "rep").alias("root"))
             apart = _apart(rooted, block, similarity)
             if turn < HUB_ROUNDS:
                 hubs = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("x"), "rep", "root", "n", "left")).alias("hub"))
@@ -570,6 +574,8 @@ def _rooted_prints(docs: DataFrame, similarity: float, key: str, text: str, bloc
             else:
                 more = _partners(apart, sizes, similarity, True)
             with scratch(spark):
+                # Written first: the anti-join would else be put before the distinct and meet every repeat.
+                more = stage(more, "simhash-more")
                 fresh = near(stage(more.join(pairs, ["a", "b"], "left_anti"), "simhash-candidates"))
                 fresh = stage(fresh, "simhash-fresh", outlive=True)
             if not fresh.isEmpty():
