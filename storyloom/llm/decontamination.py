@@ -6,10 +6,10 @@ shapes, whose hashes are joined:
 
 * `slots`: all slots are placeholders (windows of 6 tokens, 4 in items under 6), which finds other names and numbers;
 * `words`: capitalised words stand as words (4 tokens, 6 in items of 24 and more), which finds them in any case;
-* `values`: numbers stand as they are (4 tokens), for windows with a single word, such as sums.
+* `values`: numbers stand as they are (4 tokens), for windows with one word or none, such as sums, in items with any word.
 
-A window needs `LEAST_WORDS` words beside its slots, `SLOT_WORDS` in the first shape, one in the last. What a capital means
-depends on no context in a document: an item's sentence openings match as word or as name.
+A window needs `LEAST_WORDS` words beside its slots, `SLOT_WORDS` in the first shape. What a capital means depends on no context
+in a document: an item's sentence openings match as word or as name. In scripts without blanks each character is a token.
 
 Windows that touch on one diagonal (the same shift between document and item) make a run, and a run's slots must be filled by a
 function of the item's fillings: equal fillings are a verbatim copy; other consistent fillings a re-parameterised question; an
@@ -49,6 +49,8 @@ UNITS = (
     "s sec seconds min minutes h hr hours day days week weeks month months year years percent usd eur gbp dollars euros cents pence "
     "mph kmh hz khz mhz ghz w kw v a j kj n pa k c f b kb mb gb tb"
 )
+#: Characters of scripts that put no blanks between words: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Marks of slots: they stand before the value inside a token, so one token holds both its type and its filling. POINT stands
 #: for the separators inside a number.
 NUMBER, NAME, UNIT, POINT = "\u0001", "\u0002", "\u0003", "\u0004"
@@ -64,6 +66,7 @@ def _clean(text: Column) -> Column:
 
 def _line(named: Column) -> Column:
     """The tokens, with one blank between them, of a text whose capitalised words are marked."""
+    named = F.when(named.rlike(f"[{UNSPACED}]"), F.regexp_replace(named, f"([{UNSPACED}])", " $1 ")).otherwise(named)
     whole = F.regexp_replace(named, r"(\d)[.,](?=\d)", "$1" + POINT)
     numbered = F.regexp_replace(whole, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)", " " + NUMBER + "$1 ")
     units = F.regexp_replace(numbered, rf"(?i)({NUMBER}[\d{POINT}]+ +){NAME}?({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2 ")
@@ -136,7 +139,7 @@ def _whole_key(line: Column, size: Column) -> Column:
 
 def _plan(size: int) -> dict[str, int]:
     """The widths of an item's windows by shape; they are the same from one of the sizes 4, 6 and 24 up to the next."""
-    return {SLOTS: 4 if size < 6 else 6, WORDS: 4 if size < 24 else 6} | ({VALUES: 4} if size < 24 else {})
+    return {SLOTS: 4 if size < 6 else 6, WORDS: 4 if size < 24 else 6, VALUES: 4}
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -154,8 +157,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
             cut = sized.withColumn("own", F.split(_shape(line, shape), " ")).select("*", F.explode(F.sequence(F.lit(0), size - width)).alias("item_pos"))
             cut = cut.select("*", _keys("own", at, 4)).select("*", _keys("own", at, 6))
             words = F.size(F.filter(F.slice("own", at + 1, width), lambda t: t >= _SLOT_END))
-            # A window with one word is met by its values; one with more words by its template.
-            enough = words == 1 if shape == VALUES else words >= (SLOT_WORDS if shape == SLOTS else LEAST_WORDS)
+            # A window with one word or none is met by its values; one with more words by its template.
+            worded = F.exists("own", lambda t: t >= _SLOT_END)
+            enough = (words < LEAST_WORDS) & worded if shape == VALUES else words >= (SLOT_WORDS if shape == SLOTS else LEAST_WORDS)
             parts.append(cut.where(enough).select("item_id", "tokens", F.lit(shape).alias("shape"), F.lit(width).alias("width"), "item_pos", F.col(f"own{width}").alias("h")))
     every = parts[0]
     for part in parts[1:]:

@@ -89,16 +89,30 @@ def test_repeated_keys_are_one_document(spark):
     assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 0): 13, (2, 0): 23}
 
 
+def test_items_of_numbers_and_of_scripts_without_blanks(spark):
+    count = "Add 1 2 3 4 5 6 7 then 8 9 10 11 12 13 14 then 15 16 17 18 19 20 21 then 22 23 24 25 26 27"
+    items = [count, "Compute 12 + 30 - 7 * 2 + 9 - 4 + 51 * 3 - 8 + 6 * 77 - 15", "日本の首都はどこですか", "3 4 5 6 7 8 9 10"]
+    texts = {
+        1: f"Warm up. {count} Well done.", 2: f"See below. {items[1]} = 99 or so", 3: "昨日聞かれました。日本の首都はどこですか。東京です。", 4: "昨日聞かれました。東京は日本にあります。", 5: "Rows 3 4 5 6 7 8 9 10 are empty",
+        6: "See below. " + items[1].replace("30", "31").replace("51", "52").replace("77", "78"),
+    }
+    want = {(1, 0): "verbatim", (2, 1): "verbatim", (3, 2): "verbatim"}
+    assert found(spark, texts, items) == want  # an item without any word matches nothing
+    assert found(spark, texts, items, broadcast_windows=0) == want
+
+
 def brute_leaks(docs, items):
     """Every pair of windows of every diagonal, one by one; tokens are lists of marked words."""
     slot = lambda t, kinds: t[0] if t[0] in kinds else t.lstrip("\2\6")
     shapes = {"slots": lambda t: "\2" if t[0] == "\6" else slot(t, "\1\2\3"), "words": lambda t: slot(t, "\1\3"), "values": lambda t: slot(t, "")}
-    least = {"slots": lambda n: n >= 3, "words": lambda n: n >= 2, "values": lambda n: n == 1}
+    least = {"slots": lambda n: n >= 3, "words": lambda n: n >= 2, "values": lambda n: n < 2}
     out = {}
     for d, doc in docs.items():
         for k, item in items.items():
             n = len(item)
-            plan = {"slots": 4 if n < 6 else 6, "words": 4 if n < 24 else 6} | ({"values": 4} if n < 24 else {})
+            plan = {"slots": 4 if n < 6 else 6, "words": 4 if n < 24 else 6, "values": 4}
+            if not any(shapes["values"](t)[0] > "\5" for t in item):
+                del plan["values"]
             told, hits = set(), {}
             for shape, w in plan.items():
                 f = shapes[shape]
