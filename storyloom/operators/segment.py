@@ -9,10 +9,15 @@ from storyloom.functions import text as X
 
 
 def _pieces(text: Column, profile: str) -> Column:
-    """Alternating narration and dialogue, starting with narration."""
-    guarded = F.when(F.instr(text, X.SENTINEL) > 0, F.raise_error(F.lit("text holds the span sentinel"))).otherwise(text)
-    marked = F.regexp_replace(guarded, X.DIALOGUE[profile].replace("(?m)", "(?md)"), X.SENTINEL + "$1" + X.SENTINEL)
-    return F.split(marked, X.SENTINEL, -1)
+    """Alternating narration and dialogue, starting with narration.
+
+    One replacement marks the borders; only a text that holds the mark itself is searched twice, for what is said and what lies between.
+    """
+    said = X.DIALOGUE[profile].replace("(?m)", "(?md)")
+    marked = F.regexp_replace(text, said, X.SENTINEL + "$1" + X.SENTINEL)
+    between = F.split(text, said, -1)
+    searched = F.flatten(F.zip_with(between, F.regexp_extract_all(text, F.lit(said), F.lit(1)), lambda told, quoted: F.array(told, quoted)))
+    return F.when(F.instr(text, X.SENTINEL) > 0, F.filter(searched, lambda piece: piece.isNotNull())).otherwise(F.split(marked, X.SENTINEL, -1))
 
 
 def span_array(text: Column, language: Column) -> Column:

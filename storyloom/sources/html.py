@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -14,22 +15,29 @@ HEADINGS = frozenset("h1 h2 h3".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-class _Node:
-    __slots__ = ("has_block", "parent", "tag", "texts")
+class _Element:
+    """An open or closed element: its tag, and which part of the page's text it holds."""
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.texts, self.has_block = tag, parent, [], False
+    __slots__ = ("end", "has_block", "start", "tag")
+
+    def __init__(self, tag: str, start: int):
+        self.tag, self.start, self.end, self.has_block = tag, start, None, False
 
 
 class _Page(HTMLParser):
-    """Collects the text of blocks without a nested block; nothing closes an element but its own end tag."""
+    """Collects the text of blocks without a nested block; nothing closes an element but its own end tag.
+
+    All text lies in one list in the order of the page, and elements hold places of it, so the work grows with the page's length.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [_Node("", None)]
-        self.blocks: list[_Node] = []
-        self.titles: list[_Node] = []
-        self.everything: list[str] = []
+        self.open: list[_Element] = []
+        self.of_tag: Counter[str] = Counter()  # how many of each tag are open
+        self.open_blocks: list[_Element] = []
+        self.blocks: list[_Element] = []
+        self.titles: list[_Element] = []
+        self.text: list[str] = []
         self.hidden = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -37,29 +45,35 @@ class _Page(HTMLParser):
             self.hidden += 1
         if tag in VOID:
             return
-        node = _Node(tag, self.open[-1])
-        self.open.append(node)
+        element = _Element(tag, len(self.text))
+        self.open.append(element)
+        self.of_tag[tag] += 1
         if tag in BLOCKS:
-            for above in self.open[:-1]:
-                above.has_block = True
-            self.blocks.append(node)
+            if self.open_blocks:  # those around it hold that one already
+                self.open_blocks[-1].has_block = True
+            self.open_blocks.append(element)
+            self.blocks.append(element)
         if tag in HEADINGS or tag == "title":
-            self.titles.append(node)
+            self.titles.append(element)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style") and self.hidden:
             self.hidden -= 1
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        while self.of_tag[tag]:
+            last = self.open.pop()
+            self.of_tag[last.tag] -= 1
+            last.end = len(self.text)
+            if last.tag in BLOCKS:
+                self.open_blocks.pop()
+            if last.tag == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
-            return
-        for node in self.open:
-            node.texts.append(data)
-        self.everything.append(data)
+        if not self.hidden:
+            self.text.append(data)
+
+    def line(self, element: _Element) -> str:
+        return " ".join("".join(self.text[element.start : element.end]).split())
 
 
 def extract(html: str | None) -> tuple[str, str | None]:
@@ -68,10 +82,9 @@ def extract(html: str | None) -> tuple[str, str | None]:
     page.feed(html or "")
     page.close()
     leaves = [b for b in page.blocks if not b.has_block]
-    tidy = lambda parts: " ".join("".join(parts).split())
-    lines = [tidy(b.texts) for b in leaves] if leaves else [" ".join(t.split()) for t in page.everything]
+    lines = [page.line(b) for b in leaves] if leaves else [" ".join(t.split()) for t in page.text]
     headings = [n for n in page.titles if n.tag in HEADINGS] or [n for n in page.titles if n.tag == "title"]
-    return "\n".join(line for line in lines if line), (tidy(headings[0].texts) or None) if headings else None
+    return "\n".join(line for line in lines if line), (page.line(headings[0]) or None) if headings else None
 
 
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

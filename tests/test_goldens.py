@@ -1,6 +1,8 @@
 """Golden rows: segmentation, speech tags, profiles, chunks, labels, names, casting, changes, pages, audio."""
 
 import json
+import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ def test_segmentation(spark):
     assert kinds(spark, *[c[:2] for c in cases]) == [c[2] for c in cases]
 
 
-def test_a_text_with_the_sentinel_is_refused(spark):
-    with pytest.raises(Exception, match="sentinel"):
-        segment.spans(chapters(spark, ("fr", "a\u0001b"))).collect()
+def test_a_text_may_hold_the_mark_of_borders(spark):
+    texts = ["a\u0001b", "\u0001", "«\u0001» x\n— Non,\u0001 dit Mara.\n“y” \u0001“z”", "\u0001« a »« b »"]
+    with_mark, without = (segment.spans(chapters(spark, *[(lang, t) for lang in ("fr", "en") for t in of])).orderBy("chapter_id", "index").collect() for of in (texts, [t.replace("\u0001", "#") for t in texts]))
+    assert [(r.chapter_id, r.text.replace("\u0001", "#"), r.is_dialogue, r.incise_character) for r in with_mark] == [(r.chapter_id, r.text, r.is_dialogue, r.incise_character) for r in without]
+    assert len(with_mark) > 16
 
 
 @pytest.mark.parametrize(
@@ -190,6 +194,43 @@ def test_pages():
     assert html.extract(None) == ("", None)
 
 
+class Tree(HTMLParser):
+    """Every text goes to all open elements, one by one."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "br":
+            self.open.append({"tag": tag, "text": "", "inner": False})
+        if tag in html.BLOCKS:
+            for above in self.open[:-1]:
+                above["inner"] = True
+            self.blocks.append(self.open[-1])
+
+    def handle_endtag(self, tag):
+        at = [i for i, e in enumerate(self.open) if e["tag"] == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_data(self, data):
+        for e in self.open:
+            e["text"] += data
+
+
+def test_pages_against_a_tree():
+    rng = random.Random(3)
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "<div>", "</p>", "</div>", "<b>", "</b>", "<h2>", "</h2>", "<li>", "</ul>", "<br>", "one ", "two ", "\n"]) for _ in range(rng.randint(1, 25)))
+        tree = Tree()
+        tree.feed("<div>" + page)
+        tree.close()
+        lines = [" ".join(b["text"].split()) for b in tree.blocks if not b["inner"]]
+        assert html.extract("<div>" + page)[0] == "\n".join(x for x in lines if x), page
+    assert html.extract("<p>x</b>" * 50_000)[0] == "x"  # none is ever closed, so the last alone holds no other
+
+
 def test_audio(spark):
     lines = spark.createDataFrame([(2, 1, 2, "bb"), (1, 1, 1, "a")], "segment_id long, chapter_id long, position int, text string")
     audio = providers.synthesise(lines.select("segment_id", "text"), providers.silence)
