@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
+from storyloom.operators import labels
 from storyloom.operators.cast import NARRATOR
 from storyloom.operators.segment import merge_casts
+from storyloom.sources.providers import Provider, analyse
 
 # What each language profile is called by speech services.
 LOCALES = {"en": "en-US", "fr": "fr-FR"}
@@ -78,6 +80,12 @@ def merge_prompts(characters: DataFrame) -> DataFrame:
     return told.select("book_id", F.concat(F.lit(MERGE_QUESTION + "\n"), F.array_join(F.transform("all", lambda s: s["line"]), "\n")).alias("prompt"))
 
 
+def suggested_merges(characters: DataFrame, provider: Provider) -> DataFrame:
+    """(book_id, ord, survivor_name, merged_name, reason) that a model suggests; it is asked once for each book of two characters or
+    more, and what it says of unknown names, or of a name and itself, is skipped."""
+    return labels.merges(analyse(merge_prompts(characters), provider, "book_id"), characters)
+
+
 def new_takes(asked: DataFrame, segments: DataFrame, characters: DataFrame) -> DataFrame:
     """(segment_id, voice_id, emotion, is_selected): a take for each request (segment_id, voice_id, emotion); without a voice it
     gets its character's one, whatever the segment's type, else the narrator."""

@@ -498,4 +498,4 @@ def wav_assembly(spark, d):
     return made.select("chapter_id", "frames", wav.duration_ms(F.col("audio")).alias("ms"))
 
 
-from storyloom.plans import audio, changes, history, merges  # noqa: E402, F401  register their queries
+from storyloom.plans import audio, calls, changes, history, merges  # noqa: E402, F401  register their queries

@@ -5,6 +5,8 @@ A provider is a function over batches for mapInPandas, so a model is loaded once
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +22,34 @@ def analyse(prompts: DataFrame, provider: Provider, key: str = "chunk_id") -> Da
     return prompts.mapInPandas(provider, f"{key} {dict(prompts.dtypes)[key]}, raw string")
 
 
+def in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stand-in for the analysis of a chapter: two speakers say the lines of dialogue in turn. Blank or null prompts have none."""
+    for batch in batches:
+        key, out = batch.columns[0], []
+        for prompt in batch["prompt"]:
+            said = [int(m[1]) for m in re.finditer(r"(?m)^\[(\d+)\]\[DIALOGUE\] ", prompt or "")]
+            speakers = ["One", "Other"]
+            found = [{"index": i, "character_name": speakers[k % 2]} for k, i in enumerate(said)]
+            out.append(json.dumps({"characters": [{"name": n} for n in speakers[: len(said)]], "attributions": found}))
+        yield pd.DataFrame({key: batch[key], "raw": out})
+
+
+def same_trait(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stand-in for merge suggestions: a name is that of the first in the list whose first trait is the same; names without traits
+    are nobody else's."""
+    for batch in batches:
+        key, out = batch.columns[0], []
+        for prompt in batch["prompt"]:
+            first: dict[str, str] = {}
+            found = []
+            for line in prompt.split("\n")[1:]:
+                name, *traits = line.split(" | ")
+                if traits and first.setdefault(traits[0], name) != name:
+                    found.append({"survivor_name": first[traits[0]], "merged_name": name, "reason": traits[0]})
+            out.append(json.dumps({"merges": found}))
+        yield pd.DataFrame({key: batch[key], "raw": out})
+
+
 def synthesise(lines: DataFrame, provider: Provider) -> DataFrame:
     """(segment_id, audio): one WAV for each (segment_id, text, voice_id)."""
     return lines.mapInPandas(provider, f"segment_id {dict(lines.dtypes)['segment_id']}, audio binary")
