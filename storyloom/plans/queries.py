@@ -209,7 +209,15 @@ def label_errors(spark, d):
     return labels.errors(view(spark, d, "reply"))
 
 
-@query("label_script")
+@query("label_script", "dialogue_text", f""", {SPAN_SQL.strip()},
+good AS (SELECT conv_id AS chunk_id, max(turn) + 5 AS last FROM conversations WHERE conv_id % 11 NOT IN (3, 5, 7) GROUP BY conv_id),
+label AS (SELECT chunk_id, CAST(i AS BIGINT) AS index, c, e FROM good, LATERAL (VALUES (1, 'Orlan Tarn', 'calm'), (2, 'Mara', NULL), (3, 'Mara', NULL), (4, NULL, 'glad'), (last, 'Odile', NULL)) v(i, c, e)),
+known(ord, name, words) AS (VALUES (1, 'Orlan Tarn', ['orlan', 'tarn']), (4, 'Mara', ['mara'])),
+named AS (SELECT chapter_id, index, incise_character AS said, list_filter(regexp_split_to_array(lower(incise_character), '{_WS}+'), lambda x: x <> '') AS w FROM span JOIN good ON chunk_id = chapter_id WHERE is_dialogue AND incise_character IS NOT NULL),
+sure AS (SELECT chapter_id, index, arg_min(name, CASE WHEN name = said THEN 0 ELSE ord END) AS resolved FROM named JOIN known ON name = said OR len(w) > 0 AND list_has_all(words, w) OR list_has_all(w, words) GROUP BY chapter_id, index)
+SELECT p.chapter_id AS chunk_id, CAST(row_number() OVER (PARTITION BY p.chapter_id ORDER BY p.index) AS INTEGER) AS position, p.text, CASE WHEN p.is_dialogue THEN 'DIALOGUE' ELSE 'NARRATION' END AS segment_type,
+  CASE WHEN p.is_dialogue THEN coalesce(s.resolved, l.c) END AS character_name, CASE WHEN p.is_dialogue THEN l.e END AS emotion
+FROM spoken p LEFT JOIN label l ON l.chunk_id = p.chapter_id AND l.index = p.index LEFT JOIN sure s ON s.chapter_id = p.chapter_id AND s.index = p.index WHERE p.text <> ''""")
 def label_script(spark, d):
     replies = view(spark, d, "reply")
     spans = segment.spans(view(spark, d, "dialogue_text")).withColumnRenamed("chapter_id", "chunk_id")
