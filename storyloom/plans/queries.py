@@ -500,10 +500,9 @@ def page_text(spark, d):
 
 @query("wav_assembly", "segment", f"""SELECT chapter_id, CAST(sum({wav.RATE} * length(text) // 100) AS BIGINT) AS frames, CAST(trunc(CAST(sum({wav.RATE} * length(text) // 100) AS DOUBLE) / {wav.RATE} * 1000) AS INTEGER) AS ms FROM segment GROUP BY chapter_id""")
 def wav_assembly(spark, d):
-    segments = view(spark, d, "segment")
-    audio = providers.synthesise(segments.select("segment_id", "text"), providers.silence)
-    made = wav.assemble(segments.select("segment_id", "chapter_id", "position").join(audio, "segment_id"))
-    return made.select("chapter_id", "frames", wav.duration_ms(F.col("audio")).alias("ms"))
+    made = wav.spoken(view(spark, d, "segment").select("segment_id", "chapter_id", "position", "text"), providers.silence)
+    heads = made.where("at = 0")  # written last, when all samples of a chapter have been
+    return heads.select("chapter_id", wav.header(F.col("content"))["frames"].alias("frames"), wav.duration_ms(F.col("content")).alias("ms"))
 
 
 from storyloom.plans import audio, calls, changes, history, merges  # noqa: E402, F401  register their queries

@@ -51,14 +51,14 @@ def same_trait(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def synthesise(lines: DataFrame, provider: Provider) -> DataFrame:
-    """(segment_id, audio): one WAV for each (segment_id, text, voice_id)."""
+    """(segment_id, audio): one WAV for each (segment_id, text, voice_id), in the order of the lines."""
     return lines.mapInPandas(provider, f"segment_id {dict(lines.dtypes)['segment_id']}, audio binary")
 
 
 def silence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stand-in for speech: 10 ms of silence for each code point."""
+    """Stand-in for speech: 10 ms of silence for each code point. A null text gives no audio."""
     for batch in batches:
-        yield pd.DataFrame({"segment_id": batch["segment_id"], "audio": [wrap_pcm(bytes(2 * (RATE * len(t) // 100))) for t in batch["text"]]})
+        yield pd.DataFrame({"segment_id": batch["segment_id"], "audio": [None if t is None else wrap_pcm(bytes(2 * (RATE * len(t) // 100))) for t in batch["text"]]})
 
 
 def echo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import wave
+from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ HEADER_BYTES = 44
 CHUNKS = 64
 #: Bytes that a header can tell, and bytes of samples that one piece of a file has while it is put together.
 MOST, PIECE = (1 << 32) - 1, 4 << 20
+#: Lines and code points that a provider is given at once while chapters are spoken (one line at least).
+LINES, POINTS = 256, 1 << 16
 
 
 def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
@@ -202,3 +207,89 @@ def assemble(segments: DataFrame, key: str = "chapter_id", order: str = "positio
 
     kind = dict(segments.dtypes)[key]
     return segments.repartition(key).sortWithinPartitions(key, order).select(key, content).mapInPandas(join, f"{key} {kind}, audio binary, frames long, error string")
+
+
+def spoken(lines: DataFrame, provider: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], key: str = "chapter_id", order: str = "position", piece: int = PIECE) -> DataFrame:
+    """(key, at, content, error): one WAV for each key, spoken and put together in one pass, in pieces; the piece at 0 is its header.
+
+    Texts are shuffled and sorted, not their audio, which is many times as large: the provider speaks them in small batches, one
+    WAV for each line in the lines' order, and samples leave the task in pieces, so neither a chapter nor a batch of lines has to
+    fit in a row. Lines without audio are passed over. A key without any audio, or with an error (no WAV, formats that differ, more
+    bytes than a header can tell), has null content at 0, and what pieces it has besides are void.
+    """
+    names = [key, "at", "content", "error"]
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: deque[Any] = deque()
+        kind = pa.null()
+
+        def parts() -> Iterator[pd.DataFrame]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(key).type
+                sizes = [len(t or "") for t in batch.column("text").to_pylist()]
+                at = 0
+                while at < len(sizes):
+                    end, points = at + 1, sizes[at]
+                    while end < len(sizes) and end - at < LINES and points + sizes[end] <= POINTS:
+                        points += sizes[end]
+                        end += 1
+                    part = batch.slice(at, end - at)
+                    keys.extend(part.column(key).to_pylist())
+                    yield part.to_pandas(integer_object_nulls=True)
+                    at = end
+
+        def row(at: int, content: bytes | None, error: str | None = None) -> pa.RecordBatch:
+            columns = [pa.array([now], kind), pa.array([at], pa.int64()), pa.array([content], pa.binary()), pa.array([error], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        begun, now, shape, error, total, held = False, None, None, None, 0, bytearray()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            why = error or ("longer than a header can tell" if total + 36 > MOST else None)
+            if held:
+                yield row(HEADER_BYTES + total - len(held), bytes(held))
+            yield row(0, None if why or shape is None else _head(*shape, total), why)
+
+        for told in provider(parts()):
+            for data in told["audio"]:
+                k = keys.popleft()
+                if not begun or k != now:
+                    if begun:
+                        yield from close()
+                    begun, now, shape, error, total, held = True, k, None, None, 0, bytearray()
+                if data is None or error:
+                    continue
+                try:
+                    with wave.open(io.BytesIO(data)) as w:
+                        found = (w.getnchannels(), w.getsampwidth(), w.getframerate())
+                        body = w.readframes(w.getnframes())
+                except (wave.Error, EOFError) as what:
+                    error = f"not a WAV: {what}"
+                    continue
+                shape = shape or found
+                if found != shape:
+                    error = f"format {found} after {shape}"
+                    continue
+                total += len(body)
+                held += body
+                if len(held) >= piece:
+                    whole = len(held) // piece * piece
+                    for at in range(0, whole, piece):
+                        yield row(HEADER_BYTES + total - len(held) + at, bytes(held[at : at + piece]))
+                    del held[:whole]
+        if keys:
+            raise ValueError("the provider left lines out")
+        if begun:
+            yield from close()
+
+    ids = [c for c in ("segment_id", "voice_id") if c in lines.columns]
+    placed = lines.repartition(key).sortWithinPartitions(key, order).select(*dict.fromkeys([*ids, key, "text"]))
+    return placed.mapInArrow(speak, f"{key} {dict(lines.dtypes)[key]}, at long, content binary, error string")
+
+
+def _head(channels: int, width: int, rate: int, size: int) -> bytes:
+    """The same 44 bytes as header_bytes() gives."""
+    le = lambda value, n: value.to_bytes(n, "little")
+    frame = channels * width
+    return b"RIFF" + le(size + 36, 4) + b"WAVEfmt " + le(16, 4) + le(1, 2) + le(channels, 2) + le(rate, 4) + le(rate * frame, 4) + le(frame, 2) + le(width * 8, 2) + b"data" + le(size, 4)

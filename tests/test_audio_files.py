@@ -124,3 +124,34 @@ def test_many_chunks_before_the_samples(spark):
     odd = plain[:36] + extra + plain[36:]
     row = spark.createDataFrame([(odd,), (plain[:36] + extra,), (b"RIFF",), (b"",), (None,)], "content binary").select(wav.header(F.col("content"))["frames"].alias("n"), wav.samples(F.col("content")).alias("s")).collect()
     assert [r.n for r in row] == [2, None, None, None, None] and bytes(row[0].s) == b"abcd"
+
+
+def test_chapters_are_spoken_in_pieces(spark):
+    lines = [(1, 12, 3, "ab"), (1, 11, 2, None), (1, 10, 1, "xyz" * 9), (2, 20, 1, None), (3, 30, 1, ""), (None, None, 1, "null"), (None, None, 2, "key"), (4, 40, 1, "q"), (4, 40, 2, "q")]
+    df = spark.createDataFrame(lines, "chapter_id long, segment_id long, position int, text string").repartition(3)
+    for piece in (5, 1 << 20):
+        made: dict = {}
+        for r in wav.spoken(df, providers.echo, piece=piece).collect():
+            assert r.error is None and (r.content is None or len(r.content) <= max(piece, 44))
+            made.setdefault(r.chapter_id, []).append((r.at, bytes(r.content) if r.content is not None else None))
+        got = {k: b"".join(c for _, c in sorted(v)) if v[0][1] is not None else None for k, v in made.items()}
+        want = {1: b"xyz" * 9 + b" ab", 3: b"", None: b"nullkey ", 4: b"q q "}
+        assert got == {k: wav.wrap_pcm(b, 1000) for k, b in want.items()} | {2: None}
+    mixed = lambda batches: (b.assign(audio=[wav.wrap_pcm(b"ab", 1000 + len(t)) if t != "bad" else b"bad" for t in b["text"]]) for b in batches)
+    odd = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 2, "bb"), (2, 3, 1, "bad"), (3, 4, 1, "c")], df.schema)
+    told = {r.chapter_id: (r.error, r.content is None) for r in wav.spoken(odd, mixed).where("at = 0").collect()}
+    assert "format" in told[1][0] and "not a WAV" in told[2][0] and told[3] == (None, False)
+
+
+def test_wav_assembly_beyond_an_arrow_batch(spark, tmp_path):
+    """Lines of one task whose audio is over 2 GB together; null texts and chapters of nothing else."""
+    from oracle import duck_rows, spark_rows
+
+    from storyloom.plans.queries import ORACLE_SQL, QUERIES
+
+    rows = spark.range(5600).selectExpr("id div 8 as conv_id", "id % 8 as turn", "'user' as role", "case when id % 19 = 0 or id div 8 = 3 then null else repeat('é', 1000) end as text")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{tmp_path}/conversations.parquet")
+    assert spark_rows(QUERIES["wav_assembly"](spark, str(tmp_path))) == duck_rows(None, ORACLE_SQL["wav_assembly"], conversations=table)
