@@ -155,3 +155,18 @@ def test_wav_assembly_beyond_an_arrow_batch(spark, tmp_path):
 
     table = pq.read_table(f"{tmp_path}/conversations.parquet")
     assert spark_rows(QUERIES["wav_assembly"](spark, str(tmp_path))) == duck_rows(None, ORACLE_SQL["wav_assembly"], conversations=table)
+
+
+def test_reading_lists_no_folder_of_files(spark, tmp_path):
+    """Readers go by the lists that tasks have written; a file that shrank is an error, not a shorter sound."""
+    root = f"file://{tmp_path}/a"
+    audio_files.write_files(spark.createDataFrame([("x/1.wav", b"one"), ("y/2.wav", b"two")], "name string, content binary").coalesce(1), root)
+    (folder,) = [n for n in listed(f"{tmp_path}/a") if n.endswith("1.wav")]
+    with open(f"{tmp_path}/a/{folder}".replace("1.wav", "9.wav"), "wb") as out:
+        out.write(b"unlisted")
+    assert {(r.name, r.length, bytes(r.content)) for r in audio_files.read_files(spark, root).collect()} == {("x/1.wav", 3, b"one"), ("y/2.wav", 3, b"two")}
+    assert [r.name for r in audio_files.read_files(spark, root, "y/").collect()] == ["y/2.wav"]
+    with open(f"{tmp_path}/a/{folder}", "wb") as out:
+        out.write(b"o")
+    with pytest.raises(Exception, match="1 bytes where 3 were written"):
+        audio_files.read_files(spark, root).collect()
