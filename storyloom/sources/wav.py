@@ -23,11 +23,11 @@ MOST, PIECE = (1 << 32) - 1, 4 << 20
 LINES, POINTS = 256, 1 << 16
 
 
-def wrap_pcm(pcm: bytes, rate: int = RATE) -> bytes:
+def wrap_pcm(pcm: bytes, rate: int = RATE, channels: int = 1, width: int = 2) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
+        w.setnchannels(channels)
+        w.setsampwidth(width)
         w.setframerate(rate)
         w.writeframes(pcm)
     return out.getvalue()

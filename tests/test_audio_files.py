@@ -157,6 +157,24 @@ def test_wav_assembly_beyond_an_arrow_batch(spark, tmp_path):
     assert spark_rows(QUERIES["wav_assembly"](spark, str(tmp_path))) == duck_rows(None, ORACLE_SQL["wav_assembly"], conversations=table)
 
 
+def test_takes_of_many_frames_are_whole(spark, tmp_path):
+    """1001 frames at 1000 a second are 1.001 s, which as milliseconds of a double is cut to 1000."""
+    texts = {10: "a" * 2002, 11: "é" * 1003, 12: "", 13: "end"}
+    segments = spark.createDataFrame([(1, k, k, "narrator") for k in texts], "chapter_id long, segment_id long, position int, voice_id string")
+    audio = providers.synthesise(spark.createDataFrame(list(texts.items()), "segment_id long, text string"), providers.echo)
+    generation.write_chapters(spark, f"file://{tmp_path}", "run", segments, audio, spark.createDataFrame([], "chapter_id long"))
+    got = {r.segment_id: bytes(r.content) for r in generation.finished_takes(spark, f"file://{tmp_path}", "run", segments).collect()}
+    assert got == {k: wav.wrap_pcm(t.encode() + b" " * (len(t.encode()) % 2), 1000) for k, t in texts.items()}
+
+
+def test_takes_keep_the_format_and_end_with_the_samples(spark):
+    chapters = spark.createDataFrame([(1, sound(bytes(range(120)), 500, 2, 2)), (2, sound(bytes(range(50)), 500, 1, 1))], "chapter_id long, audio binary")
+    spans = [(1, 10, "v", 0, 10), (1, 11, "v", 10, 90), (1, 12, None, 31, 1), (2, 20, "v", 3, 4), (2, 21, "v", 50, 4), (2, 22, "v", -1, 4)]
+    got = {r.segment_id: r.audio and bytes(r.audio) for r in generation.take_rows(chapters, spark.createDataFrame(spans, "chapter_id long, segment_id long, voice_id string, first_frame long, frames long")).collect()}
+    two, one = bytes(range(120)), bytes(range(50))
+    assert got == {10: sound(two[:40], 500, 2), 11: sound(two[40:], 500, 2), 12: None, 20: sound(one[3:7], 500, 1, 1), 21: sound(b"", 500, 1, 1), 22: None}
+
+
 def test_reading_lists_no_folder_of_files(spark, tmp_path):
     """Readers go by the lists that tasks have written; a file that shrank is an error, not a shorter sound."""
     root = f"file://{tmp_path}/a"
