@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Sequence
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -101,8 +102,9 @@ class PieceEncoder:
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.lower = lower = drops_space and "Lowercase" in _kinds(settings["normalizer"])
-        self.ids = _Memory(self._ids, lower, self._ids)
-        self.spaced = _Memory(lambda piece: self._ids(" " + piece), False, self._ids)
+        # Closing marks are few and follow many different words: they are looked up like any other piece.
+        self.ids = _Memory(self._ids, lower, lambda marks: self.ids[marks])
+        self.spaced = _Memory(lambda piece: self._ids(" " + piece), False, lambda marks: self.ids[marks])
         self.line_feed = self._ids("\n")
         self.spans = _Memory(self._spans, lower)
 
@@ -116,6 +118,9 @@ class PieceEncoder:
         return self.pieces.findall(text)
 
     def _ids(self, piece: str) -> bytes:
+        if piece.isascii() and piece.lstrip(" ").isalpha() and not piece.startswith("  "):  # these letters stand for themselves
+            letters = (piece.lower() if self.lower else piece).replace(" ", self.letters[32])
+            return array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
         if _ONE_WORD.fullmatch(piece):
             letters = "".join([self.letters[b] for b in (piece.lower() if self.lower else piece).encode()])
             return array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
@@ -133,7 +138,7 @@ class PieceEncoder:
                 return b"".join(map(self.ids.__getitem__, words))
         else:
             lines = [line.split(" ") for line in text.split("\n")]
-            if [w for line in lines for w in line] == words:  # single blanks and line feeds between words, nothing else
+            if list(chain.from_iterable(lines)) == words:  # single blanks and line feeds between words, nothing else
                 first, spaced = self.ids.__getitem__, self.spaced.__getitem__
                 return self.line_feed.join([first(line[0]) + b"".join(map(spaced, line[1:])) for line in lines])
         return b"".join(map(self.ids.__getitem__, self.cut(text)))

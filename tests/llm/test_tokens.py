@@ -193,3 +193,20 @@ def test_packed_documents(spark):
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == c and (n == 1024 or k == 0) for k, s, n, c in mine)
     assert len(pieces[16]) == 2 * len(set(pieces[16]))
     assert packing.pack_documents(cases.none(spark), BYTE, 2).count() == 0
+
+
+def test_closing_marks_are_encoded_once():
+    """Each distinct word with a mark cost a call of the whole tokenizer for the mark alone."""
+    enc = PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    whole, calls = enc.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    enc.tokenizer = Counted()
+    text = " ".join(f"{a}{b}x{m}" for a in "abcdeé" for b in "lmnop" for m in (",", ".", "?!")) + "\n a  b AB"
+    texts = [text, "Word, word, Straße. ok", "x y"]
+    assert [list(ids) for ids in enc.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls.count(",") <= 1 and calls.count(".") <= 1 and calls.count("?!") <= 1
