@@ -22,6 +22,15 @@ ORACLE_SQL = None
 MIN_SHARE = 0.5
 #: Bytes of encoded words that a worker remembers while packing: few, for its executor has run all stages before.
 WORKER_BYTES = 16 << 20
+#: Bounds of the batches of rows that executors and workers hold at once: what one takes lies in both, and twice in the executor
+#: while it grows. Memory only: no result depends on them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set for the session, as a stage's rows are made when its result is written."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -35,12 +44,14 @@ def _restored(kept: DataFrame, docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: those without a letter, or without a language of at least half, go."""
+    small_batches(spark)
     model = language.train(docs, ~held_out("doc_id"))
     found = language.identify(_carried(docs), model, key="row", keep=("text",))
     return _restored(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SHARE)), docs)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out("doc_id"))
     found = toxicity.score_documents(_carried(docs), model, key="row", keep=("text",))
     return _restored(found.where(F.col("score") < toxicity.THRESHOLD), docs)
@@ -48,14 +59,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word-shingle similarity 0.8 or more: the one with the smallest doc_id."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, remembered=WORKER_BYTES)
 
 

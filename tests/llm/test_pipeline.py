@@ -32,3 +32,22 @@ def test_pipeline(spark, tmp_path):
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stages_move_rows_in_small_batches(spark):
+    """Executors and workers hold a batch each: of long texts it may not have ten thousand rows."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    kept = {key: spark.conf.get(key) for key in corpus_pipeline.BATCHES}
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('word word ', id) as text", "'en' as lang", "'a' as source", "12 as n_chars").coalesce(1)
+    try:
+        corpus_pipeline.pack(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 1000
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
