@@ -174,31 +174,33 @@ def matched_windows(docs: DataFrame, windows: DataFrame, key: str = "doc_id", te
     """(doc_id, item_id, n_tokens, n_covered, n_windows, pos, item_pos, doc_tokens, item_tokens) of every window that both sides have.
 
     Each place of a document has a hash for each shape and width that the benchmark uses; the places stay in generated code up
-    to the join, and a document's tokens are only cut where a window has met one.
+    to the join with the hashes. Generated code holds all rows that it makes of one document, so none of them has the document's
+    line, and each place and hash makes one row: the items that share a window are met behind a shuffle.
     """
     windows = stage(windows, "benchmark-keys")
-    used = sorted((r["shape"], r["width"]) for r in windows.select("shape", "width").distinct().collect())  # a handful
+    used, n = sorted((r["shape"], r["width"]) for r in windows.select("shape", "width").distinct().collect()), windows.count()  # a handful
     lined = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), cased_line(F.col(text)).alias("line"))
     lined = lined.withColumn("of", F.xxhash64("line"))
     # Lines without a number have the same words and values, whose keys are then taken once.
     values = F.when(F.instr("line", NUMBER) > 0, F.split(_shape(F.col("line"), VALUES), " "))
     shaped = lined.select("doc_id", "line", "of", F.split(_shape(F.col("line"), SLOTS), " ").alias(SLOTS), F.split(_shape(F.col("line"), WORDS), " ").alias(WORDS), values.alias(VALUES))
+    if n <= broadcast_hashes:
+        shaped = shaped.select("*", F.coalesce(VALUES, WORDS).alias("plain"))
     # The outer form: for the inner one Spark infers a filter on the array's size, and computes the tokens twice.
     placed = shaped.select("*", F.posexplode_outer(WORDS).alias("pos", "token"))
     at, widths = F.col("pos"), {shape: [w for s, w in used if s == shape] for shape in (SLOTS, WORDS, VALUES)}
     four = placed.select("*", *[_keys(shape, at, 4) for shape, w in widths.items() if w])
     six = four.select("*", *[_keys(shape, at, 6) for shape, w in widths.items() if 6 in w])
     listed = [*(F.col(f"{shape}{w}") for shape, every in widths.items() for w in every), F.when((at == 0) & (F.col("token") != ""), _whole_key(F.col("line"), F.size(WORDS)))]
-    keyed = six.select("doc_id", "line", "of", "pos", F.explode(F.array(*listed)).alias("h"))
-    n = windows.count()
+    hashed = F.explode(F.array(*listed)).alias("h")
     of_item = ["item_id", "n_tokens", "n_covered", "n_windows", "pos", "item_pos"]
-    if n <= broadcast_windows:
-        return keyed.join(F.broadcast(windows), "h").select("doc_id", *of_item, F.slice(F.split("line", " "), at + 1, F.col("width")).alias("doc_tokens"), "item_tokens")
     if n <= broadcast_hashes:
-        kept = keyed.join(F.broadcast(windows.select("h").distinct()), "h", "left_semi").select("doc_id", "pos", "h", F.slice(F.split("line", " "), at + 1, WINDOW).alias("near"))
-        return kept.join(windows, "h").select("doc_id", *of_item, F.slice("near", F.lit(1), F.col("width")).alias("doc_tokens"), "item_tokens")
+        keyed = six.select("doc_id", "plain", "pos", hashed)
+        kept = keyed.join(F.broadcast(windows.select("h").distinct()), "h", "left_semi").select("doc_id", "pos", "h", F.slice("plain", at + 1, WINDOW).alias("near")).repartition("doc_id", "pos")
+        met = kept.join(F.broadcast(windows) if n <= broadcast_windows else windows, "h")
+        return met.select("doc_id", *of_item, F.slice("near", F.lit(1), F.col("width")).alias("doc_tokens"), "item_tokens")
     # Hashes alone are shuffled; lines meet again the windows that were found in them.
-    met = keyed.select("doc_id", "of", "pos", "h").join(windows, "h")
+    met = six.select("doc_id", "of", "pos", hashed).join(windows, "h")
     return met.join(lined, ["doc_id", "of"]).select("doc_id", *of_item, F.slice(F.split("line", " "), at + 1, F.col("width")).alias("doc_tokens"), "item_tokens")
 
 

@@ -101,6 +101,13 @@ def test_items_of_numbers_and_of_scripts_without_blanks(spark):
     assert found(spark, texts, items, broadcast_windows=0) == want
 
 
+def test_a_long_document_full_of_passages_takes_little_memory(spark):
+    passage = cases.words(30, 41)
+    items = [f"{passage} {cases.words(6, 42 + i)}" for i in range(4)]
+    texts = {1: " ".join([passage] * 667), 2: cases.words(20_000, 8)}  # with its text beside each window that is met: over 40 GB
+    assert found(spark, texts, items) == {(1, i): "verbatim" for i in range(4)}
+
+
 def brute_leaks(docs, items):
     """Every pair of windows of every diagonal, one by one; tokens are lists of marked words."""
     slot = lambda t, kinds: t[0] if t[0] in kinds else t.lstrip("\2\6")
